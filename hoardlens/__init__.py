@@ -1 +1,9 @@
 """Media-archive clean-up analytics on Spark: manifests, duplicates, detections, clusters."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code along, so executors need no copy of this
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

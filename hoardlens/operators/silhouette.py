@@ -200,10 +200,11 @@ def silhouette(
 
     centres = materialize(_label_centres(points, dim), "centres")
     sizes = centres.select("label", F.col("n").alias("size"))
-    wanted = _candidate_labels(points, centres, dim, n, k).unionByName(
-        points.select("id", "label")
+    wanted = materialize(
+        _candidate_labels(points, centres, dim, n, k).unionByName(points.select("id", "label")),
+        "wanted",
     )
-    sums = _distance_sums(points, materialize(wanted, "wanted"), dim)
+    sums = _distance_sums(points, wanted, dim)
     pair_counts = wanted.groupBy("label").agg(F.count(F.lit(1)).alias("w"))
     keyed = materialize(sizes.join(pair_counts, "label"), "sizes")
     means = join_keyed(sums, keyed, "label", "w", "id").join(

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hoardlens.functions import paths, sizes
-from hoardlens.operators import dedup
-from hoardlens.plans import manifest_report, views
+from hoardlens.functions import boxes, paths, pixels, sizes
+from hoardlens.functions.vectors import cosine_distance, literal_vector
+from hoardlens.operators import checks, cluster_tables, dedup, detections, predict, similarity
+from hoardlens.operators.dbscan import count_neighbours, dbscan
+from hoardlens.operators.silhouette import silhouette
+from hoardlens.plans import cluster_report, manifest_report, stand_ins, views
+from hoardlens.sources import file_tree, inventory, manifests, tables
+from hoardlens.workspace import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,3 +172,342 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("html", 256).alias("hash"),
     )
     return documents.unionByName(pages)
+
+
+# --- vectors ----------------------------------------------------------------------------
+
+# Radius and size at which the given vectors have clusters, border points and noise.
+EPS, MIN_SAMPLES = 0.66, 4
+
+
+def labels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return materialize(dbscan(faces, EPS, MIN_SAMPLES), "cluster-labels")
+
+
+def first_vector(faces: DataFrame) -> list[float]:
+    return faces.agg(F.min_by("embedding", "id")).first()[0]
+
+
+@query
+def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir).drop("label")
+    return comparable(similarity.similar(faces, first_vector(faces)))
+
+
+@query
+def similar_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return comparable(similarity.similar_batch(faces, faces))
+
+
+@query
+def distance_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    distance = cosine_distance(F.col("embedding"), literal_vector(first_vector(faces)))
+    return comparable(faces.select("id", distance.alias("distance")))
+
+
+@query
+def neighbour_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_neighbours(views.embeddings(spark, sf_dir), 0.6)
+
+
+@query
+def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan(views.embeddings(spark, sf_dir), EPS, MIN_SAMPLES)
+
+
+@query
+def dbscan_labels_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan(views.embeddings(spark, sf_dir), 0.6, 2)
+
+
+@query
+def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return comparable(cluster_tables.cluster_summary(labels_of(spark, sf_dir), faces))
+
+
+@query
+def cluster_size_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    summary = cluster_tables.cluster_summary(labels_of(spark, sf_dir), faces)
+    return cluster_tables.size_histogram(summary)
+
+
+@query
+def largest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    report = cluster_report.cluster_report(labels_of(spark, sf_dir), faces)
+    return comparable(report["largest_clusters"])
+
+
+@query
+def cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_tables.totals(labels_of(spark, sf_dir))
+
+
+@query
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return comparable(cluster_tables.members(labels_of(spark, sf_dir), faces))
+
+
+@query
+def noise_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return cluster_tables.noise_members(labels_of(spark, sf_dir), faces)
+
+
+@query
+def cluster_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir).select("id", "cropped_face_path")
+    target = fresh_path(spark, "export")
+    tables.export_rows(labels_of(spark, sf_dir).join(faces, "id"), target)
+    return spark.read.parquet(target).select("id", "cropped_face_path", "cluster_dir")
+
+
+@query
+def stored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    blank = {
+        name: F.lit(None).cast("int")
+        for name in ("frame_id", "face_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
+    }
+    store = tables.ClusterStore(spark, fresh_path(spark, "store"))
+    store.ensure_embeddings(
+        lambda: faces.withColumns(blank).withColumn("landmark_points", F.lit(None).cast("string"))
+    )
+    # Stored ids are text: the numbering follows their text order.
+    store.replace_clusters(dbscan(store.embeddings(), EPS, MIN_SAMPLES))
+    return comparable(store.summary().drop("created_at"))
+
+
+@query
+def silhouette_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return comparable(silhouette(faces, label_col="label"))
+
+
+@query
+def silhouette_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir).drop("label")
+    labelled = faces.join(labels_of(spark, sf_dir), "id")
+    return comparable(silhouette(labelled))
+
+
+@query
+def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return checks.embedding_integrity(faces, faces.select("id"), 64)
+
+
+# --- detections -------------------------------------------------------------------------
+
+
+@query
+def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparable(detections.object_rows(views.detections(spark, sf_dir)))
+
+
+@query
+def detection_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {i: f"class_{i}" for i in range(8)}
+    raw = views.detections(spark, sf_dir).drop("class_name")
+    return detections.class_report(detections.object_rows(raw, names))
+
+
+@query
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.object_rows(views.detections(spark, sf_dir))
+    return comparable(detections.detection_summary(rows))
+
+
+def _raw_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.col("confidence").alias("det_score")
+    marks = F.array(F.array("x1", "y1"), F.array("x2", "y2")).alias("landmarks")
+    return views.detections(spark, sf_dir).select(
+        F.col("image_path").alias("path"), "frame_id", F.col("detection_id").alias("face_id"),
+        "x1", "y1", "x2", "y2", score, marks, "image_width", "image_height",
+        "l_partkey", "l_suppkey",
+    )
+
+
+@query
+def face_threshold_crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.face_rows(_raw_faces(spark, sf_dir), 0.5, "/crops")
+    side = boxes.model_input_size(
+        F.col("crop_x2") - F.col("crop_x1"), F.col("crop_y2") - F.col("crop_y1")
+    )
+    return comparable(rows.withColumns(side).drop("landmark_points"))
+
+
+@query
+def face_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.detection_table(detections.face_rows(_raw_faces(spark, sf_dir), 0.5))
+    points = F.from_json("landmark_points", "array<array<double>>")
+    flat = F.flatten(points)
+    return comparable(
+        rows.groupBy("source_file").agg(
+            F.count(F.lit(1)).alias("faces"),
+            F.sum(F.aggregate(flat, F.lit(0.0), lambda total, x: total + x)).alias("mark_sum"),
+            F.sum(F.size(points)).alias("marks"),
+        )
+    )
+
+
+@query
+def face_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw_faces(spark, sf_dir)
+    pictures = detections.face_rows(raw, 0.5, "/crops")
+    frames = detections.face_rows(detections.every_nth_frame(raw, 7), 0.5)
+    return detections.face_counts(
+        detections.combine(pictures, frames.drop("cropped_face_path"))
+    )
+
+
+@query
+def largest_box_per_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _raw_faces(spark, sf_dir).drop("landmarks")
+    order = ["face_id", "l_partkey", "l_suppkey"]
+    return comparable(detections.largest_per_image(raw, "path", order))
+
+
+@query
+def frame_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = detections.every_nth_frame(views.detections(spark, sf_dir), 4)
+    return chosen.groupBy("frame_id").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+@query
+def flagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = views.scores(spark, sf_dir).where(detections.is_flagged(F.col("results"), 0.7))
+    return hits.select(
+        F.sha2("text", 256).alias("hash"),
+        "path",
+        paths.base_name(F.col("path")).alias("filename"),
+    )
+
+
+# --- images and models ------------------------------------------------------------------
+
+
+@query
+def image_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc, height = F.col("doc_id"), F.col("image.height")
+    box = [
+        (doc % 4).cast("int"),
+        F.floor(height / 4).cast("int"),
+        (6 + doc % 5).cast("int"),
+        height - (doc % 2).cast("int") * F.floor(height / 3).cast("int"),
+    ]
+    cut = views.images(spark, sf_dir).select(
+        "doc_id", pixels.crop_image(F.col("image"), *box).alias("image")
+    )
+    return cut.select(
+        "doc_id",
+        F.col("image.height").alias("height"),
+        F.col("image.width").alias("width"),
+        F.sha2(F.col("image.data"), 256).alias("hash"),
+    )
+
+
+@query
+def image_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = views.images(spark, sf_dir).select(
+        "doc_id",
+        (F.col("image.height") * 10).alias("n"),
+        pixels.normalized_planes(F.col("image")).alias("planes"),
+    )
+
+    def plane_sum(channel: int):
+        part = F.slice("planes", F.col("n") * channel + 1, F.col("n"))
+        back = F.transform(part, lambda v: F.round((v * 0.5 + 0.5) * 255).cast("bigint"))
+        return F.aggregate(back, F.lit(0).cast("bigint"), lambda total, v: total + v)
+
+    return comparable(
+        planes.select(
+            "doc_id",
+            F.size("planes").cast("bigint").alias("n_values"),
+            *[plane_sum(c).alias(f"plane_{c}") for c in range(3)],
+            F.array_max("planes").alias("largest"),
+        )
+    )
+
+
+@query
+def model_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = views.images(spark, sf_dir).drop("frame_id")
+    rows = predict.detect_faces(pictures, stand_ins.faces, 0.5, "/crops")
+    return comparable(rows.drop("landmark_points"))
+
+
+@query
+def model_frame_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = predict.detect_faces_in_frames(views.images(spark, sf_dir), stand_ins.faces, 0.5, 3)
+    return comparable(detections.detection_table(rows).drop("landmark_points"))
+
+
+@query
+def model_face_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = views.images(spark, sf_dir).drop("frame_id")
+    crops = predict.crop_faces(pictures, stand_ins.faces, "/crops")
+    return crops.select(
+        "cropped_face_path",
+        "source_path",
+        F.col("image.height").alias("height"),
+        F.col("image.width").alias("width"),
+        F.sha2(F.col("image.data"), 256).alias("hash"),
+    )
+
+
+@query
+def model_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = views.images(spark, sf_dir).drop("frame_id")
+    rows = predict.embed_faces(crops, stand_ins.faces, stand_ins.whole_image)
+    return rows.select("path", F.col("embedding").cast("array<int>").alias("v")).select(
+        "path", F.array_join("v", "|").alias("embedding")
+    )
+
+
+@query
+def model_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = views.images(spark, sf_dir).drop("frame_id")
+    return comparable(
+        predict.detect_objects(pictures, stand_ins.objects, {0: "cat", 1: "dog", 2: "bird"})
+    )
+
+
+# --- files ------------------------------------------------------------------------------
+
+
+@query
+def manifest_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "manifests")
+    manifests.write_manifests(views.manifest(spark, sf_dir), folder)
+    return manifests.read_manifests(spark, folder)
+
+
+@query
+def detections_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "detections")
+    rows = detections.face_rows(_raw_faces(spark, sf_dir), 0.5, "/crops")
+    tables.write_csv(rows, target, tables.schemas.FACE_DETECTIONS)
+    return comparable(
+        tables.read_csv(spark, target, tables.schemas.FACE_DETECTIONS).drop("landmark_points")
+    )
+
+
+@query
+def file_tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_files(spark, sf_dir)
+    scanned = file_tree.manifest_rows(file_tree.scan_tree(spark, root))
+    path = F.substring("path", len(root) + 1, 1 << 20)
+    return scanned.withColumn("path", path)
+
+
+@query
+def inventory_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dumps = views.inventory(spark, sf_dir)
+    return inventory.scan_plan(inventory.flatten_inventory(dumps, "dump", ["c_custkey"]))

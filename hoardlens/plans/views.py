@@ -83,3 +83,64 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label",
         ((vec * 37 % 101).cast("double") / 100).alias("confidence"),
     )
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents seen as images: their bytes fill rows of ten pixels with three channels."""
+    text = F.col("text").cast("binary")
+    height = F.ceil(F.octet_length(text) / 30).cast("int")
+    struct = F.struct(
+        F.lit("").alias("origin"),
+        height.alias("height"),
+        F.lit(10).alias("width"),
+        F.lit(3).alias("nChannels"),
+        F.lit(16).alias("mode"),
+        F.rpad(text, height * 30, F.lit(b"\0")).alias("data"),
+    )
+    path = F.concat(
+        F.lit("/scans/"), "lang", F.lit("/page."), F.col("doc_id").cast("string"), F.lit(".png")
+    )
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", path.alias("path"), (F.col("doc_id") % 30).cast("int").alias("frame_id"),
+        struct.alias("image"),
+    )
+
+
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers seen as machines, each with a disk, a partition and sometimes a volume."""
+    key = F.col("c_custkey")
+    places = (
+        table(spark, sf_dir, "nation")
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("n_nationkey", "n_name", "r_name")
+    )
+    machines = table(spark, sf_dir, "customer").join(
+        places, F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    volume = F.when(
+        key % 5 == 0,
+        F.array(
+            F.struct(
+                F.lit("vault").alias("name"),
+                F.col("c_mktsegment").alias("label"),
+                F.concat(F.lit("/vault/"), key.cast("string")).alias("mountpoint"),
+            )
+        ),
+    )
+    part = F.struct(
+        F.concat(F.lit("part"), (key % 4).cast("string")).alias("name"),
+        F.lit("ext4").alias("fstype"),
+        F.col("n_name").alias("label"),
+        F.when(key % 3 != 0, F.concat(F.lit("u-"), key.cast("string"))).alias("uuid"),
+        F.when(key % 2 == 0, F.concat(F.lit("/mnt/"), key.cast("string"))).alias("mountpoint"),
+        volume.alias("children"),
+    )
+    disk = F.struct(
+        F.concat(F.lit("disk"), F.col("c_nationkey").cast("string")).alias("name"),
+        F.col("r_name").alias("label"),
+        F.concat(key.cast("string"), F.lit("G")).alias("size"),
+        F.array(part).alias("children"),
+    )
+    return machines.select(
+        "c_custkey", F.to_json(F.struct(F.array(disk).alias("blockdevices"))).alias("dump")
+    )

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "float": T.FloatType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+    "array<array<double>>": T.ArrayType(T.ArrayType(T.DoubleType())),
+}
 
 
-MANIFEST = _struct("path string, hash string, size_bytes bigint")
+def _struct(columns: str) -> T.StructType:
+    """Schema from ``name type`` pairs, without needing a session."""
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
+
 
-SCANNED_FILE = _struct("path string, hash string, size_bytes bigint, error string")
+MANIFEST = _struct("path string, hash string, size_bytes bigint")
 
 FACE_DETECTIONS = _struct(
     "source_file string, frame_id int, face_id int, bbox_x1 int, bbox_y1 int, bbox_x2 int,"
@@ -61,5 +74,17 @@ RAW_OBJECTS = _struct(
     " confidence double, x1 double, y1 double, x2 double, y2 double, mask_area double"
 )
 
-# What a classifier returns per image, one row per label.
-RAW_SCORES = _struct("path string, label string, score double")
+# What a model reports for each item it finds in an image.
+FACE_ITEM = _struct(
+    "x1 double, y1 double, x2 double, y2 double, det_score double,"
+    " landmarks array<array<double>>, embedding array<float>"
+)
+
+OBJECT_ITEM = _struct(
+    "class_id int, confidence double, x1 double, y1 double, x2 double, y2 double,"
+    " mask_area double"
+)
+
+SCORE_ITEM = _struct("label string, score double")
+
+VECTOR_ITEM = _struct("embedding array<float>")

@@ -480,8 +480,8 @@ WITH img AS (
   SELECT doc_id, CAST(ceil(strlen(text) / 30.0) AS BIGINT) * 30 AS n, hex(encode(text)) AS x
   FROM documents),
 bytes AS (
-  SELECT doc_id, n, list_transform(range(length(x) // 2),
-           lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b FROM img)
+  SELECT doc_id, n, list_transform(regexp_extract_all(x, '..'),
+           lambda pair: CAST('0x' || pair AS BIGINT)) AS b FROM img)
 SELECT doc_id, n AS n_values,
        CAST(list_sum(b[1:-:3]) AS BIGINT) AS plane_0, CAST(list_sum(b[2:-:3]) AS BIGINT) AS plane_1,
        CAST(list_sum(b[3:-:3]) AS BIGINT) AS plane_2,

@@ -423,8 +423,9 @@ def image_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def plane_sum(channel: int):
         part = F.slice("planes", F.col("n") * channel + 1, F.col("n"))
-        back = F.transform(part, lambda v: F.round((v * 0.5 + 0.5) * 255).cast("bigint"))
-        return F.aggregate(back, F.lit(0).cast("bigint"), lambda total, v: total + v)
+        total = F.aggregate(part, F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+        # Undoing the scaling gives the sum of the bytes, a whole number again.
+        return F.round((total + F.col("n")) * 127.5).cast("bigint")
 
     return comparable(
         planes.select(

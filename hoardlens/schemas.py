@@ -24,6 +24,11 @@ def _struct(columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
+def with_text(schema: T.StructType, name: str) -> T.StructType:
+    """A copy of ``schema`` with one more string column."""
+    return T.StructType([*schema.fields, T.StructField(name, T.StringType())])
+
+
 MANIFEST = _struct("path string, hash string, size_bytes bigint")
 
 FACE_DETECTIONS = _struct(

@@ -60,7 +60,7 @@ def _read(spark: SparkSession, files: list[str], multiline: bool, strict: bool)
         reader = reader.option("mode", "PERMISSIVE").option(
             "columnNameOfCorruptRecord", "corrupt_record"
         )
-        schema = schema.add("corrupt_record", "string")
+        schema = schemas.with_text(schema, "corrupt_record")
     return reader.schema(schema).csv([_glob_safe(f) for f in files])
 
 
@@ -87,7 +87,7 @@ def read_manifests(
     """
     files = find_manifests(spark, folder)
     if not files:
-        return spark.createDataFrame([], schemas.MANIFEST.add("source_filename", "string"))
+        return spark.createDataFrame([], schemas.with_text(schemas.MANIFEST, "source_filename"))
     if folder.rstrip("/").count(".csv"):
         raise ValueError("the manifest folder itself must not be named like a CSV file")
     names = {f: _plain_name(f.rsplit("/", 1)[1]) for f in files}

@@ -46,13 +46,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected edges ``a, b``; root is the least node.
 
-    Each round is written to shared storage, so the plan does not grow. Nodes without an edge
-    to another node do not appear.
+    Each round is written to shared storage, so the plan does not grow. ``edges`` should be a
+    stored table, as it is read more than once. Nodes without an edge to another node do not
+    appear.
     """
     linked = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    current = materialize(linked.distinct(), "edges")
+    current = linked.distinct()
     while not _is_star_forest(current):
         current = materialize(_small_star(_large_star(current)), "edges")
     children = current.select(F.col("u").alias("node"), F.col("v").alias("root"))

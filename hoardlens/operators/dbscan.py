@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hoardlens.operators import blocks
 from hoardlens.operators import cells as cell_index
 from hoardlens.operators.blocks import (
     chunk_count,
@@ -36,7 +37,7 @@ from hoardlens.operators.numbering import number_rows
 from hoardlens.operators.skew import join_keyed
 from hoardlens.workspace import materialize
 
-CELL_ROWS = 8192
+CELL_ROWS = 1024
 ROUNDING = 1e-12  # distances that differ from eps by less than this count as within
 
 
@@ -45,6 +46,10 @@ def has_direction(vec: str) -> F.Column:
     return F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def _chunks(rows: int) -> int:
+    return max(1, -(-rows // blocks.BLOCK_ROWS))
+
+
 @dataclass
 class Search:
     """Settings of one run and what it learned about its input."""
@@ -67,45 +72,37 @@ class Search:
         )
 
     @cached_property
-    def cell_table(self) -> DataFrame:
-        """Chunks of both sides of every cell; at most MAX_PIVOTS rows."""
+    def cell_figures(self) -> list[tuple[int, int, int]]:
+        """``cell, loose, members`` of cells with loose points; at most MAX_PIVOTS entries."""
         index = self.cells
-        spark = self.points.sparkSession
+        members = index.home_rows.copy()
+        if len(members) > 1:
+            outer = index.placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+            for row in outer.collect():
+                members[row["cell"]] += row["count"]
         loose = index.home_rows - index.dense_rows
-        rows = [(c, int(n), int(q)) for c, (n, q) in enumerate(zip(index.home_rows, loose))]
-        known = spark.createDataFrame(rows, "cell int, home_rows bigint, loose bigint")
-        outer = index.placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-        return materialize(
-            known.join(outer, "cell", "left").select(
-                "cell",
-                "loose",
-                (F.col("home_rows") + F.coalesce("count", F.lit(0))).alias("members"),
-                chunk_count(F.col("loose")).alias("q_chunks"),
-                chunk_count(F.col("home_rows") + F.coalesce("count", F.lit(0))).alias(
-                    "m_chunks"
-                ),
-            ),
-            "cell-table",
-        )
+        return [(c, int(loose[c]), int(members[c])) for c in np.flatnonzero(loose).tolist()]
 
     @cached_property
+    def cell_table(self) -> DataFrame:
+        """Chunks of both sides of every cell that has loose points."""
+        rows = [(c, _chunks(loose), _chunks(members)) for c, loose, members in self.cell_figures]
+        return self.points.sparkSession.createDataFrame(
+            rows, "cell int, q_chunks int, m_chunks int"
+        )
+
+    @property
     def volume(self) -> tuple[int, int]:
         """Number of block pairs and the bytes their shuffle moves."""
-        width = 8 * self.dim + 64
-        moved = F.col("loose") * F.col("m_chunks") + F.col("members") * F.col("q_chunks")
-        row = (
-            self.cell_table.where(F.col("loose") > 0)
-            .agg(
-                F.sum(F.col("q_chunks").cast("bigint") * F.col("m_chunks")).alias("blocks"),
-                F.sum(moved.cast("decimal(38,0)") * width).alias("bytes"),
-            )
-            .first()
-        )
-        return int(row["blocks"] or 0), int(row["bytes"] or 0)
+        count = moved = 0
+        for _, loose, members in self.cell_figures:
+            count += _chunks(loose) * _chunks(members)
+            moved += loose * _chunks(members) + members * _chunks(loose)
+        return count, moved * (8 * self.dim + 64)
 
-    def blocks(self, loose: DataFrame, members: DataFrame, extra: list[str]) -> DataFrame:
+    def pairs(self, loose: DataFrame, members: DataFrame, extra: list[str]) -> DataFrame:
         """Pair every chunk of a cell's loose home points with every chunk of its members."""
-        cell_table = F.broadcast(self.cell_table.where(F.col("loose") > 0))
+        cell_table = F.broadcast(self.cell_table)
         q = (
             loose.withColumn("cell", F.col("home"))
             .join(cell_table, "cell")
@@ -139,29 +136,30 @@ def neighbour_counts(search: Search) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         member, near = _sides(table, dim, eps)
-        weight = values(table, "w")[member]
+        # Doubles count exactly up to 2**53 and are summed by the matrix library.
+        weight = values(table, "w")[member].astype(np.float64)
+        total = (near.astype(np.float64) @ weight).astype(np.int64)
         ids = column(table, "id").filter(pa.array(~member))
-        return pa.table({"id": ids, "near": pa.array((near @ weight).astype(np.int64))})
+        return pa.table({"id": ids, "near": pa.array(total)})
 
     placed = search.cells.placed
     kind = placed.schema["id"].dataType.simpleString()
-    blocks = search.blocks(placed.where(~F.col("dense")), placed, ["w"])
-    partial = blocks.applyInArrow(count, f"id {kind}, near bigint")
+    paired = search.pairs(placed.where(~F.col("dense")), placed, ["w"])
+    partial = paired.applyInArrow(count, f"id {kind}, near bigint")
     return partial.groupBy("id").agg(F.sum("near").alias("near"))
 
 
 def local_forest(near: np.ndarray, q_nodes: np.ndarray, m_nodes: np.ndarray):
     """Spanning forest of one block: every node with the least node it reaches in the block."""
+    q_at, m_at = np.nonzero(near)
     nodes, codes = np.unique(np.concatenate([q_nodes, m_nodes]), return_inverse=True)
-    q_code, m_code = codes[: len(q_nodes)], codes[len(q_nodes) :]
+    links = np.unique(codes[q_at] * len(nodes) + codes[len(q_nodes) + m_at])
+    left, right = links // len(nodes), links % len(nodes)
     label = np.arange(len(nodes))
-    none = len(nodes)
     while True:
         before = label.copy()
-        from_q = np.where(near, label[q_code][:, None], none).min(axis=0, initial=none)
-        np.minimum.at(label, m_code, from_q)
-        from_m = np.where(near, label[m_code][None, :], none).min(axis=1, initial=none)
-        np.minimum.at(label, q_code, from_m)
+        np.minimum.at(label, right, label[left])
+        np.minimum.at(label, left, label[right])
         label = label[label]
         if np.array_equal(label, before):
             break
@@ -192,10 +190,10 @@ def core_links(search: Search, flagged: DataFrame) -> DataFrame:
             {"a": pa.array(a, node_type), "b": pa.array(b, node_type), "border": pa.array(border)}
         )
 
-    blocks = search.blocks(
+    paired = search.pairs(
         flagged.where(~F.col("dense")), flagged.where("core"), ["node", "core"]
     )
-    return blocks.applyInArrow(link, f"a {kind}, b {kind}, border boolean").distinct()
+    return paired.applyInArrow(link, f"a {kind}, b {kind}, border boolean").distinct()
 
 
 def ball_groups(index: cell_index.Cells, radius: float) -> list:
@@ -306,7 +304,8 @@ def _label_distinct(search: Search, lone_cores: DataFrame | None) -> DataFrame:
         links = materialize(core_links(search, flagged), "links")
         edges = edges.unionByName(links.where(~F.col("border")).select("a", "b"))
     if len({n for n in nodes if n is not None}) > 1:
-        edges = edges.unionByName(ball_links(search, flagged, ball_nodes))
+        between = materialize(ball_links(search, flagged, ball_nodes), "ball-links")
+        edges = edges.unionByName(between)
     component = connected_components(edges)
 
     loose_core = flagged.where(F.col("core") & ~F.col("dense")).select("node")

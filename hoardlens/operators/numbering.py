@@ -20,13 +20,12 @@ def number_rows(df: DataFrame, order: str, number: str) -> DataFrame:
         df.repartitionByRange(F.col(order).asc()).withColumn("_range", F.spark_partition_id()),
         "ranges",
     )
-    counts = ranged.groupBy("_range").count().collect()
-    counts.sort(key=lambda row: row["_range"])
-    starts = [0, *accumulate(row["count"] for row in counts)]
-    offsets = {row["_range"]: start for row, start in zip(counts, starts)}
-    if not offsets:
-        return ranged.drop("_range").withColumn(number, F.lit(0).cast("bigint"))
-    pairs = [F.lit(x) for pair in offsets.items() for x in pair]
-    offset = F.element_at(F.create_map(*pairs), F.col("_range"))
+    counts = sorted(tuple(row) for row in ranged.groupBy("_range").count().collect())
+    starts = accumulate((count for _, count in counts), initial=0)
+    offsets = [(index, start) for (index, _), start in zip(counts, starts)]
+    first = df.sparkSession.createDataFrame(offsets, "_range int, _first bigint")
     place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn(number, (offset + place - 1).cast("bigint")).drop("_range")
+    numbered = ranged.join(F.broadcast(first), "_range").withColumn(
+        number, F.col("_first") + place - 1
+    )
+    return numbered.drop("_range", "_first")

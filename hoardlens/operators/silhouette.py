@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hoardlens.operators.blocks import (
+    BLOCK_ROWS,
     chunk_count,
     chunk_of,
     column,
@@ -68,7 +69,7 @@ def _label_centres(points: DataFrame, dim: int) -> DataFrame:
 
 
 def _candidate_labels(points: DataFrame, centres: DataFrame, dim: int, n: int, k: int):
-    """``id, label``: other labels that may be the closest one of a point."""
+    """``id, label, own``: other labels that may be the closest one of a point."""
     point_chunks, label_chunks = chunk_count(F.lit(n)), chunk_count(F.lit(k))
     left = points.select(
         chunk_of(F.col("id"), point_chunks, 1).alias("pc"),
@@ -106,18 +107,19 @@ def _candidate_labels(points: DataFrame, centres: DataFrame, dim: int, n: int, k
     moved = (n * -(-k // 2048) + k * -(-n // 2048)) * dim * 8
     both = spread_blocks(left.unionByName(right), ["pc", "lc"], blocks, moved)
     kind = points.schema["id"].dataType.simpleString()
-    near = materialize(
-        both.groupBy("pc", "lc").applyInArrow(
-            bounds, f"id {kind}, label int, low double, high double"
-        ),
-        "bounds",
+    near = both.groupBy("pc", "lc").applyInArrow(
+        bounds, f"id {kind}, label int, low double, high double"
     )
-    best = near.groupBy("id").agg(F.min("high").alias("best"))
-    return near.join(best, "id").where(F.col("low") <= F.col("best") + SLACK).select("id", "label")
+    if k > BLOCK_ROWS:
+        # Every block of labels kept what reaches its own best bound; the least one decides.
+        near = materialize(near, "bounds")
+        best = near.groupBy("id").agg(F.min("high").alias("best"))
+        near = near.join(best, "id").where(F.col("low") <= F.col("best") + SLACK)
+    return near.select("id", "label", F.lit(False).alias("own"))
 
 
 def _distance_sums(points: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
-    """``id, label, total``: summed distance of each wanted (point, label) pair."""
+    """``id, label, own, size, total``: summed distance of each wanted (point, label) pair."""
     kind = points.schema["id"].dataType.simpleString()
     asked = wanted.groupBy("label").agg(F.count(F.lit(1)).alias("asked"))
     held = points.groupBy("label").agg(F.count(F.lit(1)).alias("held"))
@@ -137,13 +139,14 @@ def _distance_sums(points: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
         "label",
         chunk_of(F.col("id"), F.col("q_chunks"), 1).alias("qc"),
         every_chunk(F.col("m_chunks")).alias("mc"),
-        "id", "vec", F.lit(False).alias("member"),
+        "id", "vec", "own", "held", F.lit(False).alias("member"),
     )
     m = join_keyed(points, grid, "label", "n", "id").where(F.col("q_chunks").isNotNull()).select(
         "label",
         every_chunk(F.col("q_chunks")).alias("qc"),
         chunk_of(F.col("id"), F.col("m_chunks"), 2).alias("mc"),
-        "id", "vec", F.lit(True).alias("member"),
+        "id", "vec", F.lit(None).cast("boolean").alias("own"), "held",
+        F.lit(True).alias("member"),
     )
 
     def add(table: pa.Table) -> pa.Table:
@@ -152,8 +155,9 @@ def _distance_sums(points: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
         ids = values(table, "id")
         _, codes = np.unique(ids, return_inverse=True)
         gaps[codes[~member][:, None] == codes[member][None, :]] = 0.0
-        queries = table.filter(pa.array(~member)).select(["id", "label"])
-        return queries.append_column("total", pa.array(gaps.sum(axis=1)))
+        queries = table.filter(pa.array(~member)).select(["id", "label", "own", "held"])
+        queries = queries.append_column("total", pa.array(gaps.sum(axis=1)))
+        return queries.rename_columns(["id", "label", "own", "size", "total"])
 
     pairs = F.col("q_chunks").cast("bigint") * F.col("m_chunks")
     moved = F.col("asked") * F.col("m_chunks") + F.col("held") * F.col("q_chunks")
@@ -164,8 +168,10 @@ def _distance_sums(points: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
     spread = spread_blocks(
         q.unionByName(m), keys, int(size["blocks"]), int(size["moved"]) * dim * 8
     )
-    sums = spread.groupBy(*keys).applyInArrow(add, f"id {kind}, label int, total double")
-    return sums.groupBy("id", "label").agg(F.sum("total").alias("total"))
+    sums = spread.groupBy(*keys).applyInArrow(
+        add, f"id {kind}, label int, own boolean, size bigint, total double"
+    )
+    return sums.groupBy("id", "label", "own", "size").agg(F.sum("total").alias("total"))
 
 
 def silhouette(
@@ -199,22 +205,20 @@ def silhouette(
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
 
     centres = materialize(_label_centres(points, dim), "centres")
-    sizes = centres.select("label", F.col("n").alias("size"))
+    own = points.select("id", "label", F.lit(True).alias("own"))
     wanted = materialize(
-        _candidate_labels(points, centres, dim, n, k).unionByName(points.select("id", "label")),
-        "wanted",
+        _candidate_labels(points, centres, dim, n, k).unionByName(own), "wanted"
     )
-    sums = _distance_sums(points, wanted, dim)
-    pair_counts = wanted.groupBy("label").agg(F.count(F.lit(1)).alias("w"))
-    keyed = materialize(sizes.join(pair_counts, "label"), "sizes")
-    means = join_keyed(sums, keyed, "label", "w", "id").join(
-        points.select("id", F.col("label").alias("own")), "id"
-    )
-    is_own = F.col("label") == F.col("own")
-    per_point = means.groupBy("id").agg(
-        F.max(F.when(is_own, F.col("size"))).alias("size"),
-        F.max(F.when(is_own, F.try_divide(F.col("total"), F.col("size") - 1))).alias("a"),
-        F.min(F.when(~is_own, F.col("total") / F.col("size"))).alias("b"),
+    per_point = (
+        _distance_sums(points, wanted, dim)
+        .groupBy("id")
+        .agg(
+            F.max(F.when(F.col("own"), F.col("size"))).alias("size"),
+            F.max(
+                F.when(F.col("own"), F.try_divide(F.col("total"), F.col("size") - 1))
+            ).alias("a"),
+            F.min(F.when(~F.col("own"), F.col("total") / F.col("size"))).alias("b"),
+        )
     )
     value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     score = F.when(F.col("size") == 1, 0.0).otherwise(F.coalesce(value, F.lit(0.0)))

@@ -406,14 +406,14 @@ ORACLES |= {
     "detection_metrics": f"""
 WITH {DETS}
 SELECT regexp_extract(image_path, '[^/]*$') AS image_name, image_path, image_width,
-       image_height, detection_id, class_name, class_id, round(confidence, 6) AS confidence,
-       round(x1, 6) AS bbox_x1, round(y1, 6) AS bbox_y1, round(x2, 6) AS bbox_x2,
-       round(y2, 6) AS bbox_y2, round(x2 - x1, 6) AS bbox_width,
-       round(y2 - y1, 6) AS bbox_height, round((x2 - x1) * (y2 - y1), 6) AS bbox_area,
-       round((x2 - x1) * (y2 - y1) / (640.0 * 480)::DOUBLE, 6) AS bbox_area_ratio,
-       round((x1 + x2) / 2, 6) AS bbox_center_x, round((y1 + y2) / 2, 6) AS bbox_center_y,
-       mask_area IS NOT NULL AS has_segmentation, round(mask_area, 6) AS mask_area,
-       round(mask_area / (640.0 * 480)::DOUBLE, 6) AS mask_area_ratio
+       image_height, detection_id, class_name, class_id, confidence,
+       x1 AS bbox_x1, y1 AS bbox_y1, x2 AS bbox_x2,
+       y2 AS bbox_y2, x2 - x1 AS bbox_width,
+       y2 - y1 AS bbox_height, (x2 - x1) * (y2 - y1) AS bbox_area,
+       (x2 - x1) * (y2 - y1) / (640.0 * 480)::DOUBLE AS bbox_area_ratio,
+       (x1 + x2) / 2 AS bbox_center_x, (y1 + y2) / 2 AS bbox_center_y,
+       mask_area IS NOT NULL AS has_segmentation, mask_area,
+       mask_area / (640.0 * 480)::DOUBLE AS mask_area_ratio
 FROM dets""",
     "detection_class_report": f"""
 WITH {DETS} SELECT class_name, count(*) AS detections FROM dets GROUP BY class_name""",
@@ -425,7 +425,7 @@ FROM dets""",
     "face_threshold_crop_boxes": f"""
 WITH {FACES},
 sized AS (SELECT *, crop_x2 - crop_x1 AS cw, crop_y2 - crop_y1 AS ch FROM cropped)
-SELECT * EXCLUDE (cw, ch) REPLACE (round(confidence, 6) AS confidence),
+SELECT * EXCLUDE (cw, ch),
        CASE WHEN cw < 112 OR ch < 112
             THEN CAST(trunc(cw * greatest(CAST(112 AS DOUBLE) / nullif(ch, 0),
                                           CAST(112 AS DOUBLE) / nullif(cw, 0))) AS INTEGER)
@@ -449,9 +449,9 @@ WITH {DETS},
 r AS (SELECT *, row_number() OVER (PARTITION BY image_path
         ORDER BY (x2 - x1) * (y2 - y1) DESC, detection_id, l_partkey, l_suppkey) AS place
       FROM dets)
-SELECT image_path AS path, frame_id, detection_id AS face_id, round(x1, 6) AS x1,
-       round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2,
-       round(confidence, 6) AS det_score, image_width, image_height, l_partkey, l_suppkey
+SELECT image_path AS path, frame_id, detection_id AS face_id, x1 AS x1,
+       y1 AS y1, x2 AS x2, y2 AS y2,
+       confidence AS det_score, image_width, image_height, l_partkey, l_suppkey
 FROM r WHERE place = 1""",
     "frame_stride": f"""
 WITH {DETS}

@@ -149,20 +149,43 @@ def neighbour_counts(search: Search) -> DataFrame:
     return partial.groupBy("id").agg(F.sum("near").alias("near"))
 
 
+def _block_groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of every row and column of a block that are linked in it, else -1.
+
+    Grows one group at a time by whole rows and columns, which reads each of them once.
+    """
+    of_row, of_column = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    group = 0
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if of_row[start] >= 0:
+            continue
+        of_row[start], rows = group, np.array([start])
+        while len(rows):
+            columns = np.flatnonzero(near[rows].any(axis=0) & (of_column < 0))
+            of_column[columns] = group
+            rows = np.flatnonzero(near[:, columns].any(axis=1) & (of_row < 0))
+            of_row[rows] = group
+        group += 1
+    return of_row, of_column
+
+
 def local_forest(near: np.ndarray, q_nodes: np.ndarray, m_nodes: np.ndarray):
     """Spanning forest of one block: every node with the least node it reaches in the block."""
-    q_at, m_at = np.nonzero(near)
-    nodes, codes = np.unique(np.concatenate([q_nodes, m_nodes]), return_inverse=True)
-    links = np.unique(codes[q_at] * len(nodes) + codes[len(q_nodes) + m_at])
-    left, right = links // len(nodes), links % len(nodes)
+    of_row, of_column = _block_groups(near)
+    group = np.concatenate([of_row, of_column])
+    linked = group >= 0
+    nodes, code = np.unique(np.concatenate([q_nodes, m_nodes])[linked], return_inverse=True)
+    group = group[linked]
+    # Several points can share a node, so groups that meet in a node are one.
     label = np.arange(len(nodes))
     while True:
-        before = label.copy()
-        np.minimum.at(label, right, label[left])
-        np.minimum.at(label, left, label[right])
-        label = label[label]
-        if np.array_equal(label, before):
+        least = np.full(len(linked) + 1, len(nodes))
+        np.minimum.at(least, group, label[code])
+        after = label.copy()
+        np.minimum.at(after, code, least[group])
+        if np.array_equal(after, label):
             break
+        label = after
     child = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[child], nodes[label[child]]
 

@@ -52,7 +52,13 @@ def choose_pivots(points: DataFrame, count: int, radius: float) -> np.ndarray:
 
 
 def place(
-    points: DataFrame, dim: int, rows: int, radius: float, min_weight: int, cell_rows: int
+    points: DataFrame,
+    dim: int,
+    rows: int,
+    radius: float,
+    min_weight: int,
+    cell_rows: int,
+    any_vector: list[float],
 ) -> Cells:
     """Assign ``points`` (id, w, vec) to cells and find the dense ball of each cell.
 
@@ -60,7 +66,11 @@ def place(
     ball weighs at least ``min_weight``, all its members are core points of one cluster and
     never need to be compared with each other, however many they are.
     """
-    pivots = choose_pivots(points, min(max(rows // cell_rows, 1), MAX_PIVOTS), radius)
+    wanted = min(rows // cell_rows, MAX_PIVOTS)
+    if wanted > 1:
+        pivots = choose_pivots(points, wanted, radius)
+    else:
+        pivots = unit(np.array([any_vector], dtype=np.float64))
     k = len(pivots)
     ball = radius / 2 - SLACK
 

@@ -60,6 +60,7 @@ class Search:
     cell_rows: int
     dim: int
     rows: int
+    any_vector: list[float]
 
     @property
     def radius(self) -> float:
@@ -68,7 +69,13 @@ class Search:
     @cached_property
     def cells(self) -> cell_index.Cells:
         return cell_index.place(
-            self.points, self.dim, self.rows, self.radius, self.min_samples, self.cell_rows
+            self.points,
+            self.dim,
+            self.rows,
+            self.radius,
+            self.min_samples,
+            self.cell_rows,
+            self.any_vector,
         )
 
     @cached_property
@@ -393,10 +400,13 @@ def _open(df: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int
         F.min(F.size("vec")).alias("dim"),
         F.max(F.size("vec")).alias("max_dim"),
         F.coalesce(F.max(bad), F.lit(False)).alias("bad"),
+        F.min_by("vec", "id").alias("any_vector"),
     ).first()
     if facts["bad"] or facts["dim"] != facts["max_dim"]:
         raise ValueError("embeddings must be finite and of one length")
-    search = Search(points, eps, min_samples, cell_rows, facts["dim"] or 0, facts["rows"])
+    search = Search(
+        points, eps, min_samples, cell_rows, facts["dim"] or 0, facts["rows"], facts["any_vector"]
+    )
     return rows, search, facts["total"]
 
 

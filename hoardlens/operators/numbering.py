@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from hoardlens.workspace import materialize
 
 
+ONE_TASK_ROWS = 100_000  # tables up to this size are ranked by a single task
+
+
 def number_rows(df: DataFrame, order: str, number: str) -> DataFrame:
     """Number the rows 0, 1, ... by a unique column.
 
-    The rows are range-partitioned and written once together with their range, so the ranges
-    cannot move when a task is repeated; only one count per range reaches the driver.
+    Beyond ONE_TASK_ROWS the rows are range-partitioned and written once together with their
+    range, so the ranges cannot move when a task is repeated; only one count per range reaches
+    the driver. ``df`` should be cheap to read twice.
     """
+    if df.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
+        place = F.row_number().over(Window.orderBy(order))
+        return df.withColumn(number, (place - 1).cast("bigint"))
     ranged = materialize(
         df.repartitionByRange(F.col(order).asc()).withColumn("_range", F.spark_partition_id()),
         "ranges",

@@ -142,7 +142,9 @@ def test_join_keyed_serves_heavy_and_light_keys(spark, monkeypatch):
     assert got == expected and len(got) == 1000
 
 
-def test_numbers_follow_the_global_order(spark):
+@pytest.mark.parametrize("one_task", [100_000, 10])
+def test_numbers_follow_the_global_order(spark, monkeypatch, one_task):
+    monkeypatch.setattr("hoardlens.operators.numbering.ONE_TASK_ROWS", one_task)
     df = spark.range(500).select(F.format_string("%03d", F.pmod(F.col("id") * 77, 500)).alias("k"))
     got = [r["n"] for r in number_rows(df, "k", "n").orderBy("k").collect()]
     assert got == list(range(500))

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from hoardlens import schemas
 from hoardlens.functions import boxes, paths, pixels
-from hoardlens.operators import detections
+from hoardlens.operators import detections, similarity
 from hoardlens.sources.file_tree import hash_files
 
 Predict = Callable[[pd.DataFrame], Sequence[list[dict]]]
@@ -162,6 +162,38 @@ def embed_faces(crops: DataFrame, model: Model, direct: Model | None = None) ->
     return out.withColumn("error", F.col("result")["error"]).drop("result")
 
 
+def embed_detections(
+    faces: DataFrame, crops: DataFrame, model: Model, direct: Model | None = None
+) -> DataFrame:
+    """Detected faces with the embedding of their crop, ready to be stored.
+
+    ``crops`` are the images that exist; faces without a crop path, without a crop or without
+    an embedding are left out. Each crop is embedded once, and only vectors are joined.
+    """
+    ready = faces.where(F.col("cropped_face_path").isNotNull())
+    wanted = ready.select(F.col("cropped_face_path").alias("path"))
+    embedded = embed_faces(crops.join(wanted, "path", "left_semi"), model, direct)
+    vectors = embedded.where(F.col("embedding").isNotNull()).select(
+        F.col("path").alias("cropped_face_path"), "embedding"
+    )
+    return ready.join(vectors, "cropped_face_path")
+
+
+def similar_faces(
+    embeddings: DataFrame, query: DataFrame, model: Model, top_k: int = 5
+) -> DataFrame:
+    """Stored faces most similar to one image (``path``, ``image``); none if it has no face."""
+    row = embed_faces(query.limit(1), model).select("embedding").first()
+    return similarity.similar(embeddings, row and row["embedding"], top_k).select(
+        F.col("id").alias("face_id"),
+        "similarity",
+        F.col("cropped_face_path").alias("face_path"),
+        "source_file",
+        "confidence",
+        "rank",
+    )
+
+
 def detect_objects(
     images: DataFrame, model: Model, class_names: dict[int, str]
 ) -> DataFrame:

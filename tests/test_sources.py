@@ -185,6 +185,48 @@ def test_images_flags_and_failures(spark, pictures):
         predict.flag_images(images, model, 1.5)
 
 
+def test_embeddings_of_crops_and_search_by_image(spark, pictures):
+    crops = tables.read_images(spark, str(pictures))
+
+    def model():
+        def predict(batch):
+            return [
+                [
+                    {"x1": 0.0, "y1": 0.0, "x2": 1.0, "y2": 1.0, "embedding": [9.0, 9.0]},
+                    {"x1": 0.0, "y1": 0.0, "x2": 2.0, "y2": 2.0, "embedding": [1.0, 0.0]},
+                    {"x1": 1.0, "y1": 1.0, "x2": 3.0, "y2": 3.0, "embedding": [5.0, 5.0]},
+                ]
+                if h == 3
+                else []
+                for h in batch["height"]
+            ]
+
+        return predict
+
+    def direct():
+        return lambda batch: [[{"embedding": [0.0, float(h)]}] for h in batch["height"]]
+
+    names = ["a b.png", "tall.png", "gone.png"]
+    rows = [("s.jpg", 0, i, str(pictures / n)) for i, n in enumerate(names)] + [("s.jpg", 0, 3, None)]
+    faces = spark.createDataFrame(
+        rows, "source_file string, frame_id int, face_id int, cropped_face_path string"
+    )
+    found = predict.embed_detections(faces, crops, model, direct)
+    assert {(r["face_id"], tuple(r["embedding"])) for r in found.collect()} == {
+        (0, (1.0, 0.0)), (1, (0.0, 6.0)),
+    }
+    assert predict.embed_detections(faces, crops, model).count() == 1
+
+    stored = found.withColumn("id", tables.face_key()).withColumn("confidence", F.lit(0.5))
+    by_name = crops.where(F.col("path").endswith("a b.png"))
+    got = predict.similar_faces(stored, by_name, model).orderBy("rank").collect()
+    assert [(r["similarity"], os.path.basename(r["face_path"])) for r in got] == [
+        (1.0, "a b.png"), (0.0, "tall.png"),
+    ]
+    faceless = crops.where(F.col("path").endswith("tall.png"))
+    assert predict.similar_faces(stored, faceless, model).count() == 0
+
+
 def test_store_and_export(spark, pictures, tmp_path):
     store = tables.ClusterStore(spark, str(tmp_path / "store"))
     assert store.embeddings().count() == 0 and store.summary().count() == 0

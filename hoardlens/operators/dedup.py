@@ -89,9 +89,10 @@ def per_hash(manifest: DataFrame) -> DataFrame:
     """One row per content hash.
 
     The lists of paths and manifests are not columns here: one hash can own a large part of
-    all paths. ``example_path`` is the first path; ``hash_paths`` and ``hash_manifests`` give
-    the whole lists. The distinct counts are combined before the shuffle on ``hash``, so a
-    frequent hash costs no more than any other.
+    all paths. ``hash_paths`` and ``hash_manifests`` give the whole lists. The distinct counts
+    are combined before the shuffle on ``hash``, so a frequent hash costs no more than any
+    other. All results are numbers, which keeps the aggregation hashed: a least path would
+    make it sort every row.
     """
     return (
         hashed(with_file_name(manifest))
@@ -102,11 +103,24 @@ def per_hash(manifest: DataFrame) -> DataFrame:
             F.count_distinct("filename_only").alias("unique_filenames"),
             F.count(F.lit(1)).alias("total_occurrences"),
             F.count_distinct("source_filename").alias("manifest_count"),
-            F.min("path").alias("example_path"),
         )
     )
 
 
+def with_example_path(top: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Add the first path of each hash to a top-n report.
+
+    ``top`` comes out of a ``limit``, so it may be broadcast; only its hashes are aggregated.
+    """
+    keys = F.broadcast(top.select("hash"))
+    first = (
+        manifest.join(keys, "hash", "left_semi")
+        .groupBy("hash")
+        .agg(F.min("path").alias("example_path"))
+    )
+    return top.join(first, "hash", "left")
+
+
 def hash_paths(manifest: DataFrame, part_items: int = 1000) -> DataFrame:
     """All distinct paths of every hash, as sorted lists of bounded size."""
     return list_parts(hashed(manifest), "hash", "path", "sample_paths", part_items)
@@ -157,7 +171,6 @@ def top_waste(by_hash: DataFrame, limit: int = 15) -> DataFrame:
             "unique_paths",
             "unique_filenames",
             "space_wasted",
-            "example_path",
         )
     )
 
@@ -172,7 +185,7 @@ def cross_manifest(by_hash: DataFrame, limit: int = 10) -> DataFrame:
             F.col("hash").asc(),
         )
         .limit(limit)
-        .select("hash", "size_bytes", "manifest_count", "unique_paths", "example_path")
+        .select("hash", "size_bytes", "manifest_count", "unique_paths")
     )
 
 

@@ -53,7 +53,9 @@ def apply_model(image: Column, path: Column, model: Model, item: T.StructType) -
             yield out
 
     names = ["height", "width", "nChannels", "mode", "data"]
-    return run(
+    # Marked so that the optimizer neither repeats the call for a filter on its result nor
+    # moves such a filter below it: a model runs once per image.
+    return run.asNondeterministic()(
         F.struct(
             image.isNotNull().alias("given"),
             path.alias("path"),

@@ -69,7 +69,8 @@ def type_report(manifest: DataFrame, limit: int = 20) -> DataFrame:
 def full_report(manifest: DataFrame) -> dict[str, DataFrame]:
     """Every part of the full analysis; the per-hash table is computed once and stored."""
     by_hash = materialize(dedup.per_hash(manifest), "per-hash")
-    waste, shared = dedup.top_waste(by_hash), dedup.cross_manifest(by_hash)
+    waste = dedup.with_example_path(dedup.top_waste(by_hash), manifest)
+    shared = dedup.with_example_path(dedup.cross_manifest(by_hash), manifest)
     return {
         "overall_stats": overall(manifest, by_hash),
         "top_paths_by_size": dedup.top_paths(manifest),

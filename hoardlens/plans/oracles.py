@@ -119,7 +119,7 @@ g AS (SELECT hash, count(*) AS duplicate_count,
 SELECT *, substr(hash, 1, 16) || '...' AS hash_label,
        {bytes_text("total_wasted_space")} AS wasted_label
 FROM g""",
-    "dedup_by_hash": f"WITH {PER_HASH} SELECT * FROM per_hash",
+    "dedup_by_hash": f"WITH {PER_HASH} SELECT * EXCLUDE (example_path) FROM per_hash",
     "dedup_hash_paths": f"WITH {MANIFEST} {lists('path', 'sample_paths')}",
     "dedup_hash_manifests": f"WITH {MANIFEST} {lists('source_filename', 'source_manifests')}",
     "dedup_overall_stats": f"WITH {MANIFEST} {OVERALL}",

@@ -51,7 +51,8 @@ def comparable(df: DataFrame, exact: bool = False) -> DataFrame:
 @query
 def top_duplicates_by_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    return comparable(dedup.top_waste(dedup.per_hash(manifest)))
+    top = dedup.top_waste(dedup.per_hash(manifest))
+    return comparable(dedup.with_example_path(top, manifest))
 
 
 @query
@@ -114,7 +115,8 @@ def top_paths_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cross_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    return comparable(dedup.cross_manifest(dedup.per_hash(manifest)))
+    top = dedup.cross_manifest(dedup.per_hash(manifest))
+    return comparable(dedup.with_example_path(top, manifest))
 
 
 @query

@@ -39,8 +39,11 @@ def flatten_inventory(dumps: DataFrame, text: str, keep: list[str]) -> DataFrame
     The nesting has no fixed depth, so each dump is unfolded where it lies: one narrow pass,
     no round per level.
     """
-    device = F.explode(_devices(F.col(text))).alias("device")
-    return dumps.select(*keep, device).select(*keep, "device.*")
+    # Marked so that the filter Spark infers for the explode does not unfold each dump twice.
+    unfolded = dumps.withColumn("_devices", _devices.asNondeterministic()(F.col(text)))
+    return unfolded.select(*keep, F.explode("_devices").alias("device")).select(
+        *keep, "device.*"
+    )
 
 
 def scan_plan(devices: DataFrame) -> DataFrame:

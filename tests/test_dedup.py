@@ -51,7 +51,11 @@ def test_per_hash_skips_unhashed_rows_and_takes_least_size(edge):
     h1 = rows["h1"]
     assert (h1["size_bytes"], h1["total_occurrences"], h1["unique_paths"]) == (10, 3, 2)
     assert (h1["unique_filenames"], h1["manifest_count"]) == (2, 2)
-    assert (rows["h9"]["unique_paths"], rows["h9"]["example_path"]) == (0, None)
+    assert rows["h9"]["unique_paths"] == 0
+    top = dedup.with_example_path(dedup.top_waste(dedup.per_hash(edge)), edge)
+    assert {(r["hash"], r["example_path"]) for r in top.collect()} == {
+        ("h1", "/a/q,\"z\".tar.gz"), ("h10", "/big1"),
+    }
 
 
 def test_waste_beyond_64_bits(spark):

@@ -5,8 +5,9 @@ import io
 
 import pytest
 
-from hoardlens.operators import dedup, detections
-from hoardlens.plans import manifest_report, views
+from hoardlens.operators import dedup, detections, predict
+from hoardlens.plans import manifest_report, stand_ins, views
+from hoardlens.sources import inventory
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -49,5 +50,23 @@ def test_scans_read_only_what_is_used(spark, manifest):
     assert "ReadSchema: struct<l_orderkey:bigint,l_discount:double>" in text
 
 
+def test_models_run_once_per_image(spark):
+    images = views.images(spark, SF_DIR).drop("frame_id")
+    for df in (
+        predict.detect_faces(images, stand_ins.faces, 0.5, "/crops"),
+        predict.detect_objects(images, stand_ins.objects, {0: "cat"}),
+    ):
+        assert plan(df).split("\n\n")[0].count("EvalPython") == 1
+    dumps = views.inventory(spark, SF_DIR)
+    flat = plan(inventory.flatten_inventory(dumps, "dump", ["c_custkey"]))
+    assert flat.split("\n\n")[0].count("EvalPython") == 1
+
+
+def test_duplicate_aggregations_are_hashed(manifest):
+    for df in (dedup.per_hash(manifest), dedup.file_types(manifest), dedup.path_sizes(manifest)):
+        text = plan(df)
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_per_hash_reads_the_input_once(manifest):
     assert plan(dedup.per_hash(manifest)).split("\n\n")[0].count("Scan parquet") == 1

@@ -111,6 +111,7 @@ def with_example_path(top: DataFrame, manifest: DataFrame) -> DataFrame:
     """Add the first path of each hash to a top-n report.
 
     ``top`` comes out of a ``limit``, so it may be broadcast; only its hashes are aggregated.
+    Store it first, as it is read twice.
     """
     keys = F.broadcast(top.select("hash"))
     first = (

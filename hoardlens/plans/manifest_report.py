@@ -69,16 +69,18 @@ def type_report(manifest: DataFrame, limit: int = 20) -> DataFrame:
 def full_report(manifest: DataFrame) -> dict[str, DataFrame]:
     """Every part of the full analysis; the per-hash table is computed once and stored."""
     by_hash = materialize(dedup.per_hash(manifest), "per-hash")
-    waste = dedup.with_example_path(dedup.top_waste(by_hash), manifest)
-    shared = dedup.with_example_path(dedup.cross_manifest(by_hash), manifest)
+    top_waste = materialize(dedup.top_waste(by_hash), "top")
+    top_shared = materialize(dedup.cross_manifest(by_hash), "top")
+    waste = dedup.with_example_path(top_waste, manifest)
+    shared = dedup.with_example_path(top_shared, manifest)
     return {
         "overall_stats": overall(manifest, by_hash),
         "top_paths_by_size": dedup.top_paths(manifest),
         "top_duplicates": waste,
-        "top_duplicate_paths": dedup.lists_for(waste, manifest, "path", "sample_paths"),
+        "top_duplicate_paths": dedup.lists_for(top_waste, manifest, "path", "sample_paths"),
         "cross_manifest_files": shared,
         "cross_manifest_sources": dedup.lists_for(
-            shared, manifest, "source_filename", "source_manifests"
+            top_shared, manifest, "source_filename", "source_manifests"
         ),
         "file_type_distribution": type_report(manifest),
     }

@@ -51,14 +51,14 @@ def comparable(df: DataFrame, exact: bool = False) -> DataFrame:
 @query
 def top_duplicates_by_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = dedup.top_waste(dedup.per_hash(manifest))
+    top = materialize(dedup.top_waste(dedup.per_hash(manifest)), "top")
     return comparable(dedup.with_example_path(top, manifest))
 
 
 @query
 def top_duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = dedup.top_waste(dedup.per_hash(manifest))
+    top = materialize(dedup.top_waste(dedup.per_hash(manifest)), "top")
     return comparable(dedup.lists_for(top, manifest, "path", "sample_paths"))
 
 
@@ -115,14 +115,14 @@ def top_paths_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cross_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = dedup.cross_manifest(dedup.per_hash(manifest))
+    top = materialize(dedup.cross_manifest(dedup.per_hash(manifest)), "top")
     return comparable(dedup.with_example_path(top, manifest))
 
 
 @query
 def cross_manifest_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = dedup.cross_manifest(dedup.per_hash(manifest))
+    top = materialize(dedup.cross_manifest(dedup.per_hash(manifest)), "top")
     return comparable(
         dedup.lists_for(top, manifest, "source_filename", "source_manifests")
     )

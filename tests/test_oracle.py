@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from hoardlens.plans.oracles import ORACLES
+from hoardlens.plans.queries import QUERIES
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,8 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry_runs(spark):

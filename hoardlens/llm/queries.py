@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoardlens.llm import bpe, decontaminate
+from hoardlens.llm import bpe, decontaminate, secrets, shards, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,35 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(docs, benchmark)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_bpe_codec)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op4_sharding,
+        op5_bpe_codec,
+        op7_secret_scan,
+        op10_topk_search,
+    )
+}
 
-ORACLES = {"op1_decontamination": decontaminate.ORACLE}
+ORACLES = {
+    "op1_decontamination": decontaminate.ORACLE,
+    "op7_secret_scan": secrets.ORACLE,
+    "op10_topk_search": topk.ORACLE,
+}

@@ -59,7 +59,7 @@ def hash_slot(key: Column, slots: int) -> Column:
 
 
 class Sieve:
-    """A set of 64-bit keys as a bitmap of fixed size: may let other keys pass, never drops one.
+    """A set of hashes (64 bits) as a bitmap of fixed size: may let others pass, never drops one.
 
     The bitmap is built by Spark in buckets of 4 KB; the driver only joins its 2,048 buckets,
     so neither its size nor the broadcast grows with the data. A full sieve lets all rows
@@ -67,7 +67,7 @@ class Sieve:
     """
 
     def __init__(self, keys: DataFrame, column: str, bits: int = SIEVE_BITS):
-        slot = hash_slot(F.col(column), bits)
+        slot = F.pmod(F.col(column), F.lit(bits).cast("bigint"))
         rows = (
             keys.select((slot + 1).alias("slot"))
             .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
@@ -81,10 +81,6 @@ class Sieve:
         self.bits = bits
         self.table = keys.sparkSession.sparkContext.broadcast(table)
 
-    def slot(self, key: str) -> Column:
-        """The place of a key, to be handed to ``passes``."""
-        return hash_slot(F.col(key), self.bits)
-
-    def passes(self, slots: np.ndarray) -> np.ndarray:
-        slots = slots.astype(np.int64)
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        slots = hashes.astype(np.int64) & (self.bits - 1)
         return (self.table.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoardlens.llm import bpe, decontaminate, secrets, shards, topk
+from hoardlens.llm import bpe, decontaminate, jaccard, secrets, shards, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(docs, benchmark)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, _ = jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+    return classes
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op3_ngram_jaccard,
         op4_sharding,
         op5_bpe_codec,
         op7_secret_scan,
@@ -45,6 +51,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op3_ngram_jaccard": jaccard.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op10_topk_search": topk.ORACLE,
 }

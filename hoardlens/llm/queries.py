@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoardlens.llm import bpe, decontaminate, jaccard, secrets, shards, topk
+from hoardlens.llm import bpe, decontaminate, jaccard, secrets, shards, suffixes, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ QUERIES = {
         op4_sharding,
         op5_bpe_codec,
         op7_secret_scan,
+        op9_suffix_dedup,
         op10_topk_search,
     )
 }

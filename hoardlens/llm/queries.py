@@ -4,7 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hoardlens.llm import bpe, decontaminate, jaccard, secrets, shards, suffixes, topk
+from hoardlens.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    language,
+    secrets,
+    shards,
+    suffixes,
+    topk,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +26,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(docs, benchmark)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_digest(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, _ = jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
     return classes
@@ -33,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -45,10 +63,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_language_id,
         op3_ngram_jaccard,
         op4_sharding,
         op5_bpe_codec,
         op7_secret_scan,
+        op8_toxicity,
         op9_suffix_dedup,
         op10_topk_search,
     )

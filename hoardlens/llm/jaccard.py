@@ -404,7 +404,9 @@ def _rest(groups: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS
 ) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, n_shingles, component_id`` of every row, and the links between different sets.
+    """``doc_id, text_key, n_shingles, component_id`` of every row, and the links between different sets.
+
+    ``text_key`` is the xxhash64 of the text, for joins back to rows whose ids may repeat.
 
     Two texts link at a Jaccard similarity of 0.8 or more of their shingle sets. Equal sets are
     one node from the start. Each key first offers its least member as a partner for the others;
@@ -419,6 +421,7 @@ def jaccard_components(
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = named.withColumn("text_key", F.xxhash64("text"))
     meta = append_columns(named, ["text"], _facts(words), "n_shingles bigint, fp bigint, sketch binary")
     meta = materialize(meta.drop("text"), "facts")
     nodes = meta.where("fp IS NOT NULL").select("fp", "n_shingles", "sketch").distinct()
@@ -456,7 +459,7 @@ def jaccard_components(
     keyed = join_keyed(placed, named_roots, "root", "m", "fp").select("fp", "n", "component")
     out = join_keyed(meta.drop("sketch").withColumn("salt", F.monotonically_increasing_id()), keyed, "fp", "n", "salt")
     return (
-        out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")),
+        out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")),
         links,
     )
 

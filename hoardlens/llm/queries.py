@@ -12,6 +12,7 @@ from hoardlens.llm import (
     secrets,
     shards,
     suffixes,
+    token_counts,
     topk,
     toxicity,
 )
@@ -32,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, _ = jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
-    return classes
+    return classes.select("doc_id", "n_shingles", "component_id")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
         op3_ngram_jaccard,
         op4_sharding,
         op5_bpe_codec,
+        op6_token_counts,
         op7_secret_scan,
         op8_toxicity,
         op9_suffix_dedup,

@@ -150,7 +150,7 @@ class Index:
             near = self.nearest(*self.vector(c), skip=i)
             rows.append((1.0, self._vote(near), 1.0 if near else 0.0))
         x, y = np.array(rows).reshape(-1, 3), self.labels.astype(float)
-        share = y.mean() if len(y) else 0.5
+        share = y.mean() if len(y) else 0.0
         rate = min(max(base_rate, 1e-3), 1 - 1e-3)
         weight = np.where(y > 0, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
         self.curve = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])

@@ -219,17 +219,26 @@ def _sketches_pass(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
 
 
 def _facts(words: int):
+    """Size, name, sketch and keys of each set; keys once per set and task."""
+
     def make():
-        known = _Words()
+        known, seen, none = _Words(), _Seen(), np.empty(0, _U)
 
         def step(columns):
-            sizes, names, sketches = [], [], []
+            sizes, names, sketches, keys = [], [], [], []
             for text in blobs(columns[0]):
                 tokens = shingle_hashes(text, known, words)
+                name = fingerprint(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
-                names.append(fingerprint(tokens) if len(tokens) else None)
+                names.append(name)
                 sketches.append(sketch(tokens) if len(tokens) else None)
-            return [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(sketches, pa.binary())]
+                keys.append(none if name is None or seen.again(name) else set_keys(tokens))
+            return [
+                pa.array(sizes, pa.int64()),
+                pa.array(names, pa.int64()),
+                pa.array(sketches, pa.binary()),
+                _lists(keys, pa.int64()),
+            ]
 
         return step
 
@@ -254,26 +263,20 @@ def _lists(rows, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64), kind))
 
 
-def _set_rows(words: int, values, wanted: Sieve | None = None):
-    """Rows ``fp, values`` of each set once per task; only those a sieve lets pass."""
+def _set_rows(words: int, wanted: Sieve):
+    """Rows ``fp, items`` of the texts whose key a sieve lets pass, each set once per task."""
 
     def run(batches):
         known, seen = _Words(), _Seen()
         for batch in batches:
             names, rows = [], []
-            for text in blobs(batch.column(0)):
+            passed = batch.filter(pa.array(wanted.passes(batch.column(1).to_numpy()), pa.bool_()))
+            for text in blobs(passed.column(0)):
                 tokens = shingle_hashes(text, known, words)
-                if len(tokens) == 0:
-                    continue
-                name = fingerprint(tokens)
-                if seen.again(name):
-                    continue
-                if wanted is not None and not wanted.passes(np.array([name]))[0]:
-                    continue
-                found = values(tokens)
-                if len(found):
+                name = fingerprint(tokens) if len(tokens) else None
+                if name is not None and not seen.again(name):
                     names.append(name)
-                    rows.append(found)
+                    rows.append(tokens)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), _lists(rows, pa.int64())], ["fp", "items"]
             )
@@ -281,15 +284,15 @@ def _set_rows(words: int, values, wanted: Sieve | None = None):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _verified(texts: DataFrame, facts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """The pairs ``x, y`` of set fingerprints that link, by the size of the intersection of whole sets.
 
-    Only sets of these pairs are built again from the texts. The set of a hub with many pairs is
+    Only sets of these pairs are built again, each from one text that has it. The set of a hub with many pairs is
     copied once per HUB_ROWS pairs, so no key holds all of them.
     """
     ends = pairs.select(F.col("x").alias("fp")).union(pairs.select(F.col("y").alias("fp"))).distinct()
-    sieve = Sieve(ends, "fp")
-    kept = docs.mapInArrow(_set_rows(words, lambda t: t, sieve), "fp bigint, items array<bigint>")
+    sources = facts.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key"))
+    kept = texts.mapInArrow(_set_rows(words, Sieve(sources, "text_key")), "fp bigint, items array<bigint>")
     sets = kept.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"))
     sets = materialize(sets, "sets")
     hubs = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
@@ -419,32 +422,38 @@ def jaccard_components(
     table gives no rows. Other columns are left aside.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text).alias("text"))
+    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = named.withColumn("text_key", F.xxhash64("text"))
-    meta = append_columns(named, ["text"], _facts(words), "n_shingles bigint, fp bigint, sketch binary")
-    meta = materialize(meta.drop("text"), "facts")
+    fields = "n_shingles bigint, fp bigint, sketch binary, items array<bigint>"
+    meta = materialize(append_columns(named, ["text"], _facts(words), fields).drop("text"), "facts")
     nodes = meta.where("fp IS NOT NULL").select("fp", "n_shingles", "sketch").distinct()
 
-    keys = texts.mapInArrow(_set_rows(words, set_keys), "fp bigint, items array<bigint>")
     by_key = Window.partitionBy("sig")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = (
-        keys.select(F.explode("items").alias("sig"), "fp")
+    shared = (
+        meta.select(F.explode("items").alias("sig"), "fp")
         .repartition(parts, "sig")
-        .withColumn("hub", F.min("fp").over(by_key))
+        .withColumn("first", F.min("fp").over(by_key))
         .withColumn("last", F.max("fp").over(by_key))
-        .where("hub < last")
-        .select("sig", "fp", "hub")
+        .withColumn("n", F.count(F.lit(1)).over(by_key))
+        .where("first < last")
+        .select("sig", "fp", "n")
     )
-    groups = materialize(groups, "keys")
+    shared = materialize(shared, "keys")
+    # The set that meets most others is the likeliest to be near them all, as an original is to
+    # its copies.
+    met = shared.groupBy("fp").agg(F.sum("n").alias("met"))
+    hub = F.max(F.struct("met", "fp")).over(by_key)["fp"]
+    groups = shared.join(met, "fp").repartition(parts, "sig").withColumn("hub", hub).select("sig", "fp", "hub")
+    groups = materialize(groups, "hubs")
     stars = groups.where("fp != hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = stars.groupBy("fp").agg(F.max(F.struct("n", "hub"))["hub"].alias("hub"))
     first = _sketched(best.select(F.col("fp").alias("x"), F.col("hub").alias("y")), nodes)
-    links = materialize(_verified(texts, materialize(first, "pairs"), words), "links")
+    links = materialize(_verified(texts, meta, materialize(first, "pairs"), words), "links")
     rest = materialize(_rest(groups, nodes, links), "rest")
     if not rest.isEmpty():
-        links = materialize(links.union(_verified(texts, rest, words)), "links")
+        links = materialize(links.union(_verified(texts, meta, rest, words)), "links")
 
     roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     classes = meta.where("fp IS NOT NULL").groupBy("fp").agg(
@@ -457,7 +466,7 @@ def jaccard_components(
     sized = placed.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     named_roots = names.join(sized, "root")
     keyed = join_keyed(placed, named_roots, "root", "m", "fp").select("fp", "n", "component")
-    out = join_keyed(meta.drop("sketch").withColumn("salt", F.monotonically_increasing_id()), keyed, "fp", "n", "salt")
+    out = join_keyed(meta.drop("sketch", "items").withColumn("salt", F.monotonically_increasing_id()), keyed, "fp", "n", "salt")
     return (
         out.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")),
         links,

@@ -11,7 +11,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hoardlens.llm.frames import Sieve
@@ -57,19 +58,18 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         return empty, empty, empty, empty
     w = words8(data)
     hashes = _mix(_mix(w[:-8]) + w[8:] * _U(0x9E3779B97F4A7C15))
-    # Least of 2, 4, ... neighbours and its place; the left one where they are equal.
-    least, place, span = hashes, np.arange(len(hashes), dtype=np.int32), 1
-    pieces = length - ANCHOR + 1
+    # Least of 2, 4, ... neighbours by half a hash and the place, so the left one of equals.
+    least = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=_U)
+    span, pieces = 1, length - ANCHOR + 1
     while span < pieces:
         step = min(span, pieces - span)
-        right = least[step:] < least[: len(least) - step]
-        place = np.where(right, place[step:], place[: len(place) - step])
-        least = np.where(right, least[step:], least[: len(least) - step])
+        least = np.minimum(least[step:], least[: len(least) - step])
         span += step
-    cut = np.flatnonzero(np.diff(place)) + 1
+    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [starts]]) - 1
-    return place[first], least[first].view(np.int64), first, last
+    place = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
+    return place, hashes[place].view(np.int64), first, last
 
 
 # Induced sorting.
@@ -323,10 +323,17 @@ def _anchor_rows(copied: Sieve):
     return run
 
 
-def _context_rows(copied: Sieve, shared: Sieve, common: Sieve):
-    """Strings around shared anchors, as one context per anchor; those of common anchors one by one."""
-    names = ["anchor", "doc_id", "text_key", "start", "context"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def _form(string: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(string) - (1 << 63)
+
+
+def _occurrences(copied: Sieve, shared: Sieve, common: Sieve):
+    """Places of shared anchors with a hash, the form, of all strings around them.
+
+    For a common anchor each string stands for itself, named by its own hash.
+    """
+    names = ["anchor", "doc_id", "text_key", "start", "size", "form", "alone"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -343,14 +350,12 @@ def _context_rows(copied: Sieve, shared: Sieve, common: Sieve):
             for name, a, b, alone in zip(
                 hashes[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), single.tolist()
             ):
-                if not alone:
-                    rows.append((name, doc_id, key, a, raw[a : b + LENGTH]))
-                    continue
-                for at in range(a, b + 1):
-                    string = raw[at : at + LENGTH]
-                    own = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little", signed=True)
-                    rows.append((own, doc_id, key, at, string))
-            if len(rows) >= 20_000:
+                if alone:
+                    strings = ((_form(raw[at : at + LENGTH]), at) for at in range(a, b + 1))
+                    rows += [(own, doc_id, key, at, 1, 0, True) for own, at in strings]
+                else:
+                    rows.append((name, doc_id, key, a, b - a + 1, _form(raw[a : b + LENGTH]), False))
+            if len(rows) >= 50_000:
                 yield batch_of(rows)
                 rows = []
         if rows:
@@ -359,20 +364,46 @@ def _context_rows(copied: Sieve, shared: Sieve, common: Sieve):
     return run
 
 
+def _contexts(copied: Sieve, contested: Sieve, first_of_form: Sieve):
+    """The strings themselves around anchors that come in several forms, once per form."""
+    names = ["anchor", "doc_id", "text_key", "start", "context"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def run(batches):
+        for doc_id, key, data in _rows(batches, copied):
+            _, hashes, first, last = anchors(data)
+            wanted = np.flatnonzero(contested.passes(hashes)) if len(hashes) else hashes
+            if len(wanted) == 0:
+                continue
+            raw = data.tobytes()
+            pieces = [raw[a : b + LENGTH] for a, b in zip(first[wanted].tolist(), last[wanted].tolist())]
+            forms = np.array([_form(p) for p in pieces], np.int64)
+            kept = np.flatnonzero(first_of_form.passes(hashes[wanted] ^ forms ^ np.int64(doc_id)))
+            if len(kept):
+                columns = (
+                    hashes[wanted][kept], np.full(len(kept), doc_id), np.full(len(kept), key),
+                    first[wanted][kept], [pieces[i] for i in kept],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return run
+
+
 def _shards(batches):
-    """Contexts sorted by anchor in, runs of strings with the least document of an equal one out."""
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("owner", pa.int64())]))
+    """Contexts sorted by anchor in; out come ranges whose strings an earlier document holds."""
 
     def done(rows):
-        least = earliest([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
-        runs = []
-        for values in least:
-            cut = np.flatnonzero(values[1:] != values[:-1]) + 1
-            first, last = [0, *cut.tolist()], [*(cut - 1).tolist(), len(values) - 1]
-            runs.append([{"first": a, "last": b, "owner": int(values[a])} for a, b in zip(first, last)])
+        owners = np.array([r[1] for r in rows], np.int64)
+        out = [[], [], [], []]
+        for row, least in zip(rows, earliest([r[4] for r in rows], owners)):
+            repeated = np.concatenate([[False], least < row[1], [False]])
+            edges = np.flatnonzero(repeated[1:] != repeated[:-1]).reshape(-1, 2)
+            for a, b in edges.tolist():
+                for column, value in zip(out, (row[1], row[2], row[3] + a, row[3] + b - 1 + LENGTH)):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(runs, kind)],
-            ["anchor", "context_key", "runs"],
+            [pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "text_key", "begin", "end"]
         )
 
     rows, size = [], 0
@@ -382,7 +413,7 @@ def _shards(batches):
                 yield done(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[2]) + 1
+            size += len(row[4]) + 1
     if rows:
         yield done(rows)
 
@@ -453,38 +484,54 @@ def repeated_spans(docs: DataFrame, keys: DataFrame) -> DataFrame:
     in_several = Sieve(shared, "anchor", ANCHOR_BITS)
     in_many = Sieve(shared.where(F.col("n") > COMMON), "anchor")
 
-    contexts = rows.mapInArrow(
-        _context_rows(copied, in_several, in_many),
-        "anchor bigint, doc_id bigint, text_key bigint, start bigint, context binary",
-    ).withColumn("context_key", F.xxhash64("context"))
-    contexts = materialize(contexts, "contexts")
-    # Equal contexts are combined before the shuffle; the first document stands for them.
-    forms = contexts.groupBy("anchor", "context_key", "context").agg(F.min("doc_id").alias("owner"))
-    dealt = forms.select("anchor", "context_key", "context", "owner").repartition(parts, "anchor")
-    runs = dealt.sortWithinPartitions("anchor").mapInArrow(
-        _shards, "anchor bigint, context_key bigint, runs array<struct<first:int,last:int,owner:bigint>>"
+    found = rows.mapInArrow(
+        _occurrences(copied, in_several, in_many),
+        "anchor bigint, doc_id bigint, text_key bigint, start int, size int, form bigint, alone boolean",
     )
-    runs = materialize(runs, "runs")
-    sizes = contexts.groupBy("anchor", "context_key").agg(F.count(F.lit(1)).alias("n"))
-    keyed = runs.join(sizes, ["anchor", "context_key"]).select(
-        F.struct("anchor", "context_key").alias("key"), "runs", "n"
-    )
-    placed = contexts.select("doc_id", "text_key", "start", F.struct("anchor", "context_key").alias("key"))
-    earlier = join_keyed(placed.withColumn("salt", F.xxhash64("doc_id", "start")), keyed, "key", "n", "salt")
-    return (
-        earlier.select("doc_id", "text_key", "start", F.explode("runs").alias("run"))
-        .where(F.col("run.owner") < F.col("doc_id"))
+    found = materialize(found, "occurrences")
+
+    # Equal forms: all but the first document's are repeats as a whole. Where an anchor has
+    # several forms, the first of each goes to a suffix array with the others.
+    by_form, by_anchor = Window.partitionBy("anchor", "form"), Window.partitionBy("anchor")
+    later = F.col("owner") < F.col("doc_id")
+    placed = (
+        found.where("NOT alone")
+        .drop("alone")
+        .repartition(parts, "anchor")
+        .withColumn("owner", F.min("doc_id").over(by_form))
+        .withColumn("low", F.min("form").over(by_anchor))
+        .withColumn("high", F.max("form").over(by_anchor))
+        .where(later | (F.col("low") < F.col("high")))
         .select(
-            "doc_id",
-            "text_key",
-            F.struct(
-                (F.col("start") + F.col("run.first")).alias("begin"),
-                (F.col("start") + F.col("run.last") + LENGTH).alias("end"),
-            ).alias("span"),
+            "doc_id", "text_key", "start", "size", later.alias("later"),
+            F.when(~later, F.col("anchor")).alias("anchor"),
+            F.when(~later, F.col("anchor").bitwiseXOR(F.col("form")).bitwiseXOR(F.col("doc_id"))).alias("form_key"),
         )
-        .groupBy("doc_id", "text_key")
-        .agg(F.collect_list("span").alias("spans"))
+    )
+    placed = materialize(placed, "placed")
+    firsts = placed.where("NOT later")
+    span = ["doc_id", "text_key", "begin", "end"]
+    whole = placed.where("later").select(
+        "doc_id", "text_key", F.col("start").alias("begin"), (F.col("start") + F.col("size") - 1 + LENGTH).alias("end")
+    )
+    contexts = rows.mapInArrow(
+        _contexts(copied, Sieve(firsts, "anchor"), Sieve(firsts, "form_key")),
+        "anchor bigint, doc_id bigint, text_key bigint, start int, context binary",
+    )
+    partial = (
+        contexts.repartition(parts, "anchor")
+        .sortWithinPartitions("anchor")
+        .mapInArrow(_shards, "doc_id bigint, text_key bigint, begin int, end int")
+    )
+    # Strings of common anchors: the least document of each, joined back without meeting in one task.
+    single = found.where("alone").select("anchor", "doc_id", "text_key", "start")
+    owners = single.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"))
+    owned = join_keyed(single.withColumn("salt", F.xxhash64("doc_id", "start")), owners, "anchor", "n", "salt")
+    strings = owned.where(later).select(
+        "doc_id", "text_key", F.col("start").alias("begin"), (F.col("start") + LENGTH).alias("end")
     )
+    spans = whole.select(span).unionByName(partial.select(span)).unionByName(strings.select(span))
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -15,10 +15,11 @@ from hoardlens.llm.folds import held_out, sample_per_class
 from hoardlens.llm.frames import append_columns, blobs
 
 EXAMPLES = 2_500  # labelled examples of each class, at most about so many
-TERMS = 4_000  # terms of the index
+TERMS = 1_000  # terms of the index, those that say most about the label
+LEAST_SIGNAL = 3.84  # chi-square of a term with the label, five percent
 LEAST_DOCS = 4  # examples a term must occur in
 NEIGHBOURS = 15
-BLOCK = 64  # examples of a block
+BLOCK = 256  # examples of a block
 SHARPNESS = 2  # votes count by the cosine to this power
 PREFIXES = (4, 5, 6)  # a word also stands for its first bytes
 KNOWN_WORDS = 400_000
@@ -81,7 +82,7 @@ class Index:
             excess = a * clean - b * toxic
             spread = n * max(rest, 1) * max(toxic, 1) * max(clean, 1)
             value = len(self.labels) * excess * excess / spread
-            if value > 3.84:  # five percent
+            if value > LEAST_SIGNAL:
                 scored.append((-value, term))
         return {term: i for i, (_, term) in enumerate(sorted(scored)[:TERMS])}
 
@@ -156,12 +157,21 @@ class Index:
         self.curve = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
         if not 0 < share < 1:
             return
-        ridge = np.diag([0.1, 0.1, 0.1])
+        ridge = np.diag([0.01, 0.1, 0.1])
+
+        def loss(curve):
+            z = x @ curve
+            return float(weight @ (np.logaddexp(0, z) - y * z) + 0.5 * curve @ ridge @ curve)
+
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
             gradient = x.T @ (weight * (p - y)) + ridge @ self.curve
             hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge
-            self.curve = self.curve - np.linalg.solve(hessian, gradient)
+            step, now = np.linalg.solve(hessian, gradient), loss(self.curve)
+            # Newton's step can overshoot where the classes lie apart; it is halved until it helps.
+            while np.abs(step).max() > 1e-9 and loss(self.curve - step) > now:
+                step = step / 2
+            self.curve = self.curve - step
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
         near = self.nearest(*self.query(text))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hoardlens.functions import paths
+
 MIN_SIDE = 112  # smallest side an embedding model is given
 CROP_PADDING = 0.1  # share of the box added on every side of a crop
 
@@ -59,9 +61,12 @@ def padded_crop(
     }
 
 
-def crop_name(folder: str, stem: Column, index: Column, suffix: Column) -> Column:
-    """Path of a face crop below ``folder``."""
-    return F.format_string("%s/%s_face_%02d%s", F.lit(folder.rstrip("/")), stem, index, suffix)
+def crop_name(folder: str, path: Column, index: Column) -> Column:
+    """Path of a face crop below ``folder``; a hash keeps apart images of one name in two folders."""
+    mark = F.left(F.sha2(path, 256), F.lit(12))
+    return F.format_string(
+        "%s/%s_%s_face_%02d%s", F.lit(folder.rstrip("/")), paths.stem(path), mark, index, paths.suffix(path)
+    )
 
 
 def model_input_size(width: Column, height: Column) -> dict[str, Column]:

@@ -43,6 +43,8 @@ def _planes(
     data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series
 ) -> pd.Series:
     def scale(raw, h, w, c):
+        if raw is None or not h or h <= 0:
+            return None
         pixels = np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w), int(c))
         unit = (pixels.astype(np.float32) / np.float32(255.0) - np.float32(0.5)) / np.float32(0.5)
         return unit.transpose(2, 0, 1).ravel()

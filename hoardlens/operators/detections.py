@@ -35,10 +35,7 @@ def face_rows(
     corners = {f"bbox_{c}": boxes.whole_pixels(F.col(c)) for c in ("x1", "y1", "x2", "y2")}
     crop_path = F.lit(None).cast("string")
     if crop_folder is not None:
-        path = F.col("path")
-        crop_path = boxes.crop_name(
-            crop_folder, paths.stem(path), F.col("face_id"), paths.suffix(path)
-        )
+        crop_path = boxes.crop_name(crop_folder, F.col("path"), F.col("face_id"))
     rows = confident(raw, "det_score", threshold).select(
         paths.base_name(F.col("path")).alias("source_file"),
         "frame_id",

@@ -127,7 +127,7 @@ def crop_faces(
         corner["x1"], corner["y1"], corner["x2"], corner["y2"],
         F.col("image_width"), F.col("image_height"),
     )
-    name = boxes.crop_name(crop_folder, paths.stem(path), F.col("face_id"), paths.suffix(path))
+    name = boxes.crop_name(crop_folder, path, F.col("face_id"))
     cut = pixels.crop_image(F.col("image"), *crop.values())
     return raw.select(
         name.alias("cropped_face_path"), path.alias("source_path"), "frame_id", "face_id",
@@ -184,9 +184,12 @@ def embed_detections(
 def similar_faces(
     embeddings: DataFrame, query: DataFrame, model: Model, top_k: int = 5
 ) -> DataFrame:
-    """Stored faces most similar to one image (``path``, ``image``); none if it has no face."""
-    row = embed_faces(query.limit(1), model).select("embedding").first()
-    return similarity.similar(embeddings, row and row["embedding"], top_k).select(
+    """Stored faces most similar to each image (``path``, ``image``); none for one without a face."""
+    asked = embed_faces(query, model).select(F.col("path").alias("id"), "embedding")
+    found = similarity.similar_batch(embeddings, asked, top_k)
+    stored = embeddings.select("id", "cropped_face_path", "source_file", "confidence")
+    return found.join(stored, "id").select(
+        F.col("query_id").alias("query_path"),
         F.col("id").alias("face_id"),
         "similarity",
         F.col("cropped_face_path").alias("face_path"),

@@ -11,17 +11,16 @@ from pyspark.sql import functions as F
 
 from hoardlens.functions.vectors import cosine_similarity, literal_vector
 from hoardlens.operators.blocks import (
-    chunk_count,
+    BLOCK_ROWS,
     chunk_of,
     column,
     every_chunk,
-    slices,
     spread_blocks,
     values,
     vectors,
 )
 
-QUERY_LIMIT = 2048  # queries whose matrix is sent to every task
+CHUNK_ROWS = 32_768  # rows shuffled to a chunk of queries at once, compared in tiles of BLOCK_ROWS
 DIGITS = 12  # similarities that agree to this many digits are ties, ordered by id
 
 
@@ -83,65 +82,62 @@ def similar_batch(
 ) -> DataFrame:
     """``query_id, id, similarity, rank``: the same search for a table of queries.
 
-    Up to QUERY_LIMIT queries travel to the data, which is then not shuffled. More queries
-    meet the data in block pairs. Either way a task returns only its best rows per query.
+    Chunks of queries meet chunks of rows, whatever their numbers; each side keeps its own type
+    of id. A task returns the best rows of a chunk per query.
     """
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("vec"))
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    rows = rows.where(F.col("vec").isNotNull())
-    schema = (
-        f"query_id {asked.schema['id'].dataType.simpleString()}, "
-        f"id {rows.schema['id'].dataType.simpleString()}, similarity double"
-    )
-    first = asked.where(F.col("vec").isNotNull()).limit(QUERY_LIMIT + 1).collect()
-    if not first:
+    asked, rows = asked.where(F.col("vec").isNotNull()), rows.where(F.col("vec").isNotNull())
+    kinds = [asked.schema["query_id"].dataType, rows.schema["id"].dataType]
+    schema = f"query_id {kinds[0].simpleString()}, id {kinds[1].simpleString()}, similarity double"
+    first, n, q = rows.first(), rows.count(), asked.count()
+    if first is None or q == 0:
         found = rows.sparkSession.createDataFrame([], schema)
-    elif len(first) <= QUERY_LIMIT:
-        matrix = np.array([r["vec"] for r in first], dtype=np.float64)
-        names = np.array([r["id"] for r in first], dtype=object)
-        name_type = pa.array([r["id"] for r in first]).type
-
-        def score(batches):
-            for table in slices(batches):
-                found = _scored(
-                    names, matrix, values(table, "id"),
-                    vectors(table, "vec", matrix.shape[1]), top_k,
-                    (name_type, table.schema.field("id").type),
-                )
-                yield from found.to_batches()
-
-        found = rows.mapInArrow(score, schema)
     else:
-        found = _blockwise(rows, asked, top_k, len(first[0]["vec"]), schema)
+        found = _blockwise(rows, asked, kinds, top_k, len(first["vec"]), n, q, schema)
     order = [F.col("similarity").desc_nulls_last(), F.col("id").asc()]
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return found.withColumn("rank", place).where(F.col("rank") <= top_k)
 
 
 def _blockwise(
-    rows: DataFrame, asked: DataFrame, top_k: int, dim: int, schema: str
+    rows: DataFrame, asked: DataFrame, kinds: list, top_k: int, dim: int, n: int, q: int, schema: str
 ) -> DataFrame:
-    n, q = rows.count(), asked.count()
-    row_chunks, query_chunks = chunk_count(F.lit(n)), chunk_count(F.lit(q))
-    left = asked.where(F.col("vec").isNotNull()).select(
-        chunk_of(F.col("id"), query_chunks, 1).alias("qc"),
-        every_chunk(row_chunks).alias("rc"), "id", "vec", F.lit(True).alias("asked"),
+    row_chunks = F.lit(max(1, -(-n // CHUNK_ROWS)))
+    query_chunks = F.lit(max(1, -(-q // BLOCK_ROWS)))
+    left = asked.select(
+        chunk_of(F.col("query_id"), query_chunks, 1).alias("qc"),
+        every_chunk(row_chunks).alias("rc"),
+        "query_id", F.lit(None).cast(kinds[1]).alias("id"), "vec", F.lit(True).alias("asked"),
     )
     right = rows.select(
         every_chunk(query_chunks).alias("qc"),
-        chunk_of(F.col("id"), row_chunks, 2).alias("rc"), "id", "vec",
-        F.lit(False).alias("asked"),
+        chunk_of(F.col("id"), row_chunks, 2).alias("rc"),
+        F.lit(None).cast(kinds[0]).alias("query_id"), "id", "vec", F.lit(False).alias("asked"),
     )
 
     def score(table: pa.Table) -> pa.Table:
         is_query = values(table, "asked").astype(bool)
-        ids, both = values(table, "id"), vectors(table, "vec", dim)
-        kind = column(table, "id").type
-        return _scored(
-            ids[is_query], both[is_query], ids[~is_query], both[~is_query], top_k, (kind, kind)
+        both = vectors(table, "vec", dim)
+        types = (column(table, "query_id").type, column(table, "id").type)
+        query_ids, ids = values(table, "query_id")[is_query], values(table, "id")[~is_query]
+        data = both[~is_query]
+        # Tiles bound the matrix of products; the best of all tiles leave the task.
+        tiles = [
+            _scored(query_ids, both[is_query], ids[at : at + BLOCK_ROWS], data[at : at + BLOCK_ROWS], top_k, types)
+            for at in range(0, len(ids), BLOCK_ROWS)
+        ]
+        if not tiles:
+            return _scored(query_ids, both[is_query], ids, data, top_k, types)
+        whole = pa.concat_tables(tiles)
+        if len(tiles) == 1:
+            return whole
+        ordered = whole.to_pandas().sort_values(
+            ["query_id", "similarity", "id"], ascending=[True, False, True], na_position="last"
         )
+        return pa.Table.from_pandas(ordered.groupby("query_id", sort=False).head(top_k), whole.schema, preserve_index=False)
 
-    blocks = -(-n // 2048) * -(-q // 2048)
-    volume = (n * -(-q // 2048) + q * -(-n // 2048)) * dim * 8
+    volume = (n * -(-q // BLOCK_ROWS) + q * -(-n // CHUNK_ROWS)) * dim * 8
+    blocks = -(-n // CHUNK_ROWS) * -(-q // BLOCK_ROWS)
     spread = spread_blocks(left.unionByName(right), ["qc", "rc"], blocks, volume)
     return spread.groupBy("qc", "rc").applyInArrow(score, schema)

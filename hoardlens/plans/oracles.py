@@ -148,22 +148,20 @@ WITH {MANIFEST},
 raw AS (SELECT CASE WHEN filename_only LIKE '%.%'
                     THEN upper(regexp_extract(filename_only, '\\.([^.]+)$', 1))
                     ELSE 'NO_EXTENSION' END AS file_extension, hash, size_bytes FROM hashed),
-st AS (SELECT file_extension, count(*) AS file_count, count(DISTINCT hash) AS unique_files,
-              CAST(sum(size_bytes) AS BIGINT) AS total_size,
-              round(avg(size_bytes), 6) AS avg_size,
-              min(size_bytes) AS min_size, max(size_bytes) AS max_size
-       FROM raw GROUP BY file_extension),
-dd AS (SELECT file_extension, CAST(sum(s) AS BIGINT) AS deduplicated_total_size
-       FROM (SELECT file_extension, hash, min(size_bytes) AS s FROM raw GROUP BY ALL)
-       GROUP BY file_extension)
-SELECT st.*, deduplicated_total_size,
-       total_size - deduplicated_total_size AS space_saved_by_type,
+marked AS (SELECT *, row_number() OVER (PARTITION BY file_extension, hash ORDER BY size_bytes) = 1 AS kept
+           FROM raw),
+sums AS (SELECT file_extension, count(*) AS file_count, CAST(count_if(kept) AS BIGINT) AS unique_files,
+                CAST(sum(size_bytes) AS BIGINT) AS total_size,
+                round(avg(size_bytes), 6) AS avg_size,
+                min(size_bytes) AS min_size, max(size_bytes) AS max_size,
+                CAST(sum(if(kept, size_bytes, 0)) AS BIGINT) AS deduplicated_total_size
+         FROM marked GROUP BY file_extension)
+SELECT *, total_size - deduplicated_total_size AS space_saved_by_type,
        CASE WHEN file_extension = '' THEN 'NO_EXT' ELSE file_extension END AS label,
        CASE WHEN total_size > 0
             THEN round(CAST(total_size - deduplicated_total_size AS DOUBLE)
                        / CAST(total_size AS DOUBLE) * 100, 6) ELSE 0.0 END AS savings_pct
-FROM st JOIN dd USING (file_extension)
-ORDER BY total_size DESC, file_extension LIMIT 20""",
+FROM sums ORDER BY total_size DESC, file_extension LIMIT 20""",
     "format_bytes_column": f"""
 WITH {MANIFEST},
 c AS (SELECT size_bytes, count(*) AS files FROM manifest GROUP BY size_bytes)
@@ -358,7 +356,7 @@ boxed AS (
   FROM dets WHERE confidence >= 0.5),
 cropped AS (
   SELECT source_file, frame_id, face_id, bbox_x1, bbox_y1, bbox_x2, bbox_y2, confidence,
-         '/crops/' || regexp_replace(source_file, '\\.jpg$', '') || '_face_'
+         '/crops/' || regexp_replace(source_file, '\\.jpg$', '') || '_' || left(sha256(source_path), 12) || '_face_'
            || printf('%02d', face_id) || '.jpg' AS cropped_face_path,
          source_path, image_width, image_height,
          greatest(0, bbox_x1 - CAST(trunc((bbox_x2 - bbox_x1) * 0.1::DOUBLE) AS INTEGER)) AS crop_x1,
@@ -382,7 +380,7 @@ found AS (
          CAST(trunc(w - 3.0 * i) AS INTEGER) AS x2, CAST(trunc(h * 0.5 + i) AS INTEGER) AS y2
   FROM (SELECT *, CAST(unnest(range(h % 3)) AS INTEGER) AS i FROM img)),
 kept AS (
-  SELECT *, '/crops/page.' || CAST(doc_id AS VARCHAR) || '_face_' || printf('%02d', i) || '.png'
+  SELECT *, '/crops/page.' || CAST(doc_id AS VARCHAR) || '_' || left(sha256(path), 12) || '_face_' || printf('%02d', i) || '.png'
            AS crop_path,
          greatest(0, x1 - CAST(trunc((x2 - x1) * 0.1::DOUBLE) AS INTEGER)) AS cx1,
          greatest(0, y1 - CAST(trunc((y2 - y1) * 0.1::DOUBLE) AS INTEGER)) AS cy1,

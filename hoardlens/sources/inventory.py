@@ -19,33 +19,57 @@ FIELDS = schemas.DEVICES.fieldNames()
 def _flat(devices: list, parent: str = "") -> Iterator[dict]:
     """Devices with their children, names qualified by their parents."""
     for device in devices:
-        name = device.get("name") or ""
+        if not isinstance(device, dict):
+            raise ValueError(f"not a device: {device!r}")
+        name = _text(device.get("name"))
         name = f"{parent}/{name}" if parent else name
-        yield {f: device.get(f) or "" for f in FIELDS} | {"name": name}
+        yield {f: _text(device.get(f)) for f in FIELDS} | {"name": name}
         yield from _flat(device.get("children") or [], name)
 
 
-@F.pandas_udf(T.ArrayType(schemas.DEVICES))
-def _devices(dumps: pd.Series) -> pd.Series:
-    return pd.Series(
-        [list(_flat(json.loads(d).get("blockdevices") or [])) if d else [] for d in dumps],
-        dtype=object,
-    )
+def _text(value) -> str:
+    if value is None or value is False:
+        return ""
+    return value if isinstance(value, str) else json.dumps(value)
+
+
+def _unfold(dump: str | None) -> tuple[list[dict], str | None]:
+    """Devices of a dump, or none and what is wrong with it."""
+    try:
+        return (list(_flat(json.loads(dump).get("blockdevices") or [])) if dump else []), None
+    except (ValueError, AttributeError, TypeError, RecursionError) as fault:
+        return [], f"{type(fault).__name__}: {fault}"
+
+
+_UNFOLDED = T.StructType().add("devices", T.ArrayType(schemas.DEVICES)).add("error", "string")
+
+
+@F.pandas_udf(_UNFOLDED)
+def _devices(dumps: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_unfold(d) for d in dumps], columns=["devices", "error"], dtype=object)
 
 
 def flatten_inventory(dumps: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per device of every JSON dump in column ``text``; missing fields become ''.
 
+    A dump that cannot be read has no rows here; ``bad_dumps`` lists it with its fault.
+
     The nesting has no fixed depth, so each dump is unfolded where it lies: one narrow pass,
     no round per level.
     """
     # Marked so that the filter Spark infers for the explode does not unfold each dump twice.
     unfolded = dumps.withColumn("_devices", _devices.asNondeterministic()(F.col(text)))
-    return unfolded.select(*keep, F.explode("_devices").alias("device")).select(
+    return unfolded.select(*keep, F.explode("_devices.devices").alias("device")).select(
         *keep, "device.*"
     )
 
 
+def bad_dumps(dumps: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The dumps that cannot be read, with ``error``."""
+    faults = dumps.select(*keep, _devices.asNondeterministic()(F.col(text))["error"].alias("error"))
+    return faults.where(F.col("error").isNotNull())
+
+
 def scan_plan(devices: DataFrame) -> DataFrame:
     """Where each device is scanned and what its manifest is called."""
     return devices.withColumn(

@@ -24,8 +24,13 @@ def find_manifests(spark: SparkSession, folder: str) -> list[str]:
     fs = path.getFileSystem(conf)
     if not fs.exists(path):
         raise FileNotFoundError(f"manifest folder not found: {folder}")
-    names = [status.getPath().getName() for status in fs.listStatus(path)]
-    return sorted(f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(".csv"))
+    names = sorted(status.getPath().getName() for status in fs.listStatus(path))
+    names = [n for n in names if n.endswith(".csv")]
+    hidden = [n for n in names if n.startswith((".", "_"))]
+    if hidden:
+        # Spark's file sources pass over such names, which would lose their rows without a word.
+        raise ValueError(f"rename these manifests, their names count as hidden: {', '.join(hidden)}")
+    return [f"{folder.rstrip('/')}/{n}" for n in names]
 
 
 def _glob_safe(path: str) -> str:
@@ -42,7 +47,7 @@ def _source_name() -> F.Column:
     parts = F.split(_plus_safe(F.col("_metadata.file_path")), "/")
     name = F.url_decode(F.try_element_at(F.filter(parts, lambda p: p.endswith(".csv")), F.lit(1)))
     # Folders written by write_manifests carry an escaped column value.
-    value = F.url_decode(_plus_safe(F.substring(name, len(PARTITION) + 1, 1 << 20)))
+    value = F.url_decode(_plus_safe(F.substring(name, F.lit(len(PARTITION) + 1), F.length(name))))
     return F.when(name.startswith(PARTITION), value).otherwise(name)
 
 
@@ -112,7 +117,11 @@ def write_manifests(manifest: DataFrame, folder: str, mode: str = "append") -> N
 
     Rows are rebalanced by device, and a device with very many rows is split over tasks.
     """
-    rows = manifest.select(*schemas.MANIFEST.fieldNames(), "source_filename")
+    name = F.col("source_filename")
+    fits = name.endswith(".csv") & ~name.startswith(".") & ~name.startswith("_")
+    refused = F.concat(F.lit("no name for a manifest, it needs the end .csv and no . or _ in front: "), F.coalesce(name, F.lit("NULL")))
+    checked = F.when(fits, name).otherwise(F.raise_error(refused))
+    rows = manifest.select(*schemas.MANIFEST.fieldNames(), checked.alias("source_filename"))
     rows.hint("rebalance", F.col("source_filename")).write.mode(mode).options(
         **CSV_OPTIONS
     ).partitionBy("source_filename").csv(folder)

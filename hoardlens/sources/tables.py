@@ -41,9 +41,9 @@ def _local_path(uri: Column) -> Column:
     return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
-def face_key() -> Column:
-    """Repeatable id of a detected face."""
-    return paths.row_key(F.col("source_file"), F.col("frame_id"), F.col("face_id"))
+def face_key(source: str = "source_file") -> Column:
+    """Repeatable id of a detected face; ``source_path`` tells apart files of one name."""
+    return paths.row_key(F.col(source), F.col("frame_id"), F.col("face_id"))
 
 
 class ClusterStore:
@@ -76,7 +76,8 @@ class ClusterStore:
         """Append faces (detection columns and ``embedding``) that have an embedding."""
         ready = faces.where(F.col("embedding").isNotNull())
         if "id" not in faces.columns:
-            ready = ready.withColumn("id", face_key())
+            source = "source_path" if "source_path" in faces.columns else "source_file"
+            ready = ready.withColumn("id", face_key(source))
         _cast(ready.withColumn("created_at", F.current_timestamp()), schemas.FACE_EMBEDDINGS).write.mode(
             "append"
         ).parquet(f"{self.root}/face_embeddings")

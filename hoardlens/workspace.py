@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}  # of local sessions without the setting, by application
 
 
 def local_session(cpus: int | str = 8, app: str = "hoardlens") -> SparkSession:
@@ -34,14 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="hoardlens-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        application = spark.sparkContext.applicationId
+        if application not in _local_folders:
+            _local_folders[application] = tempfile.mkdtemp(prefix="hoardlens-")
+        base = _local_folders[application]
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/hoardlens/{name}-{uuid.uuid4().hex}"
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _work_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/hoardlens/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application; their DataFrames cannot be read any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

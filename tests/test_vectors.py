@@ -180,19 +180,21 @@ def test_similar_orders_ties_by_id_and_puts_undefined_last(spark):
     assert similarity.similar(df, None).count() == 0
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_batch_search_with_few_and_with_many_queries(spark, monkeypatch, limit):
-    monkeypatch.setattr(similarity, "QUERY_LIMIT", limit)
+@pytest.mark.parametrize("block, chunk", [(2048, 32768), (3, 7)])
+def test_batch_search_with_one_and_with_many_chunks(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+    monkeypatch.setattr(similarity, "CHUNK_ROWS", chunk)
     rng = np.random.default_rng(0)
     rows = np.concatenate([rng.normal(size=(50, 4)), np.zeros((1, 4))])
     rows[7] = rows[8]
     df = frame(spark, range(51), rows)
-    got = similarity.similar_batch(df, df.where("id < 10"), 3).collect()
+    named = df.where("id < 10").withColumn("id", F.concat(F.lit("q"), F.col("id").cast("string")))
+    got = similarity.similar_batch(df, named, 3).collect()
     unit = rows[:50] / np.linalg.norm(rows[:50], axis=1, keepdims=True)
     for q in range(10):
         score = np.round(unit @ unit[q], 12)
         best = np.lexsort((np.arange(50), -score))[:3].tolist()
-        mine = sorted((r["rank"], r["id"]) for r in got if r["query_id"] == q)
+        mine = sorted((r["rank"], r["id"]) for r in got if r["query_id"] == f"q{q}")
         assert [i for _, i in mine] == best
 
 

@@ -386,6 +386,8 @@ def _open(df: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int
     if eps < 0 or min_samples < 1 or cell_rows < 1:
         raise ValueError("eps must not be negative; min_samples and cell_rows must be positive")
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        raise ValueError("ids must be unique")
     points = materialize(
         rows.where(has_direction("vec"))
         .groupBy("vec")

@@ -183,7 +183,7 @@ def silhouette(
 ) -> DataFrame:
     """One row ``silhouette``: the mean over all points, NULL when it is not defined.
 
-    It is defined for 2 to n - 1 labels. A NULL label is noise: one label of its own, or left
+    Vectors must be given, finite and of one length. It is defined for 2 to n - 1 labels. A NULL label is noise: one label of its own, or left
     out with ``include_noise=False``.
     """
     rows = df.select(
@@ -195,11 +195,16 @@ def silhouette(
     if not include_noise:
         rows = rows.where(~F.col("noise"))
     points = materialize(rows.drop("noise"), "labelled")
+    bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     facts = points.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct("label").alias("k"),
+        F.min(F.size("vec")).alias("least_dim"),
         F.max(F.size("vec")).alias("dim"),
+        F.coalesce(F.max(F.col("vec").isNull() | bad), F.lit(False)).alias("bad"),
     ).first()
+    if facts["bad"] or facts["least_dim"] != facts["dim"]:
+        raise ValueError("embeddings must be given, finite and of one length")
     n, k, dim = facts["n"], facts["k"], facts["dim"]
     if not 2 <= k <= n - 1:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))

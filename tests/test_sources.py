@@ -7,7 +7,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from hoardlens import schemas
+from hoardlens import schemas, workspace
+from hoardlens.functions import boxes
 from hoardlens.operators import predict
 from hoardlens.operators.dbscan import dbscan
 from hoardlens.sources import file_tree, inventory, manifests, tables
@@ -255,6 +256,46 @@ def test_store_and_export(spark, pictures, tmp_path):
     assert os.listdir(tmp_path / "out" / "noise") == ["tall.png"]
 
 
+def test_equal_file_names_keep_their_own_keys(spark):
+    rows = [("x.jpg", 0, 0, "/a/x.jpg"), ("x.jpg", 0, 0, "/b/x.jpg")]
+    faces = spark.createDataFrame(rows, "source_file string, frame_id int, face_id int, source_path string")
+    name = boxes.crop_name("/crops/", F.col("source_path"), F.col("face_id"))
+    found = faces.select(tables.face_key("source_path").alias("id"), name.alias("name")).distinct().collect()
+    assert len({r["id"] for r in found}) == len({r["name"] for r in found}) == 2
+    assert all(r["name"].startswith("/crops/x_") and r["name"].endswith("_face_00.jpg") for r in found)
+
+
+def test_manifests_that_could_not_be_read_back_are_refused(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.csv").write_text("path,hash,size_bytes\n/x,h,1\n")
+    assert manifests.read_manifests(spark, str(folder)).count() == 1
+    (folder / "_b.csv").write_text("path,hash,size_bytes\n/y,h,1\n")
+    with pytest.raises(ValueError, match="_b.csv"):
+        manifests.read_manifests(spark, str(folder))
+    for name in ("dev1", None, ".x.csv"):
+        df = spark.createDataFrame([("/x", "h", 1, name)], "path string, hash string, size_bytes bigint, source_filename string")
+        with pytest.raises(Exception, match="no name for a manifest"):
+            manifests.write_manifests(df, str(tmp_path / "out"))
+
+
+def test_bad_dumps_keep_the_others(spark):
+    good = '{"blockdevices": [{"name": "sda", "size": 5, "children": [{"name": "sda1"}]}]}'
+    rows = [(1, good), (2, "{broken"), (3, "[]"), (4, None), (5, '{"blockdevices": [7]}')]
+    dumps = spark.createDataFrame(rows, "host int, dump string")
+    flat = inventory.flatten_inventory(dumps, "dump", ["host"]).collect()
+    assert [(r["host"], r["name"], r["size"]) for r in flat] == [(1, "sda", "5"), (1, "sda/sda1", "")]
+    assert {r["host"] for r in inventory.bad_dumps(dumps, "dump", ["host"]).collect()} == {2, 3, 5}
+
+
+def test_released_tables_are_gone(spark):
+    kept = workspace.materialize(spark.range(3), "kept")
+    folder = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 2)[0]
+    assert "hoardlens" in folder and os.path.isdir(folder.replace("//", "/"))
+    workspace.release(spark)
+    assert not os.path.exists(folder.replace("//", "/"))
+
+
 def test_empty_detection_csv_has_its_header(spark, tmp_path):
     target = str(tmp_path / "d")
     tables.write_csv(spark.createDataFrame([], schemas.OBJECT_DETECTIONS), target, schemas.OBJECT_DETECTIONS)

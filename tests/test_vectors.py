@@ -173,6 +173,15 @@ def test_silhouette_matches_brute_force(spark):
     assert silhouette(df.where("cluster_id = 4")).first()[0] is None
 
 
+def test_faulty_vectors_and_ids_are_refused(spark):
+    for vec in (None, [1.0, float("nan")], [1.0]):
+        df = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1), (3, vec, 1)], "id bigint, embedding array<double>, cluster_id int")
+        with pytest.raises(ValueError, match="one length"):
+            silhouette(df)
+    with pytest.raises(ValueError, match="unique"):
+        dbscan(frame(spark, [1, 1], [[1, 0], [0, 1]]))
+
+
 def test_similar_orders_ties_by_id_and_puts_undefined_last(spark):
     df = frame(spark, [5, 3, 4, 1], [[1, 0], [2, 0], [0, 0], [0, 1]])
     got = similarity.similar(df, [1.0, 0.0], 4).orderBy("rank").collect()

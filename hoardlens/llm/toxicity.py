@@ -33,10 +33,10 @@ class Index:
     """Inverted lists of examples in blocks, with the greatest weight of each term in each block."""
 
     def __init__(self, texts: list[bytes | None], labels: list[int], ids: list, base_rate: float):
-        counts = [self._counted(Counter(words_of(t))) for t in texts]
         self.labels, self.ids = np.array(labels, np.int64), ids
-        self.number = self._choose(counts)
-        docs = Counter(t for c in counts for t in c if t in self.number)
+        self.number = self._choose(texts)
+        counts = [self._counted(Counter(words_of(t))) for t in texts]
+        docs = Counter(t for c in counts for t in c)
         self.idf = np.zeros(len(self.number), np.float64)
         for term, n in docs.items():
             self.idf[self.number[term]] = math.log((1 + len(texts)) / (1 + n)) + 1
@@ -58,21 +58,22 @@ class Index:
         self.word_terms: dict[bytes, tuple[int, ...]] = {}
         self._calibrate(counts, base_rate)
 
-    @staticmethod
-    def _counted(words: Counter) -> Counter:
+    def _counted(self, words: Counter) -> Counter:
+        """Counts of the index's terms; other terms are never kept, which bounds the memory."""
         out: Counter = Counter()
         for word, n in words.items():
             for term in terms_of(word):
-                out[term] += n
+                if term in self.number:
+                    out[term] += n
         return out
 
-    def _choose(self, counts) -> dict[bytes, int]:
+    def _choose(self, texts) -> dict[bytes, int]:
         """The terms whose presence says most about the label, by a chi-square of one degree."""
         toxic = int(self.labels.sum())
         clean = len(self.labels) - toxic
         seen = {0: Counter(), 1: Counter()}
-        for c, label in zip(counts, self.labels.tolist()):
-            seen[label].update(c.keys())
+        for text, label in zip(texts, self.labels.tolist()):
+            seen[label].update({term for word in set(words_of(text)) for term in terms_of(word)})
         scored = []
         for term in seen[0].keys() | seen[1].keys():
             a, b = seen[1][term], seen[0][term]

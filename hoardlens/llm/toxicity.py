@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,9 +16,11 @@ from hoardlens.llm.folds import held_out, sample_per_class
 from hoardlens.llm.frames import append_columns, blobs
 
 EXAMPLES = 2_500  # labelled examples of each class, at most about so many
-TERMS = 1_000  # terms of the index, those that say most about the label
+TERMS = 300  # terms of the index, those that say most about the label
 LEAST_SIGNAL = 3.84  # chi-square of a term with the label, five percent
-LEAST_DOCS = 4  # examples a term must occur in
+LEAST_DOCS = 4  # examples a term must occur in,
+LEAST_SHARE = 0.002  # and this share of them
+SKETCH = 32
 NEIGHBOURS = 15
 BLOCK = 256  # examples of a block
 SHARPNESS = 2  # votes count by the cosine to this power
@@ -29,10 +32,31 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in PREFIXES if len(word) > n]]
 
 
+def distinct(texts: list[bytes | None]) -> list[int]:
+    """Places of the examples that are no near copies of earlier ones.
+
+    Copies would make the words of one text look like signs of its label. Two examples count as
+    copies if they share half of their SKETCH least word hashes.
+    """
+    holders: dict[int, list[int]] = {}
+    kept = []
+    for i, text in enumerate(texts):
+        sketch = sorted({zlib.crc32(word) for word in set(words_of(text))})[:SKETCH]
+        shared = Counter(j for h in sketch for j in holders.get(h, ()))
+        if sketch and max(shared.values(), default=0) * 2 >= len(sketch):
+            continue
+        kept.append(i)
+        for h in sketch:
+            holders.setdefault(h, []).append(i)
+    return kept
+
+
 class Index:
     """Inverted lists of examples in blocks, with the greatest weight of each term in each block."""
 
     def __init__(self, texts: list[bytes | None], labels: list[int], ids: list, base_rate: float):
+        kept = distinct(texts)
+        texts, labels, ids = [texts[i] for i in kept], [labels[i] for i in kept], [ids[i] for i in kept]
         self.labels, self.ids = np.array(labels, np.int64), ids
         self.number = self._choose(texts)
         counts = [self._counted(Counter(words_of(t))) for t in texts]
@@ -77,7 +101,7 @@ class Index:
         scored = []
         for term in seen[0].keys() | seen[1].keys():
             a, b = seen[1][term], seen[0][term]
-            if a + b < LEAST_DOCS:
+            if a + b < max(LEAST_DOCS, LEAST_SHARE * len(self.labels)):
                 continue
             n, rest = a + b, len(self.labels) - a - b
             excess = a * clean - b * toxic
@@ -97,7 +121,8 @@ class Index:
         norm = math.sqrt(float(weights @ weights))
         return terms, weights / norm if norm else weights
 
-    def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Terms and weights of a text, and how often its words stand for a term of the index."""
         counts: Counter = Counter()
         known, number = self.word_terms, self.number
         for word in words_of(text):
@@ -110,7 +135,8 @@ class Index:
             for t in terms:
                 counts[t] += 1
         terms = sorted(counts)
-        return self._weigh(np.array(terms, np.int64), np.array([counts[t] for t in terms], float))
+        weighed = self._weigh(np.array(terms, np.int64), np.array([counts[t] for t in terms], float))
+        return *weighed, sum(counts.values())
 
     def nearest(self, terms, weights, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of greatest positive cosine, ties to the earlier example.
@@ -142,6 +168,11 @@ class Index:
             return 0.0
         return sum(v for v, (_, i) in zip(votes, near) if self.labels[i]) / total - 0.5
 
+    def _features(self, near, matched: int) -> np.ndarray:
+        """What the curve sees: the vote, whether there was one, and the vote by the words it rests on."""
+        vote = self._vote(near)
+        return np.array([1.0, vote, 1.0 if near else 0.0, vote * math.log1p(matched)])
+
     def _calibrate(self, counts, base_rate: float) -> None:
         """Logistic curve from votes to probabilities, fitted on votes of the other examples.
 
@@ -150,15 +181,15 @@ class Index:
         rows = []
         for i, c in enumerate(counts):
             near = self.nearest(*self.vector(c), skip=i)
-            rows.append((1.0, self._vote(near), 1.0 if near else 0.0))
-        x, y = np.array(rows).reshape(-1, 3), self.labels.astype(float)
+            rows.append(self._features(near, sum(c.values())))
+        x, y = np.array(rows).reshape(-1, 4), self.labels.astype(float)
         share = y.mean() if len(y) else 0.0
         rate = min(max(base_rate, 1e-3), 1 - 1e-3)
         weight = np.where(y > 0, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
-        self.curve = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
+        self.curve = np.array([math.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
         if not 0 < share < 1:
             return
-        ridge = np.diag([0.01, 0.1, 0.1])
+        ridge = np.diag([0.01, 0.1, 0.1, 0.1])
 
         def loss(curve):
             z = x @ curve
@@ -175,8 +206,9 @@ class Index:
             self.curve = self.curve - step
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.query(text))
-        z = self.curve @ np.array([1.0, self._vote(near), 1.0 if near else 0.0])
+        terms, weights, matched = self.query(text)
+        near = self.nearest(terms, weights)
+        z = self.curve @ self._features(near, matched)
         return float(1 / (1 + math.exp(-min(max(z, -30), 30)))), near
 
 

@@ -32,7 +32,7 @@ def test_nearest_is_exact(index):
     dense[index.doc, cells] = index.weight
     for _ in range(100):
         text = " ".join(rng.choice(["vile", "nasty", "scum", "w1", "w2", "w3", "w9"]) for _ in range(6)).encode()
-        terms, weights = index.query(text)
+        terms, weights, _ = index.query(text)
         scores = dense[:, terms] @ weights
         best = sorted(((-s, i) for i, s in enumerate(scores) if s > 0))[: toxicity.NEIGHBOURS]
         found = index.nearest(terms, weights)

@@ -1,10 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms, by inverted lists and block bounds."""
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +19,16 @@ from hoardlens.llm.folds import held_out, sample_per_class
 from hoardlens.llm.frames import append_columns, blobs
 
 EXAMPLES = 2_500  # labelled examples of each class, at most about so many
-TERMS = 300  # terms of the index, those that say most about the label
-LEAST_SIGNAL = 3.84  # chi-square of a term with the label, five percent
-LEAST_DOCS = 4  # examples a term must occur in,
+TELLING = 300  # terms of the second vote, those that say most about the label
+LEAST_SIGNAL = 3.84  # chi-square of such a term with the label, five percent
+LEAST_DOCS = 4  # examples it must occur in,
 LEAST_SHARE = 0.002  # and this share of them
+COMMON = 2_048  # most frequent terms, kept as dense blocks
 SKETCH = 32
 NEIGHBOURS = 15
 BLOCK = 256  # examples of a block
+BATCH = 128  # texts scored at once
+SLACK = 1e-11  # cosines this near are told apart only after rounding
 SHARPNESS = 2  # votes count by the cosine to this power
 PREFIXES = (4, 5, 6)  # a word also stands for its first bytes
 KNOWN_WORDS = 400_000
@@ -51,114 +57,186 @@ def distinct(texts: list[bytes | None]) -> list[int]:
     return kept
 
 
-class Index:
-    """Inverted lists of examples in blocks, with the greatest weight of each term in each block."""
+class Known(dict):
+    """Numbers of the terms of each word, remembered for at most KNOWN_WORDS words."""
 
-    def __init__(self, texts: list[bytes | None], labels: list[int], ids: list, base_rate: float):
-        kept = distinct(texts)
-        texts, labels, ids = [texts[i] for i in kept], [labels[i] for i in kept], [ids[i] for i in kept]
-        self.labels, self.ids = np.array(labels, np.int64), ids
-        self.number = self._choose(texts)
-        counts = [self._counted(Counter(words_of(t))) for t in texts]
-        docs = Counter(t for c in counts for t in c)
-        self.idf = np.zeros(len(self.number), np.float64)
-        for term, n in docs.items():
-            self.idf[self.number[term]] = math.log((1 + len(texts)) / (1 + n)) + 1
-        entries = []
-        for doc, c in enumerate(counts):
-            terms, weights = self.vector(c)
-            entries += [(t, doc, w) for t, w in zip(terms, weights)]
-        entries.sort()
-        self.blocks = max(1, -(-len(texts) // BLOCK))
-        term = np.array([e[0] for e in entries], np.int64)
-        self.doc = np.array([e[1] for e in entries], np.int64)
-        self.weight = np.array([e[2] for e in entries], np.float64)
-        block = self.doc // BLOCK
-        # Where the list of each term enters each block.
-        cell = term * self.blocks + block
-        self.start = np.searchsorted(cell, np.arange(len(self.number) * self.blocks + 1))
-        self.most = np.zeros((len(self.number), self.blocks))
-        np.maximum.at(self.most, (term, block), self.weight)
-        self.word_terms: dict[bytes, tuple[int, ...]] = {}
-        self._calibrate(counts, base_rate)
-
-    def _counted(self, words: Counter) -> Counter:
-        """Counts of the index's terms; other terms are never kept, which bounds the memory."""
-        out: Counter = Counter()
-        for word, n in words.items():
-            for term in terms_of(word):
-                if term in self.number:
-                    out[term] += n
-        return out
+    def __init__(self, number: dict[bytes, int]):
+        super().__init__()
+        self.terms = number
 
-    def _choose(self, texts) -> dict[bytes, int]:
-        """The terms whose presence says most about the label, by a chi-square of one degree."""
-        toxic = int(self.labels.sum())
-        clean = len(self.labels) - toxic
-        seen = {0: Counter(), 1: Counter()}
-        for text, label in zip(texts, self.labels.tolist()):
-            seen[label].update({term for word in set(words_of(text)) for term in terms_of(word)})
-        scored = []
-        for term in seen[0].keys() | seen[1].keys():
-            a, b = seen[1][term], seen[0][term]
-            if a + b < max(LEAST_DOCS, LEAST_SHARE * len(self.labels)):
-                continue
-            n, rest = a + b, len(self.labels) - a - b
-            excess = a * clean - b * toxic
-            spread = n * max(rest, 1) * max(toxic, 1) * max(clean, 1)
-            value = len(self.labels) * excess * excess / spread
-            if value > LEAST_SIGNAL:
-                scored.append((-value, term))
-        return {term: i for i, (_, term) in enumerate(sorted(scored)[:TERMS])}
-
-    def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
-        """Unit vector of term frequencies (in logarithm) times inverse document frequencies."""
-        terms = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
-        return self._weigh(np.array([t for t, _ in terms], np.int64), np.array([n for _, n in terms], float))
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        number = self.terms
+        found = tuple([number[t] for t in terms_of(word) if t in number])
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found
+        return found
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64)
 
-    def _weigh(self, terms, counts):
-        weights = (1 + np.log(counts)) * self.idf[terms] if len(terms) else counts
+
+class Lists:
+    """Inverted lists with unit weights; common terms also as dense blocks with their greatest weights.
+
+    ``term``, ``doc`` and ``counts`` are postings in order of term and example; terms are numbered
+    from the most frequent one.
+    """
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, counts: np.ndarray, idf: np.ndarray, docs: int):
+        self.idf, self.doc = idf, doc
+        weight = (1 + np.log(counts)) * idf[term]
+        self.weight = weight / np.sqrt(np.bincount(doc, weight**2, docs))[doc]
+        self.blocks = 1  # pieces of each list in ``start``: lists are whole
+        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.common = min(COMMON, len(idf))
+        end = self.start[self.common]
+        self.most = np.zeros((self.common, max(1, -(-docs // BLOCK))))
+        np.maximum.at(self.most, (term[:end], doc[:end] // BLOCK), self.weight[:end])
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_known")}
+
+    def _blocks_of_common(self) -> np.ndarray:
+        """Weights of the common terms, one dense block after the other; made once per process."""
+        if "_dense" not in self.__dict__:
+            dense = np.zeros((self.most.shape[1], self.common, BLOCK))
+            end = self.start[self.common]
+            term = np.repeat(np.arange(self.common), np.diff(self.start[: self.common + 1]))
+            dense[self.doc[:end] // BLOCK, term, self.doc[:end] % BLOCK] = self.weight[:end]
+            self._dense = dense
+        return self._dense
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vector of term frequencies (in logarithm) times inverse document frequencies."""
+        weights = (1 + np.log(counts)) * self.idf[terms]
         norm = math.sqrt(float(weights @ weights))
         return terms, weights / norm if norm else weights
 
-    def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Terms and weights of a text, and how often its words stand for a term of the index."""
-        counts: Counter = Counter()
-        known, number = self.word_terms, self.number
-        for word in words_of(text):
-            terms = known.get(word)
-            if terms is None:
-                terms = tuple(number[t] for t in terms_of(word) if t in number)
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                known[word] = terms
-            for t in terms:
-                counts[t] += 1
-        terms = sorted(counts)
-        weighed = self._weigh(np.array(terms, np.int64), np.array([counts[t] for t in terms], float))
-        return *weighed, sum(counts.values())
-
-    def nearest(self, terms, weights, k: int = NEIGHBOURS, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, ties to the earlier example.
-
-        Blocks are taken in order of the most they could hold, until that is less than the kth cosine.
+    def by_example(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vector of each example."""
+        term = np.repeat(np.arange(len(self.idf)), np.diff(self.start))
+        order = np.argsort(self.doc, kind="stable")
+        edges = np.searchsorted(self.doc[order], np.arange(self.most.shape[1] * BLOCK + 1)).tolist()
+        return [(term[o], self.weight[o]) for o in (order[i:j] for i, j in zip(edges, edges[1:]))]
+
+    def nearest(self, terms, weights, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+        """The k examples of greatest positive cosine, ties to the earlier example."""
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries, k: int = NEIGHBOURS, skip: int | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several queries at once; with ``skip`` the i-th may not find example skip + i.
+
+        Rare terms are summed over their lists first. A block of examples is left out for a query if
+        these sums and the most its common terms could add there stay below the kth cosine.
         """
-        if len(terms) == 0:
-            return []
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            cells = terms * self.blocks + b
-            for low, high, w in zip(self.start[cells].tolist(), self.start[cells + 1].tolist(), weights.tolist()):
-                if low < high:
-                    scores[self.doc[low:high] - b * BLOCK] += w * self.weight[low:high]
-            found = np.flatnonzero(scores > (best[-1][0] - 1e-12 if len(best) == k else 0))
-            best += [(float(scores[i]), b * BLOCK + i) for i in found.tolist() if b * BLOCK + i != skip]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        rows, size = len(queries), self.most.shape[1] * BLOCK
+        row = np.repeat(np.arange(rows), [len(t) for t, _ in queries])
+        term = np.concatenate([t for t, _ in queries]).astype(np.int64)
+        weight = np.concatenate([w for _, w in queries])
+        dense = np.zeros((rows, self.common))
+        low = term < self.common
+        dense[row[low], term[low]] = weight[low]
+        row, term, weight = row[~low], term[~low], weight[~low]
+        lengths = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        cells = np.repeat(row * size, lengths) + self.doc[at]
+        scores = np.bincount(cells, self.weight[at] * np.repeat(weight, lengths), rows * size).astype(float)
+        scores = scores.reshape(rows, size)
+        if skip is not None:
+            scores[np.arange(rows), skip + np.arange(rows)] = -np.inf
+        blocks = scores.reshape(rows, -1, BLOCK)
+        bounds = blocks.max(axis=2) + dense @ self.most
+        # The kth greatest of the sums so far is never above the kth cosine.
+        kth = np.partition(scores, size - k, axis=1)[:, size - k]
+        for n, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable").tolist()):
+            wanted = np.flatnonzero((bounds[:, b] >= kth - SLACK) & (bounds[:, b] > 0))
+            if len(wanted):
+                blocks[wanted, b] += dense[wanted] @ self._blocks_of_common()[b]
+            if n in (0, 3):
+                kth = np.partition(scores, size - k, axis=1)[:, size - k]
+        kth = np.partition(scores, size - k, axis=1)[:, size - k]
+        out = []
+        for i in range(rows):
+            found = np.flatnonzero(scores[i] >= max(kth[i] - SLACK, SLACK))
+            # Rounded, so that a cosine does not depend on what else is in the batch.
+            near = sorted((-c, j) for c, j in zip(np.round(scores[i, found], 12).tolist(), found.tolist()))
+            out.append([(-c, j) for c, j in near[:k]])
+        return out
+
+
+class Index(Lists):
+    """Every term of the examples, and beside it the lists of the terms that say most about the label.
+
+    Neighbours are those over all terms. The probability rests on their vote and on the vote of the
+    nearest examples by the telling terms alone.
+    """
+
+    def __init__(
+        self,
+        texts: list[bytes | None],
+        labels: list[int],
+        ids: list,
+        base_rate: float,
+        frequencies: Callable[[dict[bytes, int]], tuple[int, np.ndarray]] | None = None,
+    ):
+        """``frequencies`` gives the number of documents and how many have each term; by default the examples count."""
+        kept = distinct(texts)
+        texts, labels, ids = [texts[i] for i in kept], [labels[i] for i in kept], [ids[i] for i in kept]
+        self.labels, self.ids = np.array(labels, np.int64), ids
+        term, doc, counts = self._postings(texts)
+        docs, holders = len(texts), np.bincount(term, minlength=len(self.number))
+        chosen = self._choose(term, doc, holders)
+        if frequencies is not None and self.number:
+            docs, holders = frequencies(self.number)
+        super().__init__(term, doc, counts, np.log((1 + docs) / (1 + holders)) + 1, len(texts))
+        self.telling = np.full(len(self.number), -1)
+        self.telling[chosen] = np.arange(len(chosen))
+        told = self.telling[term] >= 0
+        term, doc, counts = self.telling[term[told]], doc[told], counts[told]
+        self.signal = Lists(term, doc, counts, self.idf[chosen], len(texts))
+        self._calibrate(np.bincount(doc, counts, len(texts)), base_rate)
+
+    def _postings(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        number: dict[bytes, int] = {}
+        term, counts, sizes = array("i"), array("i"), []
+        for text in texts:
+            found: Counter = Counter()
+            for word, n in Counter(words_of(text)).items():
+                for t in terms_of(word):
+                    found[number.setdefault(t, len(number))] += n
+            term.extend(found.keys())
+            counts.extend(found.values())
+            sizes.append(len(found))
+        old = np.array(term, np.int64)
+        frequent = np.argsort(-np.bincount(old, minlength=len(number)), kind="stable")
+        place = np.empty(len(number), np.int64)
+        place[frequent] = np.arange(len(number))
+        terms = list(number)
+        self.number = {terms[i]: at for at, i in enumerate(frequent.tolist())}
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        order = np.lexsort((doc, place[old]))
+        return place[old][order], doc[order], np.array(counts, np.int32)[order]
+
+    def _choose(self, term, doc, holders) -> np.ndarray:
+        """The terms whose presence says most about the label, by a chi-square of one degree."""
+        n, toxic = len(self.labels), int(self.labels.sum())
+        a = np.bincount(term, self.labels[doc], len(holders))
+        excess = a * (n - toxic) - (holders - a) * toxic
+        spread = holders * np.maximum(n - holders, 1.0) * max(toxic, 1) * max(n - toxic, 1)
+        value = n * excess * excess / np.maximum(spread, 1.0)
+        known = (holders >= max(LEAST_DOCS, LEAST_SHARE * n)) & (value > LEAST_SIGNAL)
+        terms = list(self.number)
+        scored = sorted((-value[i], terms[i], i) for i in np.flatnonzero(known).tolist())
+        return np.array(sorted(i for *_, i in scored[:TELLING]), np.int64)
+
+    def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Terms and weights of a text, and its telling terms with their counts."""
+        if "_known" not in self.__dict__:
+            self._known = Known(self.number)
+        terms, counts = np.unique(self._known.of(words_of(text)), return_counts=True)
+        told = self.telling[terms]
+        return *self.weigh(terms, counts), (told[told >= 0], counts[told >= 0])
 
     def _vote(self, near) -> float:
         """Share of toxic votes, less one half; 0 without neighbours."""
@@ -168,28 +246,31 @@ class Index:
             return 0.0
         return sum(v for v, (_, i) in zip(votes, near) if self.labels[i]) / total - 0.5
 
-    def _features(self, near, matched: int) -> np.ndarray:
-        """What the curve sees: the vote, whether there was one, and the vote by the words it rests on."""
-        vote = self._vote(near)
-        return np.array([1.0, vote, 1.0 if near else 0.0, vote * math.log1p(matched)])
+    def _features(self, near, telling, matched: int) -> np.ndarray:
+        """What the curve sees: each vote, whether there was one, and the vote of telling terms by their number."""
+        vote, told = self._vote(near), self._vote(telling)
+        return np.array(
+            [1.0, vote, 1.0 if near else 0.0, told, 1.0 if telling else 0.0, told * math.log1p(matched)]
+        )
 
-    def _calibrate(self, counts, base_rate: float) -> None:
+    def _calibrate(self, matched: np.ndarray, base_rate: float) -> None:
         """Logistic curve from votes to probabilities, fitted on votes of the other examples.
 
         Examples count so that both classes have their share among all labelled rows.
         """
-        rows = []
-        for i, c in enumerate(counts):
-            near = self.nearest(*self.vector(c), skip=i)
-            rows.append(self._features(near, sum(c.values())))
-        x, y = np.array(rows).reshape(-1, 4), self.labels.astype(float)
+        rows, every, telling = [], self.by_example(), self.signal.by_example()
+        for i in range(0, len(self.ids), BATCH):
+            j = min(i + BATCH, len(self.ids))
+            near = zip(self.nearest_of(every[i:j], skip=i), self.signal.nearest_of(telling[i:j], skip=i))
+            rows += [self._features(n, t, m) for (n, t), m in zip(near, matched[i:j])]
+        x, y = np.array(rows).reshape(-1, 6), self.labels.astype(float)
         share = y.mean() if len(y) else 0.0
         rate = min(max(base_rate, 1e-3), 1 - 1e-3)
         weight = np.where(y > 0, rate / max(share, 1e-9), (1 - rate) / max(1 - share, 1e-9))
-        self.curve = np.array([math.log(rate / (1 - rate)), 0.0, 0.0, 0.0])
+        self.curve = np.array([math.log(rate / (1 - rate)), *[0.0] * 5])
         if not 0 < share < 1:
             return
-        ridge = np.diag([0.01, 0.1, 0.1, 0.1])
+        ridge = np.diag([0.01, *[0.1] * 5])
 
         def loss(curve):
             z = x @ curve
@@ -206,10 +287,45 @@ class Index:
             self.curve = self.curve - step
 
     def score(self, text: bytes | None) -> tuple[float, list[tuple[float, int]]]:
-        terms, weights, matched = self.query(text)
-        near = self.nearest(terms, weights)
-        z = self.curve @ self._features(near, matched)
-        return float(1 / (1 + math.exp(-min(max(z, -30), 30)))), near
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Probability and neighbours of each text."""
+        out = []
+        for i in range(0, len(texts), BATCH):
+            queries = [self.query(t) for t in texts[i : i + BATCH]]
+            near = self.nearest_of([q[:2] for q in queries])
+            telling = self.signal.nearest_of([self.signal.weigh(*q[2]) for q in queries])
+            for n, t, q in zip(near, telling, queries):
+                z = self.curve @ self._features(n, t, q[2][1].sum())
+                out.append((float(1 / (1 + math.exp(-min(max(z, -30), 30)))), n))
+        return out
+
+
+def document_frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each of the numbered terms."""
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+
+    def count(batches):
+        known, total = Known(shared.value), 0
+        holders = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for blob in blobs(batch.column(0)):
+                holders[np.unique(known.of(set(words_of(blob))))] += 1
+            total += batch.num_rows
+        found = np.flatnonzero(holders)
+        term, n = np.append(found, -1), np.append(holders[found], total)
+        for i in range(0, len(term), 50_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(term[i : i + 50_000], pa.int32()), pa.array(n[i : i + 50_000], pa.int64())], ["term", "n"]
+            )
+
+    partial = docs.select("text").mapInArrow(count, "term int, n bigint")
+    table = partial.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = table["term"].to_numpy(), table["n"].to_numpy()
+    holders = np.zeros(len(number) + 1, np.int64)
+    holders[term] = n
+    return int(holders[-1]), holders[:-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
@@ -231,7 +347,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary"), "toxic").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     return Index(
-        [bytes(r[1]) for r in rows], [r[2] for r in rows], [r[0] for r in rows], rate if rate is not None else 0.1
+        [bytes(r[1]) for r in rows],
+        [r[2] for r in rows],
+        [r[0] for r in rows],
+        rate if rate is not None else 0.1,
+        lambda number: document_frequencies(texts, number),
     )
 
 
@@ -241,7 +361,7 @@ EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
 def score_toxicity(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``evidence``, the nearest examples with their labels.
 
-    One narrow pass. A null or empty text, or one without any term of the index, has no
+    One narrow pass. A null or empty text, or one without any term of the examples, has no
     neighbours and gets the share of toxic rows among such examples. Repeated rows get equal
     scores, an empty table gives no rows; other columns pass through under any name.
     """
@@ -252,8 +372,7 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text") -> DataFra
 
         def step(columns):
             scores, evidence = [], []
-            for blob in blobs(columns[0]):
-                score, near = model.score(blob)
+            for score, near in model.scores(blobs(columns[0])):
                 scores.append(score)
                 evidence.append(
                     [{"doc_id": model.ids[i], "cosine": c, "toxic": int(model.labels[i])} for c, i in near]

@@ -19,6 +19,7 @@ from hoardlens import schemas
 from hoardlens.functions import boxes, paths, pixels
 from hoardlens.operators import detections, similarity
 from hoardlens.sources.file_tree import hash_files
+from hoardlens.workspace import materialize
 
 Predict = Callable[[pd.DataFrame], Sequence[list[dict]]]
 Model = Callable[[], Predict]
@@ -78,6 +79,17 @@ def with_result(images: DataFrame, model: Model, item: T.StructType) -> DataFram
     return images.withColumn("result", apply_model(F.col("image"), F.col("path"), model, item))
 
 
+def _stored(images: DataFrame, model: Model, item: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Images with their result, and ``path``, ``frame_id`` where there is one, and ``error`` of those that failed.
+
+    Results are stored with their pixels, so the model runs once for both.
+    """
+    predicted = materialize(with_result(images, model, item), "predicted")
+    _, failed = split(predicted)
+    keys = [c for c in ("path", "frame_id") if c in images.columns]
+    return predicted, failed.select(*keys, F.col("result")["error"].alias("error"))
+
+
 def raw_faces(predicted: DataFrame) -> DataFrame:
     """One row per face found by a face model, numbered as the model lists them."""
     frame = F.col("frame_id") if "frame_id" in predicted.columns else F.lit(0)
@@ -97,12 +109,20 @@ def raw_faces(predicted: DataFrame) -> DataFrame:
 def detect_faces(
     images: DataFrame, model: Model, threshold: float = 0.5, crop_folder: str | None = None
 ) -> DataFrame:
-    """Face rows of all images."""
+    """Face rows of all images the model handled; ``detect_faces_and_rejects`` also lists the others."""
     return detections.face_rows(
         raw_faces(with_result(images, model, schemas.FACE_ITEM)), threshold, crop_folder
     )
 
 
+def detect_faces_and_rejects(
+    images: DataFrame, model: Model, threshold: float = 0.5, crop_folder: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Face rows, and the images on which the model failed with their ``error``."""
+    predicted, rejects = _stored(images, model, schemas.FACE_ITEM)
+    return detections.face_rows(raw_faces(predicted), threshold, crop_folder), rejects
+
+
 def detect_faces_in_frames(
     frames: DataFrame, model: Model, threshold: float = 0.5, frame_skip: int = 1
 ) -> DataFrame:
@@ -114,13 +134,23 @@ def detect_faces_in_frames(
 def crop_faces(
     images: DataFrame, model: Model, crop_folder: str, threshold: float = 0.5
 ) -> DataFrame:
-    """Face rows with their crops as image structs.
+    """Face rows with their crops as image structs; ``crop_faces_and_rejects`` also lists failed images.
 
     The pixels stay in the row of their image until they are cut, so nothing is joined back.
     """
-    raw = detections.confident(
-        raw_faces(with_result(images, model, schemas.FACE_ITEM)), "det_score", threshold
-    )
+    return _crops(with_result(images, model, schemas.FACE_ITEM), crop_folder, threshold)
+
+
+def crop_faces_and_rejects(
+    images: DataFrame, model: Model, crop_folder: str, threshold: float = 0.5
+) -> tuple[DataFrame, DataFrame]:
+    """Face rows with their crops, and the images on which the model failed with their ``error``."""
+    predicted, rejects = _stored(images, model, schemas.FACE_ITEM)
+    return _crops(predicted, crop_folder, threshold), rejects
+
+
+def _crops(predicted: DataFrame, crop_folder: str, threshold: float) -> DataFrame:
+    raw = detections.confident(raw_faces(predicted), "det_score", threshold)
     path = F.col("path")
     corner = {c: boxes.whole_pixels(F.col(c)) for c in ("x1", "y1", "x2", "y2")}
     crop = boxes.padded_crop(

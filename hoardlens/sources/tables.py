@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from hoardlens import schemas
 from hoardlens.functions import paths
 from hoardlens.operators import cluster_tables
+from hoardlens.sources import file_tree
 from hoardlens.sources.manifests import CSV_OPTIONS
 
 
@@ -30,10 +32,54 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_images(spark: SparkSession, location: str) -> DataFrame:
-    """``path, image`` of all images that can be decoded."""
+    """``path, image`` of all images that can be decoded; ``bad_images`` lists the others.
+
+    Images whose own name or folder starts with ``.`` or ``_`` are refused.
+    """
+    images = _images(spark, location)
+    return images.where(F.col("image.height") > 0)
+
+
+def bad_images(spark: SparkSession, location: str) -> DataFrame:
+    """``path, error`` of the files below ``location`` that are not images or cannot be decoded."""
+    images = _images(spark, location)
+    return images.where(~F.coalesce(F.col("image.height") > 0, F.lit(False))).select(
+        "path", F.lit("cannot be decoded as an image").alias("error")
+    )
+
+
+def _images(spark: SparkSession, location: str) -> DataFrame:
+    hidden = _hidden_images(spark, location)
+    if hidden:
+        # Spark's file sources pass over such names, which would lose the images without a word.
+        raise ValueError(f"rename these images or their folders, their names count as hidden: {', '.join(hidden)}")
     images = spark.read.format("image").option("recursiveFileLookup", True).load(location)
-    decoded = images.where(F.col("image.height") > 0)
-    return decoded.select(_local_path(F.col("image.origin")).alias("path"), "image")
+    return images.select(_local_path(F.col("image.origin")).alias("path"), "image")
+
+
+HIDDEN = r"(^|/)(\.[^/]*|_[^/=]*)(/|$)"
+NAMED = 10  # hidden images a message names
+
+
+def _hidden_images(spark: SparkSession, location: str) -> list[str]:
+    """Some images below ``location`` that Spark would not see, as paths below it."""
+    folder = re.sub(r"\Afile:/+", "/", location)
+    if os.path.isdir(folder):
+        below = F.substring("path", F.lit(len(os.path.abspath(folder).rstrip("/")) + 2), F.length("path"))
+        found = file_tree.list_images(spark, folder, file_tree.FLAG_IMAGES).select(below.alias("path"))
+        return [r[0] for r in found.where(F.col("path").rlike(HIDDEN)).orderBy("path").limit(NAMED).collect()]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    root = spark._jvm.org.apache.hadoop.fs.Path(location)
+    fs, out = root.getFileSystem(conf), []
+    for status in fs.globStatus(root) or []:
+        start = len(status.getPath().toString().rstrip("/")) + 1
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext() and len(out) < NAMED:
+            full = files.next().getPath().toString()
+            name = full[start:] or full.rsplit("/", 1)[-1]
+            if os.path.splitext(name)[1].lower() in file_tree.FLAG_IMAGES and re.search(HIDDEN, name):
+                out.append(name)
+    return sorted(out)
 
 
 def _local_path(uri: Column) -> Column:

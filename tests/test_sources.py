@@ -314,3 +314,37 @@ def test_inventory_of_any_depth(spark):
     assert len(rows) == 11 and {r["machine"] for r in rows} == {"m1"}
     assert "/".join(f"d{i}" for i in range(10)) in {r["name"] for r in rows}
     assert {r["uuid"] for r in rows} == {""}
+
+
+def test_no_image_is_lost_without_a_word(spark, pictures):
+    bad = tables.bad_images(spark, str(pictures)).collect()
+    assert [(r["path"], bool(r["error"])) for r in bad] == [(str(pictures / "broken.png"), True)]
+
+    def model():
+        def predict(batch):
+            if (batch["height"] == 6).any():
+                raise RuntimeError("too tall")
+            face = {"x1": 0.0, "y1": 0.0, "x2": 2.0, "y2": 2.0, "det_score": 0.9}
+            return [[face] for _ in range(len(batch))]
+
+        return predict
+
+    images = tables.read_images(spark, str(pictures))
+    for found, rejects in (
+        predict.detect_faces_and_rejects(images, model),
+        predict.crop_faces_and_rejects(images, model, "/crops"),
+    ):
+        assert found.count() == 1
+        assert [tuple(r) for r in rejects.collect()] == [(str(pictures / "tall.png"), "RuntimeError: too tall")]
+
+    (pictures / "_SUCCESS").write_bytes(b"")
+    (pictures / "day=1").mkdir()
+    (pictures / "day=1" / "c.png").write_bytes(png(2, 2))
+    assert tables.read_images(spark, str(pictures)).count() == 3
+    for name in ("_a.png", ".b.PNG", "_old/c.png"):
+        hidden = pictures.parent / f"hidden{len(name)}{name[1]}"
+        (hidden / name).parent.mkdir(parents=True)
+        (hidden / name).write_bytes(png(2, 2))
+        for location in (str(hidden), hidden.as_uri(), f"{pictures.parent}/hidden*{name[1]}"):
+            with pytest.raises(ValueError, match=name):
+                tables.read_images(spark, location)

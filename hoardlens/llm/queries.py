@@ -9,6 +9,7 @@ from hoardlens.llm import (
     decontaminate,
     jaccard,
     language,
+    quality,
     secrets,
     shards,
     suffixes,
@@ -64,6 +65,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES = {
         op8_toxicity,
         op9_suffix_dedup,
         op10_topk_search,
+        op13_quality_rules,
     )
 }
 
@@ -85,4 +91,5 @@ ORACLES = {
     "op3_ngram_jaccard": jaccard.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op10_topk_search": topk.ORACLE,
+    "op13_quality_rules": quality.ORACLE,
 }

@@ -203,9 +203,12 @@ class Bpe:
             out.append(self.young.get(chunk) or (make(chunk) if chunk else b""))
         return b"".join(out)
 
-    def encode(self, text: str) -> bytes:
-        """Token ids of ``text`` as little-endian 32-bit integers; special strings are one token."""
-        if self.special_pattern is None or not any(s in text for s in self.special):
+    def encode(self, text: str, special: bool = True) -> bytes:
+        """Token ids of ``text`` as little-endian 32-bit integers.
+
+        Special strings are one token, or ordinary text where ``special`` is false.
+        """
+        if not special or self.special_pattern is None or not any(s in text for s in self.special):
             return self._plain(text)
         parts, at = [], 0
         for match in self.special_pattern.finditer(text):

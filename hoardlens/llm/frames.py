@@ -54,6 +54,20 @@ def blobs(array: pa.Array) -> list[bytes | None]:
     return array.to_pylist()
 
 
+def text_slices(data: list[bytes | None], most: int) -> Iterator[list[str]]:
+    """Texts in runs of about ``most`` bytes; one of that size or more is a run of its own."""
+    run, size = [], 0
+    for blob in data:
+        own = len(blob or b"")
+        if run and size + own > most:
+            yield run
+            run, size = [], 0
+        run.append((blob or b"").decode("utf-8", "replace"))
+        size += own
+    if run:
+        yield run
+
+
 def hash_slot(key: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots).cast("bigint"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hoardlens.llm import (
+    alignment,
     bpe,
     decontaminate,
     jaccard,
@@ -65,6 +66,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
         op8_toxicity,
         op9_suffix_dedup,
         op10_topk_search,
+        op12_token_alignment,
         op13_quality_rules,
     )
 }

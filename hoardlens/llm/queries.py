@@ -10,6 +10,7 @@ from hoardlens.llm import (
     decontaminate,
     jaccard,
     language,
+    negatives,
     quality,
     secrets,
     shards,
@@ -66,6 +67,10 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.shifted_labels(_table(spark, sf_dir, "embeddings")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES = {
         op8_toxicity,
         op9_suffix_dedup,
         op10_topk_search,
+        op11_hard_negatives,
         op12_token_alignment,
         op13_quality_rules,
     )
@@ -97,5 +103,6 @@ ORACLES = {
     "op3_ngram_jaccard": jaccard.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op10_topk_search": topk.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op13_quality_rules": quality.ORACLE,
 }

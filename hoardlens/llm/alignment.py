@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +21,8 @@ PIECES = "piece_bpe_32k.model"
 SEGMENT = 1 << 20  # characters of a long text that are aligned at a time
 SLICE_BYTES = 1 << 20  # texts whose ends are intersected together
 BLANK = "▁"  # stands for a space in a piece
+LONG_RUN = 50_000  # white space in a row that only the slower encoder takes
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 # Both tokenizers end a token before a single space between other characters.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -50,10 +53,20 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
-
-        self.bpe = bpe.load(path_a)
-        offsets, blob = self.bpe.offsets, self.bpe.blob.tobytes()
-        self.a = Tokens([blob[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)])
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as file:
+            spec = json.load(file)
+        vocab = spec["model"]["vocab"]
+        number = {letter: b for b, letter in enumerate(bpe.byte_letters())}
+        by_id = {i: bytes(number[c] for c in name) for name, i in vocab.items()}
+        self.a = Tokens([by_id.get(i, b"") for i in range(max(by_id) + 1)])
+        self.path_a = path_a
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+        self.fast = None
+        if merged == sorted(merged):  # ids in the order of the merges can serve as ranks
+            ranks = {d: i for i, d in by_id.items()}
+            self.fast = tiktoken.Encoding("a", pat_str=bpe.PIECE, mergeable_ranks=ranks, special_tokens={})
         model = self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         data = []
         for i in range(model.get_piece_size()):
@@ -90,10 +103,16 @@ class Pair:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of a space and each text by both tokenizers; special tokens are ordinary text."""
-        a = [np.frombuffer(self.bpe.encode(" " + t, special=False), "<u4").astype(np.int64) for t in texts]
+        a = [self._encode_a(" " + t) for t in texts]
         b = [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
         return a, b
 
+    def _encode_a(self, text: str) -> np.ndarray:
+        # The library's pattern overflows on very long runs of white space.
+        if self.fast is None or len(text) > LONG_RUN and _LONG_RUN.search(text):
+            return np.frombuffer(bpe.load(self.path_a).encode(text, special=False), "<u4").astype(np.int64)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Pair:

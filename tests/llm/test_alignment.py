@@ -123,6 +123,12 @@ def test_a_text_is_aligned_as_by_brute_force(libraries, text, segment):
     assert tuple(found[:4]) == (*expected[1:4], expected[7])
 
 
+@pytest.mark.parametrize("text", [" " * 120_000 + "x", "a" * 60_000, "\n " * 60_000, "中" * 3_000])
+def test_long_runs(libraries, text):
+    found = alignment._digest(alignment.load(*alignment.default_paths()), [text])[0]
+    assert (*found[:2], found[3]) == tuple(brute_rows(libraries, [(1, text)])[0][i] for i in (1, 2, 7))
+
+
 def test_rows(spark, libraries, monkeypatch):
     monkeypatch.setattr(alignment, "SLICE_BYTES", 300)
     rng = random.Random(3)

@@ -1,10 +1,9 @@
-"""Partition of unit vectors into cells around pivots, for exact neighbour searches.
+"""Partition of unit vectors into cells around pivots, and of cells into blocks of bounded size.
 
-Every vector belongs to the cell of its nearest pivot. It is also listed as an outer member of
-each other cell that may hold a vector within the search radius of it, judged by two bounds
-that never exclude a true neighbour: its distance to the plane between the two pivots, and its
-distance to the ball around the other cell. All neighbours of a vector are therefore members
-of its own cell, and vectors that share no cell are never compared.
+Every vector belongs to the cell of its nearest pivot. Small neighbouring cells share a block,
+a large cell is split over several. Two blocks meet when the balls around two of their cells
+come within the search radius of each other; a pair of blocks meets once, in the task of one
+of them, where the vectors of that block stay while the others pass.
 
 Distances here are chords between unit vectors: chord**2 = 2 * cosine distance.
 """
@@ -18,32 +17,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hoardlens.operators.blocks import chords, slices, unit, vectors
+from hoardlens.operators import blocks
+from hoardlens.operators.blocks import chords, chunk_of, slices, unit, vectors
 from hoardlens.workspace import materialize
 
 MAX_PIVOTS = 2048  # bounds the pivot matrix and the per-cell figures known to the driver
 SLACK = 1e-6  # rounding allowance of chord comparisons, always on the safe side
+BLOCK_BYTES = 64 << 20  # of the vectors of one block in double precision
+RESIDUE = 0.5  # share of the threshold that the coordinates left out of a first product may hold
+
+
+@dataclass
+class Layout:
+    """Blocks of the cells (at most MAX_PIVOTS cells), and which blocks meet."""
+
+    first: np.ndarray  # first block of each cell
+    parts: np.ndarray  # blocks over which the cell is spread
+    ranges: list  # of each cell, the runs of blocks its own blocks meet
+    blocks: int
+    moved_rows: int
 
 
 @dataclass
 class Cells:
     """Placed vectors and one figure per cell (at most MAX_PIVOTS cells)."""
 
-    placed: DataFrame  # id, w, vec, home, dense, cells
+    placed: DataFrame  # id, w, vec, home, along, dense, block, ranges
     dim: int
     home_rows: np.ndarray
     dense_rows: np.ndarray
     anchor: list  # least id of a cell's dense ball, None without one
     medoids: np.ndarray
+    axes: np.ndarray  # rotation that brings the widest directions first
+    lead: int  # coordinates of the first product
+    layout: Layout
 
 
-def choose_pivots(points: DataFrame, count: int, radius: float) -> np.ndarray:
-    """Sampled unit vectors of which no two are closer than half the search radius.
+def choose_pivots(candidates: np.ndarray, radius: float) -> np.ndarray:
+    """Unit vectors of a sample of which no two are closer than half the search radius.
 
     The sample follows the data, the thinning keeps a crowded spot from taking all pivots.
     """
-    sample = points.orderBy(F.xxhash64("id"), "id").limit(count).select("vec").collect()
-    candidates = unit(np.array([row["vec"] for row in sample], dtype=np.float64))
     kept: list[int] = []
     for i in range(len(candidates)):
         if not kept or chords(candidates[kept] @ candidates[i]).min() > max(radius / 2, SLACK):
@@ -51,42 +65,94 @@ def choose_pivots(points: DataFrame, count: int, radius: float) -> np.ndarray:
     return candidates[kept]
 
 
+def principal_axes(sample: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
+    """Rotation to the axes of a sample, and how many of them a first product needs.
+
+    x.y is at most the product over the leading coordinates plus |x'||y'| over the others, so
+    pairs that stay below the threshold need no more work. Any rotation and any number give
+    right results; the sample only decides how many pairs are settled early.
+    """
+    dim = sample.shape[1]
+    strength, axes = np.linalg.eigh(sample.T @ sample / len(sample))
+    axes, strength = axes[:, ::-1], np.maximum(strength[::-1], 0.0)
+    residue = strength.sum() - np.cumsum(strength)
+    fits = np.flatnonzero(residue <= RESIDUE * max(threshold, 0.0))
+    lead = int(fits[0]) + 1 if len(fits) else dim
+    # A first product over most of the coordinates would save nothing.
+    return axes, lead if lead <= dim // 2 else dim
+
+
+def lay_out(home_rows: np.ndarray, order: np.ndarray, touching: np.ndarray, block_rows: int) -> Layout:
+    """Blocks of at most about ``block_rows`` rows; cells are packed in the given order."""
+    cells = len(home_rows)
+    bin_of, bin_parts = np.zeros(cells, np.int64), []
+    filled = block_rows + 1
+    for cell in order.tolist():
+        rows = int(home_rows[cell])
+        if rows > block_rows or filled + rows > block_rows:
+            bin_parts.append(max(1, -(-rows // block_rows)))
+            filled = 0
+        filled = block_rows if rows > block_rows else filled + rows
+        bin_of[cell] = len(bin_parts) - 1
+    parts = np.array(bin_parts, np.int64)
+    first = np.cumsum(parts) - parts
+    member = np.zeros((len(parts), cells), np.float32)
+    member[bin_of, np.arange(cells)] = 1.0
+    meet = member @ touching.astype(np.float32) @ member.T > 0
+    ranges, moved = [], 0
+    for own, row in enumerate(meet):
+        runs: list[list[int]] = []
+        for other in np.flatnonzero(row).tolist():
+            start, end = int(first[other]), int(first[other] + parts[other])
+            if runs and runs[-1][1] == start:
+                runs[-1][1] = end
+            else:
+                runs.append([start, end])
+        ranges.append(runs)
+        met = sum(end - start for start, end in runs)
+        # A block stays at home and visits about half of those it meets.
+        moved += int(home_rows[bin_of == own].sum()) * (1 + (met - 1) // 2)
+    return Layout(first[bin_of], parts[bin_of], [ranges[b] for b in bin_of], int(parts.sum()), moved)
+
+
 def place(
     points: DataFrame,
     dim: int,
     rows: int,
     radius: float,
+    threshold: float,
     min_weight: int,
     cell_rows: int,
-    any_vector: list[float],
 ) -> Cells:
-    """Assign ``points`` (id, w, vec) to cells and find the dense ball of each cell.
+    """Assign ``points`` (id, w, vec) to cells and blocks and find the dense ball of each cell.
 
     Two vectors within half the radius of one pivot are neighbours of each other. When such a
     ball weighs at least ``min_weight``, all its members are core points of one cluster and
     never need to be compared with each other, however many they are.
     """
-    wanted = min(rows // cell_rows, MAX_PIVOTS)
-    if wanted > 1:
-        pivots = choose_pivots(points, wanted, radius)
-    else:
-        pivots = unit(np.array([any_vector], dtype=np.float64))
+    chosen = points.orderBy(F.xxhash64("id"), "id").limit(MAX_PIVOTS).select("vec").collect()
+    sample = unit(np.array([row["vec"] for row in chosen], dtype=np.float64))
+    axes, lead = principal_axes(sample, threshold)
+    if len(sample) < 2 * dim:
+        lead = dim  # too few vectors to tell their axes
+    pivots = choose_pivots(sample[: max(1, min(rows // cell_rows, MAX_PIVOTS))], radius)
     k = len(pivots)
     ball = radius / 2 - SLACK
 
     def assign(batches):
         for table in slices(batches):
-            gaps = chords(unit(vectors(table, "vec", dim)) @ pivots.T)
+            units = unit(vectors(table, "vec", dim))
+            gaps = chords(units @ pivots.T)
             home = gaps.argmin(axis=1)
-            rho = gaps[np.arange(len(home)), home]
             table = table.append_column("home", pa.array(home.astype(np.int32)))
-            yield from table.append_column("rho", pa.array(rho)).to_batches()
+            table = table.append_column("rho", pa.array(gaps[np.arange(len(home)), home]))
+            yield from table.append_column("along", pa.array(units @ axes[:, 0])).to_batches()
 
     kind = points.schema["id"].dataType.simpleString()
     vec_kind = points.schema["vec"].dataType.simpleString()
     columns = f"id {kind}, w bigint, vec {vec_kind}"
     assigned = materialize(
-        points.select("id", "w", "vec").mapInArrow(assign, f"{columns}, home int, rho double"),
+        points.select("id", "w", "vec").mapInArrow(assign, f"{columns}, home int, rho double, along double"),
         "cells",
     )
     inside = F.col("rho") <= ball
@@ -112,29 +178,51 @@ def place(
         if row["ball_n"] and row["ball_w"] >= min_weight:
             dense_rows[cell], anchor[cell] = row["ball_n"], row["anchor"]
 
-    dense_cells = F.array(*[F.lit(c) for c in np.flatnonzero(dense_rows).tolist()]).cast(
-        "array<int>"
+    between = chords(pivots @ pivots.T)
+    touching = between <= reach[:, None] + reach[None, :] + radius + SLACK
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    most = max(1, BLOCK_BYTES // (8 * dim))
+    block_rows = min(most, max(blocks.LEAST_BLOCK, -(-rows // (2 * cores))))
+    layout = lay_out(home_rows, np.argsort(pivots @ axes[:, 0], kind="stable"), touching, block_rows)
+
+    marks = [
+        (c, int(layout.first[c]), int(layout.parts[c]), bool(dense_rows[c]), layout.ranges[c])
+        for c in range(k)
+    ]
+    table = points.sparkSession.createDataFrame(
+        marks, "home int, first int, parts int, has_ball boolean, ranges array<array<int>>"
+    )
+    placed = (
+        assigned.join(F.broadcast(table), "home")
+        .withColumn("dense", inside & F.col("has_ball"))
+        .withColumn("block", F.col("first") + chunk_of(F.col("id"), F.col("parts"), 1))
+        .drop("rho", "first", "parts", "has_ball", "ranges")
+    )
+    return Cells(
+        materialize(placed, "placed"), dim, home_rows, dense_rows, anchor, medoids, axes, lead, layout
     )
-    marked = assigned.withColumn("dense", inside & F.array_contains(dense_cells, F.col("home")))
-    marked = marked.drop("rho")
-    if k == 1:
-        placed = marked.withColumn("cells", F.array().cast("array<int>"))
-        return Cells(placed, dim, home_rows, dense_rows, anchor, medoids)
 
-    between = chords(pivots @ pivots.T)
-    np.fill_diagonal(between, np.inf)
 
-    def list_outer(batches):
-        for table in slices(batches):
-            gaps = chords(unit(vectors(table, "vec", dim)) @ pivots.T)
-            home = table.column("home").to_numpy()
-            own = gaps[np.arange(len(home)), home][:, None]
-            to_plane = (gaps**2 - own**2) / (2 * between[home])
-            near = (to_plane <= radius + SLACK) & (gaps <= reach[None, :] + radius + SLACK)
-            near[np.arange(len(home)), home] = False
-            cells = pa.array([np.flatnonzero(row).astype(np.int32) for row in near])
-            yield from table.append_column("cells", cells.cast(pa.list_(pa.int32()))).to_batches()
-
-    schema = f"{columns}, home int, dense boolean, cells array<int>"
-    placed = materialize(marked.mapInArrow(list_outer, schema), "placed")
-    return Cells(placed, dim, home_rows, dense_rows, anchor, medoids)
+def visits(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Rows (with ``home`` and ``block``) once in their own block and in each block they visit.
+
+    Of two blocks that meet, the one with the lower number is visited when both numbers are
+    even or both odd, else the other one: every pair meets once and the work is even.
+    """
+    spark = rows.sparkSession
+    by_cell = list(enumerate(layout.ranges))
+    table = spark.createDataFrame(by_cell, "home int, ranges array<array<int>>")
+    met = F.flatten(F.transform("ranges", lambda r: F.sequence(r[0], r[1] - 1)))
+    block = F.col("block")
+
+    def visited(other):
+        low, high = F.least(block, other), F.greatest(block, other)
+        return other == F.when((block + other) % 2 == 0, low).otherwise(high)
+
+    targets = F.filter(met, lambda other: (other == block) | visited(other))
+    return (
+        rows.join(F.broadcast(table), "home")
+        .withColumn("target", F.explode(targets))
+        .drop("ranges")
+        .withColumn("visiting", F.col("target") != block)
+    )

@@ -4,14 +4,16 @@ A point is core when at least ``min_samples`` points, itself included, lie withi
 Clusters are the connected components of core points, numbered by their least core id. A
 border point takes the least number among its core neighbours; the rest is noise.
 
-The order-free form needs no pass over all pairs: exact copies are folded into one weighted
-point, dense balls into one graph node, and the remaining points meet only inside the cells of
-``cells.py``, block by block. A block returns counts or a spanning forest of its edges, so
-nothing that leaves a task grows with the number of pairs.
+Exact copies are folded into one weighted point and dense balls into one graph node. The blocks
+of ``cells.py`` meet once a pair: one stays in its task, the others pass. There, tiles whose balls
+lie apart are skipped, then rows out of reach of a tile, then pairs whose leading principal
+coordinates settle the matter, then rows already known to be connected. A block returns counts
+or the links that merge nodes, so nothing that leaves a task grows with the number of pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -22,22 +24,15 @@ from pyspark.sql import functions as F
 
 from hoardlens.operators import blocks
 from hoardlens.operators import cells as cell_index
-from hoardlens.operators.blocks import (
-    chunk_count,
-    chunk_of,
-    column,
-    every_chunk,
-    spread_blocks,
-    unit,
-    values,
-    vectors,
-)
+from hoardlens.operators.blocks import column, unit, values, vectors
 from hoardlens.operators.components import connected_components
 from hoardlens.operators.numbering import number_rows
 from hoardlens.operators.skew import join_keyed
 from hoardlens.workspace import materialize
 
 CELL_ROWS = 1024
+OPEN_SHARE = 32  # a full product is cheaper when more than one pair in so many is left open
+OPEN_ROWS = 1 << 14  # open pairs that are multiplied at once
 ROUNDING = 1e-12  # distances that differ from eps by less than this count as within
 
 
@@ -46,10 +41,6 @@ def has_direction(vec: str) -> F.Column:
     return F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _chunks(rows: int) -> int:
-    return max(1, -(-rows // blocks.BLOCK_ROWS))
-
-
 @dataclass
 class Search:
     """Settings of one run and what it learned about its input."""
@@ -60,7 +51,6 @@ class Search:
     cell_rows: int
     dim: int
     rows: int
-    any_vector: list[float]
 
     @property
     def radius(self) -> float:
@@ -69,90 +59,164 @@ class Search:
     @cached_property
     def cells(self) -> cell_index.Cells:
         return cell_index.place(
-            self.points,
-            self.dim,
-            self.rows,
-            self.radius,
-            self.min_samples,
-            self.cell_rows,
-            self.any_vector,
+            self.points, self.dim, self.rows, self.radius, 1.0 - self.eps, self.min_samples, self.cell_rows
         )
 
-    @cached_property
-    def cell_figures(self) -> list[tuple[int, int, int]]:
-        """``cell, loose, members`` of cells with loose points; at most MAX_PIVOTS entries."""
+    @property
+    def metric(self) -> Metric:
         index = self.cells
-        members = index.home_rows.copy()
-        if len(members) > 1:
-            outer = index.placed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-            for row in outer.collect():
-                members[row["cell"]] += row["count"]
-        loose = index.home_rows - index.dense_rows
-        return [(c, int(loose[c]), int(members[c])) for c in np.flatnonzero(loose).tolist()]
+        axes = index.axes if index.lead < self.dim else None
+        return Metric(self.dim, self.radius, 1.0 - self.eps - ROUNDING, axes, index.lead, blocks.BLOCK_ROWS)
 
-    @cached_property
-    def cell_table(self) -> DataFrame:
-        """Chunks of both sides of every cell that has loose points."""
-        rows = [(c, _chunks(loose), _chunks(members)) for c, loose, members in self.cell_figures]
-        return self.points.sparkSession.createDataFrame(
-            rows, "cell int, q_chunks int, m_chunks int"
-        )
+    def meet(self, rows: DataFrame, extra: list[str], tile: str, task, schema: str) -> DataFrame:
+        """Run ``task`` over the rows of each block followed by those of the blocks that visit it.
 
-    @property
-    def volume(self) -> tuple[int, int]:
-        """Number of block pairs and the bytes their shuffle moves."""
-        count = moved = 0
-        for _, loose, members in self.cell_figures:
-            count += _chunks(loose) * _chunks(members)
-            moved += loose * _chunks(members) + members * _chunks(loose)
-        return count, moved * (8 * self.dim + 64)
-
-    def pairs(self, loose: DataFrame, members: DataFrame, extra: list[str]) -> DataFrame:
-        """Pair every chunk of a cell's loose home points with every chunk of its members."""
-        cell_table = F.broadcast(self.cell_table)
-        q = (
-            loose.withColumn("cell", F.col("home"))
-            .join(cell_table, "cell")
-            .withColumn("qc", chunk_of(F.col("id"), F.col("q_chunks"), 1))
-            .select("cell", "qc", every_chunk(F.col("m_chunks")).alias("mc"), "id", "vec", *extra)
-            .withColumn("member", F.lit(False))
-        )
-        own = F.concat(F.array("home"), F.col("cells"))
-        m = (
-            members.withColumn("cell", F.explode(own))
-            .join(cell_table, "cell")
-            .withColumn("mc", chunk_of(F.col("id"), F.col("m_chunks"), 2))
-            .select("cell", every_chunk(F.col("q_chunks")).alias("qc"), "mc", "id", "vec", *extra)
-            .withColumn("member", F.lit(True))
-        )
-        keys = ["cell", "qc", "mc"]
-        return spread_blocks(q.unionByName(m), keys, *self.volume).groupBy(*keys)
+        ``tile`` tells apart rows that must not share a tile.
+        """
+        layout = self.cells.layout
+        sent = cell_index.visits(rows.withColumn("tile", F.expr(tile)), layout)
+        names = ["target", "visiting", "block", "tile", "along", "id", "vec", *extra]
+        met = sent.select(*names).repartitionById(layout.blocks, F.col("target"))
+        ordered = met.sortWithinPartitions("target", "visiting", "block", "tile", "along", "id")
+        return ordered.mapInArrow(task, schema)
 
 
-def _sides(table: pa.Table, dim: int, eps: float):
-    """Split a block into its two sides and find the pairs within ``eps``."""
-    member = values(table, "member").astype(bool)
-    units = unit(vectors(table, "vec", dim))
-    near = units[~member] @ units[member].T >= 1.0 - eps - ROUNDING
-    return member, near
+@dataclass
+class Metric:
+    """What a task needs to compare unit vectors."""
+
+    dim: int
+    radius: float
+    limit: float  # least cosine of neighbours
+    axes: np.ndarray | None  # rotation to the principal axes, None where it saves nothing
+    lead: int
+    tile_rows: int
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which rows of two sets are neighbours.
+
+        Leading coordinates come first; the others of a pair are multiplied only if their
+        lengths leave it open, unless so many are open that a full product is cheaper.
+        """
+        lead = self.lead
+        if lead == x.shape[1]:
+            return x @ y.T >= self.limit
+        low = x[:, :lead] @ y[:, :lead].T
+        rest_x, rest_y = np.linalg.norm(x[:, lead:], axis=1), np.linalg.norm(y[:, lead:], axis=1)
+        open_ = np.flatnonzero(low + np.multiply.outer(rest_x, rest_y) >= self.limit - cell_index.SLACK)
+        if len(open_) > low.size // OPEN_SHARE:
+            return low + x[:, lead:] @ y[:, lead:].T >= self.limit
+        found = np.zeros(low.shape, dtype=bool)
+        for start in range(0, len(open_), OPEN_ROWS):
+            rows, columns = np.divmod(open_[start : start + OPEN_ROWS], low.shape[1])
+            rest = np.einsum("ij,ij->i", x[rows, lead:], y[columns, lead:])
+            found[rows, columns] = low[rows, columns] + rest >= self.limit
+        return found
+
+    def reachable(self, x: np.ndarray, centre: np.ndarray, reach: float) -> np.ndarray:
+        """Rows that may have a neighbour in a ball."""
+        squares = 1.0 + centre @ centre - 2.0 * (x @ centre)
+        return squares <= (reach + self.radius + cell_index.SLACK) ** 2
+
+
+class Block:
+    """Rows of one block as unit vectors, cut into tiles of one kind and of bounded size."""
+
+    def __init__(self, table: pa.Table, metric: Metric):
+        self.table = table
+        units = unit(vectors(table, "vec", metric.dim))
+        self.units = units if metric.axes is None else units @ metric.axes
+        kind = values(table, "tile")
+        edges = np.flatnonzero(np.diff(kind)) + 1
+        starts = [
+            start
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(kind)])
+            for start in range(low, high, metric.tile_rows)
+        ]
+        self.starts, self.ends = starts, [*starts[1:], len(kind)]
+        sizes = np.diff([*starts, len(kind)])
+        self.kind = kind[starts]
+        self.centre = np.add.reduceat(self.units, starts) / sizes[:, None]
+        gaps = np.linalg.norm(self.units - np.repeat(self.centre, sizes, axis=0), axis=1)
+        self.reach = np.maximum.reduceat(gaps, starts)
+
+    def rows(self, tile: int) -> slice:
+        return slice(self.starts[tile], self.ends[tile])
+
+
+def _tile_pairs(own: Block, other: Block, metric: Metric) -> Iterator[tuple[int, int]]:
+    """Tiles whose balls come within the radius of each other, each unordered pair once."""
+    squares = (own.centre**2).sum(1)[:, None] + (other.centre**2).sum(1) - 2.0 * own.centre @ other.centre.T
+    gaps = np.sqrt(np.maximum(squares, 0.0)) - own.reach[:, None] - other.reach
+    for i, j in np.argwhere(gaps <= metric.radius + cell_index.SLACK).tolist():
+        if own is not other or i <= j:
+            yield i, j
+
+
+def _blocks(batches, metric: Metric) -> Iterator[tuple[bool, Block]]:
+    """Blocks of a sorted stream, each with whether it visits; only one is held back."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        target, visiting, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        keys = np.stack([target, visiting.astype(np.int32), block], axis=1)
+        edges = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+            if held and key != tuple(keys[start]):
+                yield bool(key[1]), Block(pa.Table.from_batches(held), metric)
+                held = []
+            key = tuple(keys[start])
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield bool(key[1]), Block(pa.Table.from_batches(held), metric)
+
+
+def _add_counts(own: Block, other: Block, own_near, other_near, metric: Metric) -> None:
+    weights = [values(b.table, "w").astype(np.float64) for b in (own, other)]
+    for i, j in _tile_pairs(own, other, metric):
+        if own.kind[i] % 2 and other.kind[j] % 2:
+            continue  # members of dense balls are core whatever their neighbours
+        rows, columns = own.rows(i), other.rows(j)
+        x, y = own.units[rows], other.units[columns]
+        at_x = np.flatnonzero(metric.reachable(x, other.centre[j], other.reach[j]))
+        at_y = np.flatnonzero(metric.reachable(y, own.centre[i], own.reach[i]))
+        # Doubles count exactly up to 2**53 and are summed by the matrix library.
+        near = metric.near(x[at_x], y[at_y]).astype(np.float64)
+        own_near[rows.start + at_x] += (near @ weights[1][columns][at_y]).astype(np.int64)
+        if own is not other or i != j:
+            other_near[columns.start + at_y] += (near.T @ weights[0][rows][at_x]).astype(np.int64)
 
 
 def neighbour_counts(search: Search) -> DataFrame:
     """``id, near``: weight within eps of every point outside the dense balls, self included."""
-    dim, eps = search.dim, search.eps
-
-    def count(table: pa.Table) -> pa.Table:
-        member, near = _sides(table, dim, eps)
-        # Doubles count exactly up to 2**53 and are summed by the matrix library.
-        weight = values(table, "w")[member].astype(np.float64)
-        total = (near.astype(np.float64) @ weight).astype(np.int64)
-        ids = column(table, "id").filter(pa.array(~member))
-        return pa.table({"id": ids, "near": pa.array(total)})
+    metric = search.metric
+
+    def count(batches):
+        def found(block: Block, near: np.ndarray):
+            some = (near > 0) & (values(block.table, "tile") % 2 == 0)
+            ids = column(block.table, "id").filter(pa.array(some))
+            return pa.RecordBatch.from_arrays([ids, pa.array(near[some])], ["id", "near"])
+
+        own = own_near = None
+        for visiting, block in _blocks(batches, metric):
+            near = np.zeros(len(block.units), np.int64)
+            if visiting:
+                if own is not None:
+                    _add_counts(own, block, own_near, near, metric)
+                    yield found(block, near)
+                continue
+            if own is not None:
+                yield found(own, own_near)
+            own, own_near = block, near
+            _add_counts(own, own, own_near, own_near, metric)
+        if own is not None:
+            yield found(own, own_near)
 
     placed = search.cells.placed
     kind = placed.schema["id"].dataType.simpleString()
-    paired = search.pairs(placed.where(~F.col("dense")), placed, ["w"])
-    partial = paired.applyInArrow(count, f"id {kind}, near bigint")
+    tile = "home * 2 + int(dense)"
+    partial = search.meet(placed, ["w"], tile, count, f"id {kind}, near bigint")
     return partial.groupBy("id").agg(F.sum("near").alias("near"))
 
 
@@ -197,33 +261,97 @@ def local_forest(near: np.ndarray, q_nodes: np.ndarray, m_nodes: np.ndarray):
     return nodes[child], nodes[label[child]]
 
 
+class Links:
+    """Connections between the nodes of one block and, one after the other, its visitors.
+
+    Rows that are known to be connected are not compared again, so a cluster that fills many
+    blocks costs far less than all its pairs, and no more links leave a task than it merges nodes.
+    """
+
+    def __init__(self, own: Block, metric: Metric):
+        self.own, self.metric = own, metric
+        self.nodes, self.code = np.unique(values(own.table, "node"), return_inverse=True)
+        self.label = np.arange(len(self.nodes))  # least node of the block known to be connected
+
+    def join(self, other: Block) -> pa.RecordBatch:
+        nodes, own_code, other_code, label = self.nodes, self.code, self.code, self.label.copy()
+        if other is not self.own:
+            own_count = len(nodes)
+            nodes, both = np.unique(
+                np.concatenate([nodes, np.unique(values(other.table, "node"))]), return_inverse=True
+            )
+            renamed = both[:own_count]
+            label = np.arange(len(nodes))
+            label[renamed] = renamed[self.label]
+            own_code = renamed[self.code]
+            other_code = np.searchsorted(nodes, values(other.table, "node"))
+        links, borders = [], []
+        for i, j in _tile_pairs(self.own, other, self.metric):
+            core_x, core_y = self.own.kind[i] % 2, other.kind[j] % 2
+            if not (core_x or core_y):
+                continue
+            rows, columns = self.own.rows(i), other.rows(j)
+            code_x, code_y = own_code[rows], other_code[columns]
+            at_x, at_y = np.arange(len(code_x)), np.arange(len(code_y))
+            sets = [(at_x, at_y)]
+            if core_x and core_y:
+                label_x, label_y = label[code_x], label[code_y]
+                main = np.bincount(np.concatenate([label_x, label_y])).argmax()
+                sets = [(at_x[label_x != main], at_y), (at_x[label_x == main], at_y[label_y != main])]
+            x, y = self.own.units[rows], other.units[columns]
+            for at_x, at_y in sets:
+                if not len(at_x) or not len(at_y):
+                    continue
+                at_x = at_x[self.metric.reachable(x[at_x], other.centre[j], other.reach[j])]
+                at_y = at_y[self.metric.reachable(y[at_y], self.own.centre[i], self.own.reach[i])]
+                near = self.metric.near(x[at_x], y[at_y])
+                if core_x and core_y:
+                    child, parent = local_forest(near, label[code_x[at_x]], label[code_y[at_y]])
+                    if len(child):
+                        links.append((child, parent))
+                        renumber = np.arange(len(nodes))
+                        renumber[child] = parent
+                        label = renumber[label]
+                    continue
+                x_at, y_at = np.nonzero(near)
+                x_at, y_at = code_x[at_x[x_at]], code_y[at_y[y_at]]
+                borders.append((y_at, x_at) if core_x else (x_at, y_at))
+        if other is not self.own:
+            _, first, group = np.unique(label[own_code], return_index=True, return_inverse=True)
+            least = self.code[first][group]
+            self.label = np.empty(len(self.nodes), np.int64)
+            self.label[self.code] = least
+        else:
+            self.label = label
+        ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*links, *borders)] if links or borders else None
+        a, b = (nodes[e] for e in ends) if ends else (nodes[:0], nodes[:0])
+        border = np.arange(len(a)) >= sum(len(c) for c, _ in links)
+        kind = column(self.own.table, "node").type
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a, kind), pa.array(b, kind), pa.array(border)], ["a", "b", "border"]
+        )
+
+
 def core_links(search: Search, flagged: DataFrame) -> DataFrame:
-    """``a, b, border``: forest edges between core nodes, and core nodes next to others.
+    """``a, b, border``: links that connect the core nodes, and core nodes next to others.
 
     A point that is not core has fewer than ``min_samples`` neighbours, which bounds the
     second kind.
     """
-    dim, eps = search.dim, search.eps
+    metric = search.metric
     kind = flagged.schema["id"].dataType.simpleString()
 
-    def link(table: pa.Table) -> pa.Table:
-        member, near = _sides(table, dim, eps)
-        node, core = values(table, "node"), values(table, "core").astype(bool)
-        q_node, m_node, q_core = node[~member], node[member], core[~member]
-        low, high = local_forest(near[q_core], q_node[q_core], m_node)
-        q_at, m_at = np.nonzero(near[~q_core])
-        a = np.concatenate([low, q_node[~q_core][q_at]])
-        b = np.concatenate([high, m_node[m_at]])
-        border = np.arange(len(a)) >= len(low)
-        node_type = table.schema.field("node").type
-        return pa.table(
-            {"a": pa.array(a, node_type), "b": pa.array(b, node_type), "border": pa.array(border)}
-        )
+    def link(batches):
+        known = None
+        for visiting, block in _blocks(batches, metric):
+            if not visiting:
+                known = Links(block, metric)
+                yield known.join(block)
+            elif known is not None:
+                yield known.join(block)
 
-    paired = search.pairs(
-        flagged.where(~F.col("dense")), flagged.where("core"), ["node", "core"]
-    )
-    return paired.applyInArrow(link, f"a {kind}, b {kind}, border boolean").distinct()
+    tile = "(home * 2 + int(dense)) * 2 + int(core)"
+    return search.meet(flagged, ["node"], tile, link, f"a {kind}, b {kind}, border boolean").distinct()
 
 
 def ball_groups(index: cell_index.Cells, radius: float) -> list:
@@ -249,56 +377,6 @@ def ball_groups(index: cell_index.Cells, radius: float) -> list:
     return node
 
 
-def ball_links(search: Search, flagged: DataFrame, ball_nodes: DataFrame) -> DataFrame:
-    """Edges between dense balls of different nodes that have at least one pair within eps.
-
-    Only members that may reach the other cell take part, and a block stops at one edge.
-    """
-    dim, eps = search.dim, search.eps
-    kind = flagged.schema["id"].dataType.simpleString()
-    other = F.broadcast(
-        ball_nodes.select(F.col("home").alias("partner"), F.col("node").alias("partner_node"))
-    )
-    reaching = (
-        flagged.where("dense")
-        .select("id", "vec", "home", "node", F.explode("cells").alias("partner"))
-        .join(other, "partner")
-        .where(F.col("node") != F.col("partner_node"))
-        .withColumn("cell", F.greatest("home", "partner"))
-        .withColumn("peer", F.least("home", "partner"))
-        .withColumn("member", F.col("home") == F.col("peer"))
-    )
-    sizes = (
-        reaching.groupBy("cell", "peer")
-        .agg(
-            chunk_count(F.count_if(~F.col("member"))).alias("q_chunks"),
-            chunk_count(F.count_if("member")).alias("m_chunks"),
-        )
-    )
-    sized = reaching.join(sizes, ["cell", "peer"])
-    q = sized.where(~F.col("member")).select(
-        "cell", "peer", "member", "node", "vec",
-        chunk_of(F.col("id"), F.col("q_chunks"), 1).alias("qc"),
-        every_chunk(F.col("m_chunks")).alias("mc"),
-    )
-    m = sized.where("member").select(
-        "cell", "peer", "member", "node", "vec",
-        every_chunk(F.col("q_chunks")).alias("qc"),
-        chunk_of(F.col("id"), F.col("m_chunks"), 2).alias("mc"),
-    )
-
-    def touch(table: pa.Table) -> pa.Table:
-        member, near = _sides(table, dim, eps)
-        node, node_type = values(table, "node"), table.schema.field("node").type
-        found = near.any()
-        a = node[~member][:1] if found else node[:0]
-        b = node[member][:1] if found else node[:0]
-        return pa.table({"a": pa.array(a, node_type), "b": pa.array(b, node_type)})
-
-    keys = ["cell", "peer", "qc", "mc"]
-    return q.unionByName(m).groupBy(*keys).applyInArrow(touch, f"a {kind}, b {kind}").distinct()
-
-
 def _label_distinct(search: Search, lone_cores: DataFrame | None) -> DataFrame:
     """``id, cluster_id`` of all distinct vectors that belong to a cluster."""
     index = search.cells
@@ -312,34 +390,40 @@ def _label_distinct(search: Search, lone_cores: DataFrame | None) -> DataFrame:
     ball_nodes = spark.createDataFrame(
         [(c, n) for c, n in enumerate(nodes) if n is not None], f"home int, node {kind}"
     )
+    # With up to two samples a point next to any other is core: the links tell, and no counts are
+    # needed.
+    by_links = search.min_samples <= 2
     flagged = index.placed
-    if loose_rows:
-        flagged = flagged.join(neighbour_counts(search), "id", "left")
+    if by_links:
+        flagged = flagged.withColumn("core", F.lit(True))
     else:
-        flagged = flagged.withColumn("near", F.lit(None).cast("bigint"))
+        if loose_rows:
+            flagged = flagged.join(neighbour_counts(search), "id", "left")
+        else:
+            flagged = flagged.withColumn("near", F.lit(None).cast("bigint"))
+        many = F.coalesce("near", F.lit(0)) >= search.min_samples
+        flagged = flagged.withColumn("core", F.col("dense") | many).drop("near")
     flagged = (
-        flagged.withColumn(
-            "core", F.col("dense") | (F.coalesce("near", F.lit(0)) >= search.min_samples)
-        )
-        .join(F.broadcast(ball_nodes.withColumnRenamed("node", "ball")), "home", "left")
+        flagged.join(F.broadcast(ball_nodes.withColumnRenamed("node", "ball")), "home", "left")
         .withColumn("node", F.when(F.col("dense"), F.col("ball")).otherwise(F.col("id")))
-        .drop("near", "ball", "w")
+        .drop("ball")
     )
     flagged = materialize(flagged, "flagged")
 
-    empty = spark.createDataFrame([], f"a {kind}, b {kind}")
+    edges = spark.createDataFrame([], f"a {kind}, b {kind}")
     links = None
-    edges = empty
-    if loose_rows:
+    if loose_rows or len({n for n in nodes if n is not None}) > 1:
         links = materialize(core_links(search, flagged), "links")
-        edges = edges.unionByName(links.where(~F.col("border")).select("a", "b"))
-    if len({n for n in nodes if n is not None}) > 1:
-        between = materialize(ball_links(search, flagged, ball_nodes), "ball-links")
-        edges = edges.unionByName(between)
+        edges = links.where(~F.col("border")).select("a", "b")
     component = connected_components(edges)
 
-    loose_core = flagged.where(F.col("core") & ~F.col("dense")).select("node")
-    core_nodes = loose_core.unionByName(ball_nodes.select("node").distinct())
+    loose = flagged.where(F.col("core") & ~F.col("dense"))
+    if by_links:
+        linked = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        heavy = loose.where(F.col("w") >= search.min_samples).select("node")
+        core_nodes = linked.unionByName(heavy).unionByName(ball_nodes.select("node")).distinct()
+    else:
+        core_nodes = loose.select("node").unionByName(ball_nodes.select("node").distinct())
     if lone_cores is not None:
         core_nodes = core_nodes.unionByName(lone_cores.select(F.col("id").alias("node")))
     rooted = materialize(
@@ -402,13 +486,10 @@ def _open(df: DataFrame, id_col: str, vec_col: str, eps: float, min_samples: int
         F.min(F.size("vec")).alias("dim"),
         F.max(F.size("vec")).alias("max_dim"),
         F.coalesce(F.max(bad), F.lit(False)).alias("bad"),
-        F.min_by("vec", "id").alias("any_vector"),
     ).first()
     if facts["bad"] or facts["dim"] != facts["max_dim"]:
         raise ValueError("embeddings must be finite and of one length")
-    search = Search(
-        points, eps, min_samples, cell_rows, facts["dim"] or 0, facts["rows"], facts["any_vector"]
-    )
+    search = Search(points, eps, min_samples, cell_rows, facts["dim"] or 0, facts["rows"])
     return rows, search, facts["total"]
 
 

@@ -235,12 +235,16 @@ SUMMARY = """
 """
 
 
-def silhouette(labelled: str) -> str:
+EUCLIDEAN = "list_distance(a.embedding, b.embedding)"
+COSINE = "1 - list_cosine_similarity(a.embedding, b.embedding)"
+
+
+def silhouette(labelled: str, distance: str = EUCLIDEAN) -> str:
     """Mean silhouette of a relation ``id, embedding, label``."""
     return f"""
 dist AS (
   SELECT a.id, a.label, b.label AS other,
-         sum(CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.embedding, b.embedding) END) AS s,
+         sum(CASE WHEN a.id = b.id THEN 0 ELSE {distance} END) AS s,
          count(*) AS n
   FROM {labelled} a, {labelled} b GROUP BY ALL),
 per_point AS (
@@ -278,6 +282,8 @@ WHERE a.id = b.id OR 1 - list_cosine_similarity(a.embedding, b.embedding) <= 0.6
 GROUP BY a.id""",
     "dbscan_labels": f"WITH RECURSIVE {LABELS} SELECT * FROM labels",
     "dbscan_labels_pairs": f"WITH RECURSIVE {dbscan(0.6, 2)} SELECT * FROM labels",
+    "dbscan_default": f"WITH RECURSIVE {dbscan(0.5, 2)} SELECT * FROM labels",
+    "dbscan_many_cells": f"WITH RECURSIVE {dbscan(0.6, 3)} SELECT * FROM labels",
     "cluster_summary": f"WITH RECURSIVE {LABELS} {SUMMARY}",
     "cluster_size_histogram": f"""
 WITH RECURSIVE {LABELS}, summary AS ({SUMMARY})
@@ -317,6 +323,12 @@ WITH RECURSIVE {LABELS},
 labelled AS (SELECT id, embedding, coalesce(cluster_id, -1) AS label
              FROM labels JOIN (SELECT id, embedding FROM emb) USING (id)),
 {silhouette('labelled')}""",
+    "silhouette_cosine": f"WITH {EMB}, {silhouette('emb', COSINE)}",
+    "silhouette_no_noise": f"""
+WITH RECURSIVE {LABELS},
+labelled AS (SELECT id, embedding, cluster_id AS label
+             FROM labels JOIN (SELECT id, embedding FROM emb) USING (id) WHERE cluster_id IS NOT NULL),
+{silhouette('labelled', COSINE)}""",
     "embedding_integrity": f"""
 WITH {EMB}
 SELECT 'duplicate_id' AS check_name, count(*) AS violations

@@ -229,6 +229,16 @@ def dbscan_labels_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan(views.embeddings(spark, sf_dir), 0.6, 2)
 
 
+@query
+def dbscan_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan(views.embeddings(spark, sf_dir))
+
+
+@query
+def dbscan_many_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dbscan(views.embeddings(spark, sf_dir), 0.6, 3, cell_rows=16)
+
+
 @query
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = views.embeddings(spark, sf_dir)
@@ -303,6 +313,19 @@ def silhouette_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparable(silhouette(labelled))
 
 
+@query
+def silhouette_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir)
+    return comparable(silhouette(faces, label_col="label", metric="cosine"))
+
+
+@query
+def silhouette_no_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    faces = views.embeddings(spark, sf_dir).drop("label")
+    labelled = faces.join(labels_of(spark, sf_dir), "id")
+    return comparable(silhouette(labelled, include_noise=False, metric="cosine"))
+
+
 @query
 def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = views.embeddings(spark, sf_dir)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hoardlens.operators import cluster_tables, similarity
+from hoardlens.operators import blocks, cluster_tables, similarity
 from hoardlens.operators.components import connected_components
 from hoardlens.operators.dbscan import count_neighbours, dbscan
 from hoardlens.operators.silhouette import silhouette
@@ -139,8 +139,16 @@ def test_components_of_chains_stars_and_random_edges(spark):
     assert {x: found.get(x, x) for x in parent} == {x: find(x) for x in parent}
 
 
-def brute_silhouette(rows, label):
-    gaps = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(-1))
+def brute_silhouette(rows, label, metric="euclidean"):
+    if metric == "cosine":
+        length = np.linalg.norm(rows, axis=1, keepdims=True)
+        units = rows / np.where(length > 0, length, 1)
+        gaps = 1 - units @ units.T
+        np.fill_diagonal(gaps, 0)
+    else:
+        squares = (rows**2).sum(1)[:, None] + (rows**2).sum(1) - 2 * rows @ rows.T
+        gaps = np.sqrt(np.maximum(squares, 0))
+        np.fill_diagonal(gaps, 0)
     scores = []
     for i, own in enumerate(label):
         same = label == own
@@ -153,24 +161,46 @@ def brute_silhouette(rows, label):
     return np.mean(scores)
 
 
-def test_silhouette_matches_brute_force(spark):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(25, 3)) * 5
-    label = rng.integers(0, 25, 300)
-    rows = centres[label] + rng.normal(size=(300, 3)) * 0.5
-    label[0], rows[5] = 77, rows[6]
+def labelled(spark, rows, label):
     data = [
         (i, [float(v) for v in r], None if k == 3 else int(k))
         for i, (r, k) in enumerate(zip(rows, label))
     ]
-    df = spark.createDataFrame(data, "id bigint, embedding array<double>, cluster_id int")
+    return spark.createDataFrame(data, "id bigint, embedding array<double>, cluster_id int")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("n, least_block", [(300, 20), (2_500, 4_096)])
+def test_silhouette_matches_brute_force(spark, monkeypatch, metric, n, least_block):
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", least_block)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(25, 3)) * 5
+    label = rng.integers(0, 25, n)
+    rows = centres[label] + rng.normal(size=(n, 3)) * 0.5
+    label[0], rows[5], rows[9], rows[10] = 77, rows[6], 0, 0
+    df = labelled(spark, rows, label)
     noise = np.where(label == 3, -1, label)
-    assert silhouette(df).first()[0] == pytest.approx(brute_silhouette(rows, noise), abs=1e-9)
+    whole = silhouette(df, metric=metric).first()[0]
+    assert whole == pytest.approx(brute_silhouette(rows, noise, metric), abs=1e-9)
     kept = label != 3
-    assert silhouette(df, include_noise=False).first()[0] == pytest.approx(
-        brute_silhouette(rows[kept], label[kept]), abs=1e-9
+    assert silhouette(df, include_noise=False, metric=metric).first()[0] == pytest.approx(
+        brute_silhouette(rows[kept], label[kept], metric), abs=1e-9
     )
-    assert silhouette(df.where("cluster_id = 4")).first()[0] is None
+
+
+def test_silhouette_of_many_labels_and_odd_input(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(200, 4))
+    label = np.arange(200) // 2  # pairs, and one hot label
+    label[:80] = 500
+    for metric in ("euclidean", "cosine"):
+        found = silhouette(labelled(spark, rows, label), metric=metric).first()[0]
+        assert found == pytest.approx(brute_silhouette(rows, label, metric), abs=1e-9)
+    df = labelled(spark, rows, label)
+    assert silhouette(df.where("cluster_id = 500")).first()[0] is None
+    assert silhouette(df.where("false"), metric="cosine").first()[0] is None
+    with pytest.raises(ValueError, match="metric"):
+        silhouette(df, metric="manhattan")
 
 
 def test_faulty_vectors_and_ids_are_refused(spark):

@@ -62,7 +62,8 @@ def test_plain_files_split_unless_a_line_break_is_quoted(spark, plain_files):
         ("/n\nl", "h7", 4, "two [2].csv"),
     }
     files = manifests.find_manifests(spark, str(plain_files))
-    assert manifests._needing_multiline(spark, files) == {"two [2].csv"}
+    looked = {os.path.basename(f): odd for f, _, odd in manifests._looked_at(spark, files)}
+    assert looked == {"one.csv": False, "two%20%5B2%5D.csv": True}
 
 
 def test_bad_manifests(spark, tmp_path):
@@ -76,9 +77,9 @@ def test_bad_manifests(spark, tmp_path):
     assert as_set(lenient, "path", "size_bytes", "corrupt_record") == {
         ("/x", None, "/x,h,many"), ("/y", 2, None),
     }
-    (tmp_path / "bad.csv").write_text("hash,path,size_bytes\nh,/x,1\n")
-    with pytest.raises(Exception):
-        manifests.read_manifests(spark, str(tmp_path)).collect()
+    (tmp_path / "bad.csv").write_text("hash,file,size_bytes\nh,/x,1\n/path,hash,size_bytes\n")
+    with pytest.raises(ValueError, match="does not begin with a header"):
+        manifests.read_manifests(spark, str(tmp_path))
 
 
 @pytest.fixture
@@ -265,20 +266,59 @@ def test_equal_file_names_keep_their_own_keys(spark):
     assert all(r["name"].startswith("/crops/x_") and r["name"].endswith("_face_00.jpg") for r in found)
 
 
-def test_manifests_that_could_not_be_read_back_are_refused(spark, tmp_path):
+def test_manifests_of_any_name_and_column_order(spark, tmp_path):
     folder = tmp_path / "m"
     folder.mkdir()
-    (folder / "a.csv").write_text("path,hash,size_bytes\n/x,h,1\n")
-    assert manifests.read_manifests(spark, str(folder)).count() == 1
-    (folder / "_b.csv").write_text("path,hash,size_bytes\n/y,h,1\n")
-    with pytest.raises(ValueError, match="_b.csv"):
-        manifests.read_manifests(spark, str(folder))
-    for name in ("dev1", None, ".x.csv"):
-        df = spark.createDataFrame([("/x", "h", 1, name)], "path string, hash string, size_bytes bigint, source_filename string")
+    files = {
+        "a.csv": "path,hash,size_bytes\n/x,h,1\n",
+        "_b+ %41.csv": "\ufeffSize_Bytes,extra,\"path\",HASH,extra\n7,q,/y,h2,\n8,,/z,,\n",
+        ".c.csv": "hash, size_bytes ,path\nh3,3,\"/n\nl,\"\npath,9,path\n",
+        "empty.csv": "",
+        "only header.csv": "hash,path,size_bytes\n",
+    }
+    for name, text in files.items():
+        (folder / name).write_text(text)
+    expected = {
+        ("/x", "h", 1, "a.csv"), ("/y", "h2", 7, "_b+ %41.csv"), ("/z", None, 8, "_b+ %41.csv"),
+        ("/n\nl,", "h3", 3, ".c.csv"), ("path", "path", 9, ".c.csv"),
+    }
+    got = manifests.read_manifests(spark, str(folder))
+    assert as_set(got, "path", "hash", "size_bytes", "source_filename") == expected
+    assert as_set(manifests.read_manifests(spark, folder.as_uri()), "path") == {(r[0],) for r in expected}
+    # Hidden names can be written too, as one manifest and as many.
+    row = spark.createDataFrame([("/new", "h", 1)], schemas.MANIFEST)
+    manifests.write_manifest(row, str(folder), "_new.csv")
+    manifests.write_manifests(row.withColumn("source_filename", F.lit(".x=y.csv")), str(folder))
+    names = {r[0] for r in manifests.read_manifests(spark, str(folder)).select("source_filename").collect()}
+    assert names == {r[3] for r in expected} | {"_new.csv", ".x=y.csv"}
+    for name in ("dev1", None):
+        df = row.withColumn("source_filename", F.lit(name).cast("string"))
         with pytest.raises(Exception, match="no name for a manifest"):
             manifests.write_manifests(df, str(tmp_path / "out"))
 
 
+def test_hidden_folders_of_parts_are_read(spark, tmp_path):
+    spark.createDataFrame([("/x", "h", 1)], schemas.MANIFEST).write.option("header", True).csv(str(tmp_path / "m" / "_parts.csv"))
+    got = manifests.read_manifests(spark, str(tmp_path / "m"))
+    assert as_set(got, "path", "source_filename") == {("/x", "_parts.csv")}
+
+
+def test_replacing_one_device_keeps_the_others(spark, tmp_path):
+    folder = str(tmp_path / "m")
+    named = schemas.with_text(schemas.MANIFEST, "source_filename")
+    first = [("/1", "h", 1, "a.csv"), ("/2", "h", 2, "a.csv"), ("/3", "h", 3, "b.csv"), ("/4", None, 4, "_c d.csv")]
+    manifests.write_manifests(spark.createDataFrame(first, named), folder)
+    (tmp_path / "m" / "plain.csv").write_text("path,hash,size_bytes\n/5,h,5\n")
+    new = [("/9", "h", 9, "a.csv"), ("/8", "h", 8, "plain.csv"), ("/7", "h", 7, "_c d.csv")]
+    manifests.write_manifests(spark.createDataFrame(new, named), folder, mode="overwrite")
+    got = manifests.read_manifests(spark, folder)
+    assert as_set(got, *named.fieldNames()) == {*new, first[2]}
+    manifests.write_manifests(spark.createDataFrame(first[:2], named), folder)
+    assert manifests.read_manifests(spark, folder).count() == 6
+    with pytest.raises(ValueError, match="mode"):
+        manifests.write_manifests(got, folder, mode="ignore")
+
+
 def test_bad_dumps_keep_the_others(spark):
     good = '{"blockdevices": [{"name": "sda", "size": 5, "children": [{"name": "sda1"}]}]}'
     rows = [(1, good), (2, "{broken"), (3, "[]"), (4, None), (5, '{"blockdevices": [7]}')]

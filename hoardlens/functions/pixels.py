@@ -38,6 +38,45 @@ def crop_image(image: Column, x1: Column, y1: Column, x2: Column, y2: Column) ->
     )
 
 
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def _crops_bytes(
+    data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, boxes: pd.Series
+) -> pd.Series:
+    def cut(raw, h, w, c, sides):
+        if sides is None:
+            return None
+        if raw is None or h is None or h <= 0:
+            return [None] * len(sides)
+        pixels = np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w), int(c))
+        return [pixels[b["y1"] : b["y2"], b["x1"] : b["x2"]].tobytes() for b in sides]
+
+    return pd.Series([cut(*row) for row in zip(data, height, width, channels, boxes)], dtype=object)
+
+
+def crop_boxes(image: Column, boxes: Column) -> Column:
+    """Parts of an image inside clamped integer boxes (``x1, y1, x2, y2``), as image structs in order.
+
+    The pixels go to Python once, however many boxes there are.
+    """
+    sides = F.transform(boxes, lambda b: F.struct(*[b[n].alias(n) for n in ("x1", "y1", "x2", "y2")]))
+    cut = _crops_bytes.asNondeterministic()(
+        image["data"], image["height"], image["width"], image["nChannels"], sides
+    )
+    empty = F.lit(0)
+    return F.zip_with(
+        boxes,
+        cut,
+        lambda b, data: F.struct(
+            image["origin"].alias("origin"),
+            F.greatest(empty, b["y2"] - b["y1"]).alias("height"),
+            F.greatest(empty, b["x2"] - b["x1"]).alias("width"),
+            image["nChannels"].alias("nChannels"),
+            image["mode"].alias("mode"),
+            data.alias("data"),
+        ),
+    )
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def _planes(
     data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series

@@ -128,10 +128,14 @@ def class_report(objects: DataFrame) -> DataFrame:
     )
 
 
-def is_flagged(results: Column, threshold: float = 0.7, label: str = "nsfw") -> Column:
-    """True when any result carries the label, in any case, with enough confidence."""
+def check_threshold(threshold: float) -> None:
     if not 0.0 <= threshold <= 1.0:
         raise ValueError("threshold must be between 0 and 1")
+
+
+def is_flagged(results: Column, threshold: float = 0.7, label: str = "nsfw") -> Column:
+    """True when any result carries the label, in any case, with enough confidence."""
+    check_threshold(threshold)
     hit = F.exists(
         results, lambda r: (F.lower(r["label"]) == label) & (r["score"] >= threshold)
     )

@@ -79,15 +79,29 @@ def with_result(images: DataFrame, model: Model, item: T.StructType) -> DataFram
     return images.withColumn("result", apply_model(F.col("image"), F.col("path"), model, item))
 
 
-def _stored(images: DataFrame, model: Model, item: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Images with their result, and ``path``, ``frame_id`` where there is one, and ``error`` of those that failed.
+def _keys(images: DataFrame) -> list[str]:
+    return [c for c in ("path", "frame_id") if c in images.columns]
 
-    Results are stored with their pixels, so the model runs once for both.
+
+def run_once(
+    images: DataFrame, model: Model, item: T.StructType, pixels: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Images with the model's ``result``, and the rejects: ``path``, ``frame_id`` and ``error``.
+
+    Rejects are images on which the model failed, and those that come without an image but
+    with an ``error`` of their own. Results are stored, so the model runs once for both; the
+    pixels only where they are asked for.
     """
-    predicted = materialize(with_result(images, model, item), "predicted")
-    _, failed = split(predicted)
-    keys = [c for c in ("path", "frame_id") if c in images.columns]
-    return predicted, failed.select(*keys, F.col("result")["error"].alias("error"))
+    predicted = with_result(images, model, item)
+    own = F.col("error") if "error" in images.columns else F.lit(None).cast("string")
+    image = F.col("image")
+    if not pixels:
+        image = F.struct(image["height"].alias("height"), image["width"].alias("width"))
+    kept = predicted.select(*_keys(images), image.alias("image"), own.alias("own_error"), "result")
+    kept = materialize(kept, "predicted")
+    error = F.coalesce("own_error", F.col("result")["error"])
+    rejects = kept.where(error.isNotNull()).select(*_keys(images), error.alias("error"))
+    return kept.where(error.isNull()).drop("own_error"), rejects
 
 
 def raw_faces(predicted: DataFrame) -> DataFrame:
@@ -118,8 +132,8 @@ def detect_faces(
 def detect_faces_and_rejects(
     images: DataFrame, model: Model, threshold: float = 0.5, crop_folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Face rows, and the images on which the model failed with their ``error``."""
-    predicted, rejects = _stored(images, model, schemas.FACE_ITEM)
+    """Face rows, and the images without a result with their ``error``."""
+    predicted, rejects = run_once(images, model, schemas.FACE_ITEM)
     return detections.face_rows(raw_faces(predicted), threshold, crop_folder), rejects
 
 
@@ -131,12 +145,20 @@ def detect_faces_in_frames(
     return detect_faces(chosen, model, threshold)
 
 
+def detect_faces_in_frames_and_rejects(
+    frames: DataFrame, model: Model, threshold: float = 0.5, frame_skip: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Face rows of every n-th frame, and the frames without a result with their ``error``."""
+    return detect_faces_and_rejects(detections.every_nth_frame(frames, frame_skip), model, threshold)
+
+
 def crop_faces(
     images: DataFrame, model: Model, crop_folder: str, threshold: float = 0.5
 ) -> DataFrame:
     """Face rows with their crops as image structs; ``crop_faces_and_rejects`` also lists failed images.
 
-    The pixels stay in the row of their image until they are cut, so nothing is joined back.
+    The pixels stay in the row of their image until all its crops are cut, in one call of
+    Python an image, so nothing is joined back.
     """
     return _crops(with_result(images, model, schemas.FACE_ITEM), crop_folder, threshold)
 
@@ -144,24 +166,31 @@ def crop_faces(
 def crop_faces_and_rejects(
     images: DataFrame, model: Model, crop_folder: str, threshold: float = 0.5
 ) -> tuple[DataFrame, DataFrame]:
-    """Face rows with their crops, and the images on which the model failed with their ``error``."""
-    predicted, rejects = _stored(images, model, schemas.FACE_ITEM)
+    """Face rows with their crops, and the images without a result with their ``error``."""
+    predicted, rejects = run_once(images, model, schemas.FACE_ITEM, pixels=True)
     return _crops(predicted, crop_folder, threshold), rejects
 
 
 def _crops(predicted: DataFrame, crop_folder: str, threshold: float) -> DataFrame:
-    raw = detections.confident(raw_faces(predicted), "det_score", threshold)
-    path = F.col("path")
-    corner = {c: boxes.whole_pixels(F.col(c)) for c in ("x1", "y1", "x2", "y2")}
-    crop = boxes.padded_crop(
-        corner["x1"], corner["y1"], corner["x2"], corner["y2"],
-        F.col("image_width"), F.col("image_height"),
-    )
-    name = boxes.crop_name(crop_folder, path, F.col("face_id"))
-    cut = pixels.crop_image(F.col("image"), *crop.values())
-    return raw.select(
-        name.alias("cropped_face_path"), path.alias("source_path"), "frame_id", "face_id",
-        cut.alias("image"),
+    image, path = F.col("image"), F.col("path")
+    frame = F.col("frame_id") if "frame_id" in predicted.columns else F.lit(0)
+
+    def box(face: Column, index: Column) -> Column:
+        corner = {c: boxes.whole_pixels(face[c]) for c in ("x1", "y1", "x2", "y2")}
+        grown = boxes.padded_crop(*corner.values(), image["width"], image["height"])
+        sides = zip(("x1", "y1", "x2", "y2"), grown.values())
+        sure = F.coalesce(face["det_score"] >= threshold, F.lit(False))
+        return F.struct(index.alias("face_id"), sure.alias("sure"), *[c.alias(n) for n, c in sides])
+
+    wanted = F.filter(F.transform(F.col("result")["found"], box), lambda b: b["sure"])
+    cut = predicted.select(path, frame.cast("int").alias("frame_id"), "image", wanted.alias("boxes"))
+    # Images without a box are not sent to Python at all.
+    cut = cut.where(F.size("boxes") > 0).withColumn("crops", pixels.crop_boxes(image, F.col("boxes")))
+    face = F.col("crop")
+    return cut.select("path", "frame_id", F.explode(F.arrays_zip("boxes", "crops")).alias("crop")).select(
+        boxes.crop_name(crop_folder, path, face["boxes"]["face_id"]).alias("cropped_face_path"),
+        path.alias("source_path"), "frame_id", face["boxes"]["face_id"].alias("face_id"),
+        face["crops"].alias("image"),
     )
 
 
@@ -205,6 +234,29 @@ def embed_detections(
     ready = faces.where(F.col("cropped_face_path").isNotNull())
     wanted = ready.select(F.col("cropped_face_path").alias("path"))
     embedded = embed_faces(crops.join(wanted, "path", "left_semi"), model, direct)
+    return _with_vectors(ready, embedded)
+
+
+def embed_detections_and_rejects(
+    faces: DataFrame, crops: DataFrame, model: Model, direct: Model | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``embed_detections``, and ``cropped_face_path, error`` of the crops that gave no embedding.
+
+    A crop path without a crop, a failure of the model and a crop in which nothing was found
+    are told apart by their ``error``.
+    """
+    ready = faces.where(F.col("cropped_face_path").isNotNull())
+    wanted = ready.select(F.col("cropped_face_path").alias("path")).distinct()
+    embedded = embed_faces(crops.join(wanted, "path", "left_semi"), model, direct)
+    embedded = materialize(embedded.select("path", "embedding", "error"), "embedded")
+    fault = F.coalesce("error", F.when(F.col("embedding").isNull(), F.lit("no face found")))
+    failed = embedded.select("path", fault.alias("error")).where(F.col("error").isNotNull())
+    missing = wanted.join(embedded, "path", "left_anti").withColumn("error", F.lit("no such crop"))
+    rejects = failed.unionByName(missing).withColumnRenamed("path", "cropped_face_path")
+    return _with_vectors(ready, embedded), rejects
+
+
+def _with_vectors(ready: DataFrame, embedded: DataFrame) -> DataFrame:
     vectors = embedded.where(F.col("embedding").isNotNull()).select(
         F.col("path").alias("cropped_face_path"), "embedding"
     )
@@ -229,27 +281,57 @@ def similar_faces(
     )
 
 
+def _raw_objects(predicted: DataFrame) -> DataFrame:
+    return predicted.select(
+        "path", "image", F.posexplode(F.col("result")["found"]).alias("n", "item")
+    ).select(
+        F.col("path").alias("image_path"),
+        F.col("image")["width"].alias("image_width"),
+        F.col("image")["height"].alias("image_height"),
+        F.col("n").alias("detection_id"),
+        "item.*",
+    )
+
+
 def detect_objects(
     images: DataFrame, model: Model, class_names: dict[int, str]
 ) -> DataFrame:
-    """Object rows of all images."""
-    raw = (
-        with_result(images, model, schemas.OBJECT_ITEM)
-        .select("path", "image", F.posexplode(F.col("result")["found"]).alias("n", "item"))
-        .select(
-            F.col("path").alias("image_path"),
-            F.col("image")["width"].alias("image_width"),
-            F.col("image")["height"].alias("image_height"),
-            F.col("n").alias("detection_id"),
-            "item.*",
-        )
+    """Object rows of all images the model handled; ``detect_objects_and_rejects`` lists the others."""
+    predicted = with_result(images, model, schemas.OBJECT_ITEM)
+    return detections.object_rows(_raw_objects(predicted), class_names)
+
+
+def detect_objects_and_rejects(
+    images: DataFrame, model: Model, class_names: dict[int, str]
+) -> tuple[DataFrame, DataFrame]:
+    """Object rows, and the images without a result with their ``error``."""
+    predicted, rejects = run_once(images, model, schemas.OBJECT_ITEM)
+    return detections.object_rows(_raw_objects(predicted), class_names), rejects
+
+
+def _flagged(predicted: DataFrame, threshold: float) -> DataFrame:
+    hits = predicted.where(detections.is_flagged(F.col("result")["found"], threshold))
+    hashed = hash_files(hits.select("path"))
+    return hashed.select(
+        "hash", "path", paths.base_name(F.col("path")).alias("filename"), "hash_error"
     )
-    return detections.object_rows(raw, class_names)
 
 
 def flag_images(images: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``hash, path, filename`` of flagged images; only those are read again for their hash."""
     scored = with_result(images, model, schemas.SCORE_ITEM)
-    hits = scored.where(detections.is_flagged(F.col("result")["found"], threshold))
-    hashed = hash_files(hits.select("path"))
-    return hashed.select("hash", "path", paths.base_name(F.col("path")).alias("filename"))
+    return _flagged(scored, threshold).drop("hash_error")
+
+
+def flag_images_and_rejects(
+    images: DataFrame, model: Model, threshold: float = 0.7
+) -> tuple[DataFrame, DataFrame]:
+    """Flagged images, and the images without a result, or flagged but unreadable, with their ``error``.
+
+    A flagged image whose file cannot be read keeps its row with a NULL hash.
+    """
+    detections.check_threshold(threshold)
+    predicted, rejects = run_once(images, model, schemas.SCORE_ITEM)
+    flagged = materialize(_flagged(predicted, threshold), "flagged")
+    unread = flagged.where(F.col("hash_error").isNotNull()).select("path", F.col("hash_error").alias("error"))
+    return flagged.drop("hash_error"), rejects.select("path", "error").unionByName(unread)

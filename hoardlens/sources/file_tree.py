@@ -11,13 +11,17 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoardlens.functions import paths
-from hoardlens.workspace import fresh_path
+from hoardlens.workspace import fresh_path, materialize
 
 # Extensions taken as images by each scan.
 FACE_IMAGES = [".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp"]
@@ -28,6 +32,7 @@ WALK_ENTRIES = 20_000  # entries a task lists before it hands its open directori
 EMIT_ROWS = 5_000
 CHUNK = 1 << 20
 TASK_BYTES = 1 << 30  # file bytes one hashing task should read
+FILE_COST = 1 << 16  # bytes a file counts besides its content, so that small files spread as well
 
 LISTED = "path string, is_dir boolean, size_bytes bigint, error string"
 
@@ -94,20 +99,63 @@ def _folder_exists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"present": [os.path.isdir(p) for p in batch["path"]]})
 
 
+def with_extension(files: DataFrame, extensions: list[str]) -> DataFrame:
+    """Files by extension in any case."""
+    return files.where(F.lower(paths.suffix(F.col("path"))).isin(extensions))
+
+
 def list_images(
-    spark: SparkSession, root: str, extensions: list[str] = FACE_IMAGES
+    spark: SparkSession, root: str, extensions: list[str] = FACE_IMAGES, ordered: bool = True
 ) -> DataFrame:
-    """Image files of a tree by extension in any case."""
-    suffix = F.lower(paths.suffix(F.col("path")))
-    return list_files(spark, root).where(suffix.isin(extensions))
+    """Image files of a tree by extension in any case, in order of their paths."""
+    found = with_extension(list_files(spark, root), extensions)
+    return found.orderBy("path") if ordered else found
 
 
-def list_images_flat(spark: SparkSession, root: str) -> DataFrame:
-    """Image files directly in a folder, whose extension is all lower or all upper case."""
-    both = OBJECT_IMAGES + [e.upper() for e in OBJECT_IMAGES]
+def in_one_case(files: DataFrame, extensions: list[str] = OBJECT_IMAGES) -> DataFrame:
+    """Files whose extension is all lower or all upper case and whose name does not start with a dot."""
+    both = extensions + [e.upper() for e in extensions]
     visible = ~paths.base_name(F.col("path")).startswith(".")
-    flat = list_files(spark, root, recursive=False)
-    return flat.where(paths.suffix(F.col("path")).isin(both) & visible)
+    return files.where(paths.suffix(F.col("path")).isin(both) & visible)
+
+
+def list_images_flat(spark: SparkSession, root: str, ordered: bool = True) -> DataFrame:
+    """Image files directly in a folder, whose extension is all lower or all upper case, in order."""
+    found = in_one_case(list_files(spark, root, recursive=False))
+    return found.orderBy("path") if ordered else found
+
+
+def deal_by_bytes(files: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The same rows (with ``size_bytes``), dealt so that no task gets more than its share and one file.
+
+    Sizes are summed up along the rows, part by part; a file goes to the task in whose share of
+    the sum it begins. Only one total a part reaches the driver. The sums are stored, so a
+    repeated task deals as the first one did.
+    """
+    names = files.columns
+
+    def add_up(batches):
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            sizes = batch.column(names.index("size_bytes")).fill_null(0).to_numpy().astype(np.int64) + FILE_COST
+            ends = before + np.cumsum(sizes)
+            columns = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(ends - sizes), pa.array(ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*names, "_part", "_start", "_end"])
+            before = int(ends[-1]) if len(ends) else before
+
+    schema = ", ".join([*[f"`{n}` {k}" for n, k in files.dtypes], "_part int, _start bigint, _end bigint"])
+    placed = materialize(files.mapInArrow(add_up, schema), "sizes")
+    totals = sorted(tuple(r) for r in placed.groupBy("_part").agg(F.max("_end")).collect())
+    if not totals:
+        return files
+    starts = list(accumulate((t for _, t in totals), initial=0))
+    tasks = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-starts[-1] // task_bytes))
+    first = files.sparkSession.createDataFrame(
+        [(part, start) for (part, _), start in zip(totals, starts)], "_part int, _first bigint"
+    )
+    share = F.expr(f"cast(((cast(_first as decimal(38,0)) + _start) * {tasks}) div {starts[-1]} as int)")
+    dealt = placed.join(F.broadcast(first), "_part").withColumn("_task", share)
+    return dealt.repartitionById(tasks, F.col("_task")).select(*names)
 
 
 def file_hash(path: str) -> tuple[str | None, str | None]:
@@ -145,11 +193,7 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     cannot even be looked at have no size. Files are spread over tasks by bytes.
     """
     listed = list_files(spark, root)
-    size = F.coalesce("size_bytes", F.lit(0)).cast("decimal(38,0)")
-    total = int(listed.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
-    width = spark.sparkContext.defaultParallelism
-    tasks = max(4 * width, -(-total // TASK_BYTES))
-    readable = listed.where(F.col("error").isNull()).drop("error").repartition(tasks, "path")
+    readable = deal_by_bytes(listed.where(F.col("error").isNull()).drop("error"))
     hashed = hash_files(readable).select(
         "path", "hash", "size_bytes", F.col("hash_error").alias("error")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import re
 import shutil
@@ -18,6 +19,7 @@ from hoardlens.functions import paths
 from hoardlens.operators import cluster_tables
 from hoardlens.sources import file_tree
 from hoardlens.sources.manifests import CSV_OPTIONS
+from hoardlens.workspace import fresh_path
 
 
 def write_csv(rows: DataFrame, path: str, schema: T.StructType) -> None:
@@ -34,7 +36,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def read_images(spark: SparkSession, location: str) -> DataFrame:
     """``path, image`` of all images that can be decoded; ``bad_images`` lists the others.
 
-    Images whose own name or folder starts with ``.`` or ``_`` are refused.
+    Images whose own name or folder starts with ``.`` or ``_`` are read as well where the
+    location is mounted; in other file systems they are refused.
     """
     images = _images(spark, location)
     return images.where(F.col("image.height") > 0)
@@ -49,25 +52,62 @@ def bad_images(spark: SparkSession, location: str) -> DataFrame:
 
 
 def _images(spark: SparkSession, location: str) -> DataFrame:
-    hidden = _hidden_images(spark, location)
-    if hidden:
-        # Spark's file sources pass over such names, which would lose the images without a word.
-        raise ValueError(f"rename these images or their folders, their names count as hidden: {', '.join(hidden)}")
-    images = spark.read.format("image").option("recursiveFileLookup", True).load(location)
-    return images.select(_local_path(F.col("image.origin")).alias("path"), "image")
+    reader = spark.read.format("image").option("recursiveFileLookup", True)
+    images = reader.load(location).select(_local_path(F.col("image.origin")).alias("path"), "image")
+    folder = re.sub(r"\Afile:/+", "/", location)
+    if "://" in folder:
+        _refuse_hidden(spark, location)
+        return images
+    roots = [folder] if os.path.isdir(folder) else [p for p in glob.glob(folder) if os.path.isdir(p)]
+    for root in roots:
+        below = F.substring("path", F.lit(len(os.path.abspath(root).rstrip("/")) + 2), F.length("path"))
+        found = file_tree.list_images(spark, root, file_tree.FLAG_IMAGES, ordered=False)
+        hidden = found.where(F.col("error").isNull() & below.rlike(HIDDEN)).select("path", "size_bytes")
+        copies = _shown(spark, hidden)
+        if copies:
+            # Spark's file sources pass over such names, so they are read from copies.
+            rows = reader.load(copies).select(_local_path(F.col("image.origin")).alias("copy"), "image")
+            path = F.replace(F.substring("copy", F.lit(len(copies) + 1), F.length("copy")), F.lit(f"/{SHOWN}"), F.lit("/"))
+            struct = F.struct(path.alias("origin"), *[F.col("image")[n].alias(n) for n in IMAGE_FIELDS])
+            images = images.unionByName(rows.select(path.alias("path"), struct.alias("image")))
+    return images
 
 
 HIDDEN = r"(^|/)(\.[^/]*|_[^/=]*)(/|$)"
+SHOWN = "="  # put before every part of a path, it makes none of them hidden
+IMAGE_FIELDS = ["height", "width", "nChannels", "mode", "data"]
 NAMED = 10  # hidden images a message names
 
 
-def _hidden_images(spark: SparkSession, location: str) -> list[str]:
-    """Some images below ``location`` that Spark would not see, as paths below it."""
-    folder = re.sub(r"\Afile:/+", "/", location)
-    if os.path.isdir(folder):
-        below = F.substring("path", F.lit(len(os.path.abspath(folder).rstrip("/")) + 2), F.length("path"))
-        found = file_tree.list_images(spark, folder, file_tree.FLAG_IMAGES).select(below.alias("path"))
-        return [r[0] for r in found.where(F.col("path").rlike(HIDDEN)).orderBy("path").limit(NAMED).collect()]
+def _shown(spark: SparkSession, files: DataFrame) -> str | None:
+    """Copy files in tasks into the shared folder, each part of their paths marked; None without any."""
+    base = os.path.abspath(re.sub(r"\Afile:/+", "/", fresh_path(spark, "images")))
+    if "://" in fresh_path(spark, "images").removeprefix("file://"):
+        _refuse([r["path"] for r in files.orderBy("path").limit(NAMED).collect()])
+        return None
+
+    def copy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                target = base + path.replace("/", f"/{SHOWN}")
+                partial = f"{base}-partial/{uuid.uuid4().hex}"
+                for name in (target, partial):
+                    os.makedirs(os.path.dirname(name), exist_ok=True)
+                shutil.copyfile(path, partial)
+                os.replace(partial, target)
+            yield pd.DataFrame({"copied": [len(batch)]})
+
+    copied = file_tree.deal_by_bytes(files).mapInPandas(copy, "copied bigint").agg(F.sum("copied")).first()[0]
+    return base if copied else None
+
+
+def _refuse(names: list[str]) -> None:
+    if names:
+        raise ValueError(f"rename these images or their folders, their names count as hidden: {', '.join(names)}")
+
+
+def _refuse_hidden(spark: SparkSession, location: str) -> None:
+    """Raise where a file system that is not mounted holds images that Spark would not see."""
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     root = spark._jvm.org.apache.hadoop.fs.Path(location)
     fs, out = root.getFileSystem(conf), []
@@ -79,7 +119,7 @@ def _hidden_images(spark: SparkSession, location: str) -> list[str]:
             name = full[start:] or full.rsplit("/", 1)[-1]
             if os.path.splitext(name)[1].lower() in file_tree.FLAG_IMAGES and re.search(HIDDEN, name):
                 out.append(name)
-    return sorted(out)
+    _refuse(sorted(out))
 
 
 def _local_path(uri: Column) -> Column:
@@ -93,30 +133,38 @@ def face_key(source: str = "source_file") -> Column:
 
 
 class ClusterStore:
-    """Embedding, cluster and summary tables as Parquet below one folder."""
+    """Embedding, cluster and summary tables as Parquet below one folder.
+
+    Both result tables of a clustering lie in a folder of their own version, which counts only
+    from the moment its marker is there. Readers therefore see both tables of one clustering,
+    and a failure between the two writes changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        path = f"{self.root}/{name}"
+    def _table(self, path: str, schema: T.StructType) -> DataFrame:
         if not self._exists(path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _exists(self, path: str) -> bool:
+    def _path(self, path: str):
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(conf).exists(target)
+        return target, target.getFileSystem(conf)
+
+    def _exists(self, path: str) -> bool:
+        target, fs = self._path(path)
+        return fs.exists(target)
 
     def embeddings(self) -> DataFrame:
-        return self._table("face_embeddings", schemas.FACE_EMBEDDINGS)
+        return self._table(f"{self.root}/face_embeddings", schemas.FACE_EMBEDDINGS)
 
     def clusters(self) -> DataFrame:
-        return self._table("face_clusters", schemas.FACE_CLUSTERS)
+        return self._table(f"{self._results()}/face_clusters", schemas.FACE_CLUSTERS)
 
     def summary(self) -> DataFrame:
-        return self._table("cluster_summary", schemas.CLUSTER_SUMMARY)
+        return self._table(f"{self._results()}/cluster_summary", schemas.CLUSTER_SUMMARY)
 
     def add_embeddings(self, faces: DataFrame) -> None:
         """Append faces (detection columns and ``embedding``) that have an embedding."""
@@ -134,26 +182,57 @@ class ClusterStore:
             self.add_embeddings(make())
         return self.embeddings().count()
 
+    def _versions(self) -> list[str]:
+        """Finished versions of the results, oldest first."""
+        folder, fs = self._path(f"{self.root}/results")
+        if not fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        return sorted(n.removesuffix(DONE) for n in names if n.endswith(DONE))
+
+    def _results(self) -> str:
+        """Folder of the current results; stores without versions have them beside the embeddings."""
+        versions = self._versions()
+        return f"{self.root}/results/{versions[-1]}" if versions else self.root
+
     def replace_clusters(self, labels: DataFrame) -> None:
-        """Replace both result tables by new labels (``id, cluster_id``)."""
+        """Replace both result tables by new labels (``id, cluster_id``), in one step for readers.
+
+        The version before stays for those who are reading it; older ones are removed.
+        """
         assigned = labels.select(
             "cluster_id",
             F.col("id").alias("face_embedding_id"),
             F.col("cluster_id").isNull().alias("is_noise"),
             F.current_timestamp().alias("created_at"),
         )
-        self._replace(_cast(assigned, schemas.FACE_CLUSTERS), "face_clusters")
-        stored = self.labels()
+        finished = self._versions()
+        number = int(finished[-1].split("-")[0]) + 1 if finished else 1
+        version = f"{number:012d}-{uuid.uuid4().hex}"
+        folder = f"{self.root}/results/{version}"
+        _cast(assigned, schemas.FACE_CLUSTERS).write.parquet(f"{folder}/face_clusters")
+        stored = _labels(self._table(f"{folder}/face_clusters", schemas.FACE_CLUSTERS))
         summary = cluster_tables.cluster_summary(stored, self.embeddings())
         summary = summary.withColumn("created_at", F.current_timestamp())
-        self._replace(_cast(summary, schemas.CLUSTER_SUMMARY), "cluster_summary")
-
-    def _replace(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        _cast(summary, schemas.CLUSTER_SUMMARY).write.parquet(f"{folder}/cluster_summary")
+        marker, fs = self._path(f"{folder}{DONE}")
+        fs.create(marker, False).close()
+        for old in finished[:-1]:
+            # The marker goes first, so that no reader finds half a version.
+            for path in (f"{self.root}/results/{old}{DONE}", f"{self.root}/results/{old}"):
+                target, fs = self._path(path)
+                fs.delete(target, True)
 
     def labels(self) -> DataFrame:
         """Stored assignment as ``id, cluster_id``."""
-        return self.clusters().select(F.col("face_embedding_id").alias("id"), "cluster_id")
+        return _labels(self.clusters())
+
+
+DONE = ".done"  # marker beside the folder of a finished version
+
+
+def _labels(clusters: DataFrame) -> DataFrame:
+    return clusters.select(F.col("face_embedding_id").alias("id"), "cluster_id")
 
 
 def _cast(rows: DataFrame, schema: T.StructType) -> DataFrame:

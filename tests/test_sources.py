@@ -11,7 +11,8 @@ from hoardlens import schemas, workspace
 from hoardlens.functions import boxes
 from hoardlens.operators import predict
 from hoardlens.operators.dbscan import dbscan
-from hoardlens.sources import file_tree, inventory, manifests, tables
+from hoardlens.plans import folder_report
+from hoardlens.sources import file_tree, images, inventory, manifests, tables
 
 ROWS = [
     ("/a/x.JPG", "h1", 10), ('/a/q,"z".tar.gz', "h1", 10), ("/b/none", None, 5),
@@ -381,10 +382,144 @@ def test_no_image_is_lost_without_a_word(spark, pictures):
     (pictures / "day=1").mkdir()
     (pictures / "day=1" / "c.png").write_bytes(png(2, 2))
     assert tables.read_images(spark, str(pictures)).count() == 3
-    for name in ("_a.png", ".b.PNG", "_old/c.png"):
+    for name in ("_a.png", ".b.PNG", "_old/.c=1/%41 +.png"):
         hidden = pictures.parent / f"hidden{len(name)}{name[1]}"
         (hidden / name).parent.mkdir(parents=True)
-        (hidden / name).write_bytes(png(2, 2))
+        (hidden / name).write_bytes(png(2, 3))
+        (hidden / "plain.png").write_bytes(png(4, 1))
         for location in (str(hidden), hidden.as_uri(), f"{pictures.parent}/hidden*{name[1]}"):
-            with pytest.raises(ValueError, match=name):
-                tables.read_images(spark, location)
+            found = tables.read_images(spark, location).select("path", "image.origin", "image.width", "image.height")
+            assert {tuple(r)[:1] + tuple(r)[2:] for r in found.collect()} == {
+                (str(hidden / name), 2, 3), (str(hidden / "plain.png"), 4, 1),
+            }
+        (hidden / "_bad.png").write_bytes(b"no image")
+        assert [r["path"] for r in tables.bad_images(spark, str(hidden)).collect()] == [str(hidden / "_bad.png")]
+
+
+def decoder():
+    """Images of three bytes a pixel, four pixels a row."""
+
+    def decode(data):
+        if len(data) % 12 or not data:
+            raise ValueError("not whole rows")
+        return {"height": len(data) // 12, "width": 4, "nChannels": 3, "mode": 16, "data": data}
+
+    return decode
+
+
+@pytest.fixture
+def album(tmp_path):
+    root = tmp_path / "album"
+    files = {"a.png": 12, "b.JPG": 24, ".hid/_c.webp": 36, "d.png": 7, "e.txt": 12, "f.gif": 48, "G.Png": 60, "empty.bmp": 0}
+    for name, size in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(bytes(range(size)))
+    return root
+
+
+def test_images_are_decoded_from_a_tree(spark, album):
+    found = {os.path.relpath(r["path"], album): r for r in images.scan_images(spark, str(album), decoder).collect()}
+    assert set(found) == {"a.png", "b.JPG", ".hid/_c.webp", "d.png", "G.Png", "empty.bmp"}
+    assert {n for n, r in found.items() if r["error"]} == {"d.png", "empty.bmp"}
+    assert "not whole rows" in found["d.png"]["error"] and found["d.png"]["image"] is None
+    picture = found[".hid/_c.webp"]["image"]
+    assert (picture["height"], picture["width"], bytes(picture["data"])) == (3, 4, bytes(range(36)))
+    wrong = lambda: lambda data: {"height": 1, "width": 1, "nChannels": 3, "mode": 16, "data": data}
+    assert images.scan_images(spark, str(album), wrong).where("error IS NULL").count() == 0
+
+
+def heights(*bad):
+    def model():
+        def predict(batch):
+            if batch["height"].isin(bad).any():
+                raise RuntimeError("bad height")
+            return [
+                [{"x1": 0.0, "y1": 0.0, "x2": 2.0, "y2": 1.0, "det_score": 0.9, "class_id": 1, "confidence": 0.5,
+                  "label": "NSFW", "score": h / 5}] * (h % 3)
+                for h in batch["height"]
+            ]
+
+        return predict
+
+    return model
+
+
+def test_folders_account_for_every_file(spark, album):
+    faces = folder_report.faces_in_folder(spark, str(album), decoder, heights(5))
+    assert as_set(faces["rows"].groupBy("source_file").count(), "source_file", "count") == {("a.png", 1), ("b.JPG", 2)}
+    assert {os.path.basename(r["path"]) for r in faces["rejects"].collect()} == {"d.png", "empty.bmp", "G.Png"}
+    assert tuple(faces["summary"].first()) == (6, 3, 2, 3)
+    objects = folder_report.objects_in_folder(spark, str(album), decoder, heights(), {1: "cat"})
+    assert tuple(objects["summary"].first()) == (4, 2, 2, 3)
+    assert [tuple(r) for r in objects["classes"].collect()] == [("cat", 3)]
+    flags = folder_report.flags_in_folder(spark, str(album), decoder, heights(1), 0.7)
+    digest = hashlib.sha256(bytes(range(48))).hexdigest()
+    assert as_set(flags["rows"], "hash", "filename") == {(digest, "f.gif"), (hashlib.sha256(bytes(range(60))).hexdigest(), "G.Png")}
+    assert tuple(flags["summary"].first()) == (7, 3, 2, 2)
+    with pytest.raises(ValueError, match="threshold"):
+        folder_report.flags_in_folder(spark, str(album), decoder, heights(), 2.0)
+
+
+def test_rejects_of_frames_objects_and_embeddings(spark, pictures):
+    images_df = tables.read_images(spark, str(pictures))
+    frames = images_df.withColumn("frame_id", F.lit(4))
+    rows, rejects = predict.detect_faces_in_frames_and_rejects(frames, heights(6), frame_skip=2)
+    assert rows.count() == 0  # three rows of pixels, no face
+    assert [(r["frame_id"], r["error"]) for r in rejects.collect()] == [(4, "RuntimeError: bad height")]
+    found, lost = predict.detect_objects_and_rejects(images_df, heights(3), {1: "cat"})
+    assert found.count() == 0 and [os.path.basename(r["path"]) for r in lost.collect()] == ["a b.png"]
+    rows = [("s.jpg", 0, i, p) for i, p in enumerate([str(pictures / "a b.png"), str(pictures / "tall.png"), "/gone.png", None])]
+    faces = spark.createDataFrame(rows, "source_file string, frame_id int, face_id int, cropped_face_path string")
+    stored, missing = predict.embed_detections_and_rejects(faces, images_df, heights(3))
+    assert stored.count() == 0
+    assert as_set(missing.withColumn("name", F.regexp_extract("cropped_face_path", "[^/]*$", 0)), "name", "error") == {
+        ("a b.png", "RuntimeError: bad height"), ("tall.png", "no face found"), ("gone.png", "no such crop"),
+    }
+
+
+def test_all_crops_of_an_image_are_cut_at_once(spark, pictures):
+    def model():
+        face = lambda x, score: {"x1": x, "y1": 0.0, "x2": x + 2, "y2": 2.0, "det_score": score}
+        return lambda batch: [[face(0.0, 0.9), face(1.0, 0.1), face(1.0, 0.8)] for _ in range(len(batch))]
+
+    crops = predict.crop_faces(tables.read_images(spark, str(pictures)), model, "/c").collect()
+    assert sorted((os.path.basename(r["source_path"]), r["face_id"], r["image"]["width"]) for r in crops) == [
+        ("a b.png", 0, 2), ("a b.png", 2, 2), ("tall.png", 0, 2), ("tall.png", 2, 1),
+    ]
+    assert all(len(r["image"]["data"]) == r["image"]["width"] * r["image"]["height"] * 3 for r in crops)
+
+
+def test_files_are_dealt_by_bytes(spark):
+    sizes = [10_000_000, 9_000_000, *[1_000_000] * 30, *[10] * 500, 0, None]
+    rows = [(f"/f{i}", n) for i, n in enumerate(sizes)]
+    files = spark.createDataFrame(rows, "path string, size_bytes bigint").repartition(5)
+    dealt = file_tree.deal_by_bytes(files, 4_000_000)
+    weight = F.sum(F.coalesce("size_bytes", F.lit(0)) + file_tree.FILE_COST)
+    loads = [r["load"] for r in dealt.groupBy(F.spark_partition_id()).agg(weight.alias("load")).collect()]
+    costs = [(n or 0) + file_tree.FILE_COST for n in sizes]
+    assert sum(loads) == sum(costs) and dealt.count() == len(sizes)
+    assert max(loads) <= sum(costs) / dealt.rdd.getNumPartitions() + max(costs)
+    assert len(loads) > 20
+    assert file_tree.deal_by_bytes(files.limit(0)).count() == 0
+
+
+def test_results_are_replaced_together_or_not_at_all(spark, tmp_path, monkeypatch):
+    store = tables.ClusterStore(spark, str(tmp_path / "store"))
+    faces = spark.createDataFrame([(str(i), 0.5, [1.0, 0.0]) for i in range(4)], "id string, confidence double, embedding array<float>")
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in schemas.FACE_EMBEDDINGS if f.name not in faces.columns}
+    store.add_embeddings(faces.withColumns(blank))
+    label = lambda n: spark.createDataFrame([(str(i), i % n) for i in range(4)], "id string, cluster_id int")
+    assert store.clusters().count() == store.summary().count() == 0
+    store.replace_clusters(label(1))
+    before = store.summary()
+    with monkeypatch.context() as patch:
+        patch.setattr(tables.cluster_tables, "cluster_summary", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.replace_clusters(label(4))
+    assert store.summary().count() == 1 and store.clusters().select("cluster_id").distinct().count() == 1
+    store.replace_clusters(label(2))
+    assert store.summary().count() == 2 and store.clusters().select("cluster_id").distinct().count() == 2
+    assert before.count() == 1  # a reader of the version before still has its tables
+    for n in (3, 4):
+        store.replace_clusters(label(n))
+    assert store.summary().count() == 4 and len(store._versions()) == 2

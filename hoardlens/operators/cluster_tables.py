@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hoardlens.operators.skew import join_keyed
+from hoardlens.workspace import materialize
+
 
 def cluster_summary(labels: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Size, mean confidence and most confident member of every cluster.
+    """Size, mean confidence and most confident member of every cluster; ties go to the least id.
 
-    One aggregation over all clusters; rows are combined before the shuffle, so a dominant
-    cluster is no bottleneck.
+    Rows are combined before the shuffle, so a dominant cluster is no bottleneck. The figures
+    of a cluster are numbers, which keeps the aggregation over all rows hashed; only rows that
+    have the best confidence of their cluster compete for its representative.
     """
-    confidence = F.col("confidence")
-    best = F.struct(confidence.isNull(), -confidence, F.col("id"))
-    return (
-        labels.where(F.col("cluster_id").isNotNull())
-        .join(embeddings.select("id", "confidence"), "id")
+    rows = labels.where(F.col("cluster_id").isNotNull()).select("id", "cluster_id")
+    rows = rows.join(embeddings.select("id", F.col("confidence").cast("double").alias("confidence")), "id")
+    rows = materialize(rows, "cluster-rows")
+    figures = rows.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("cluster_size"),
+        F.avg("confidence").alias("avg_confidence"),
+        F.max(F.when(~F.isnan("confidence"), F.col("confidence"))).alias("best"),
+    )
+    figures = materialize(figures, "cluster-figures")
+    best = join_keyed(rows, figures.select("cluster_id", "cluster_size", "best"), "cluster_id", "cluster_size", "id")
+    first = (
+        best.where(F.col("confidence").eqNullSafe(F.col("best")))
         .groupBy("cluster_id")
-        .agg(
-            F.count(F.lit(1)).alias("cluster_size"),
-            F.avg(confidence).alias("avg_confidence"),
-            F.min_by("id", best).alias("representative_face_id"),
-        )
+        .agg(F.min("id").alias("representative_face_id"))
     )
+    return figures.drop("best").join(first, "cluster_id")
 
 
 def size_histogram(summary: DataFrame) -> DataFrame:

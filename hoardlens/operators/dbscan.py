@@ -220,6 +220,57 @@ def neighbour_counts(search: Search) -> DataFrame:
     return partial.groupBy("id").agg(F.sum("near").alias("near"))
 
 
+def _near_rows(own: Block, other: Block, metric: Metric):
+    """Rows of both blocks that are neighbours, tile by tile, each unordered pair once."""
+    for i, j in _tile_pairs(own, other, metric):
+        rows, columns = own.rows(i), other.rows(j)
+        x, y = own.units[rows], other.units[columns]
+        at_x = np.flatnonzero(metric.reachable(x, other.centre[j], other.reach[j]))
+        at_y = np.flatnonzero(metric.reachable(y, own.centre[i], own.reach[i]))
+        x_at, y_at = np.nonzero(metric.near(x[at_x], y[at_y]))
+        x_at, y_at = rows.start + at_x[x_at], columns.start + at_y[y_at]
+        if own is other and i == j:
+            x_at, y_at = x_at[x_at < y_at], y_at[x_at < y_at]
+        yield x_at, y_at
+
+
+def neighbour_pairs(
+    df: DataFrame, eps: float, id_col: str = "id", vec_col: str = "embedding", cell_rows: int = CELL_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """The neighbourhood join itself: pairs of distinct vectors within ``eps``, and all their copies.
+
+    Returns ``a, b`` with a < b, each distinct vector under the least id that carries it, and
+    ``id, representative`` of every row with a direction. Copies are neighbours of each other
+    and of all neighbours of their representative, so they need not be paired. The number of
+    pairs may be quadratic where the data is dense; they leave the tasks tile by tile.
+    """
+    if eps >= 1:
+        raise ValueError("neighbour pairs need eps below 1")
+    rows, search, total = _open(df, id_col, vec_col, eps, 2**62, cell_rows)
+    kind = search.points.schema["id"].dataType.simpleString()
+    members = rows.where(has_direction("vec")).join(
+        search.points.select("vec", F.col("id").alias("representative")), "vec"
+    )
+    members = members.select("id", "representative")
+    if not total:
+        return df.sparkSession.createDataFrame([], f"a {kind}, b {kind}"), members
+    metric = search.metric
+
+    def pair(batches):
+        own = None
+        for visiting, block in _blocks(batches, metric):
+            own = own if visiting else block
+            if own is None:
+                continue
+            ids = column(own.table, "id"), column(block.table, "id")
+            for x, y in _near_rows(own, block, metric):
+                found = [i.take(pa.array(at)) for i, at in zip(ids, (x, y))]
+                yield pa.RecordBatch.from_arrays(found, ["a", "b"])
+
+    pairs = search.meet(search.cells.placed, [], "home * 2", pair, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), members
+
+
 def _block_groups(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of every row and column of a block that are linked in it, else -1.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hoardlens.functions import paths, sizes
 from hoardlens.operators.skew import list_parts
+from hoardlens.workspace import materialize
 
 
 def with_file_name(manifest: DataFrame) -> DataFrame:
@@ -190,6 +191,53 @@ def cross_manifest(by_hash: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def largest_waste(manifest: DataFrame, limit: int = 15) -> DataFrame:
+    """``top_waste`` straight from the manifest, for the report alone.
+
+    Hashes are ranked by figures that need no distinct count; only those of the report are
+    counted, so no row of the manifest is multiplied on the way there.
+    """
+    figures = hashed(manifest).groupBy("hash").agg(
+        F.min("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("total_occurrences")
+    )
+    waste = sizes.wasted(F.col("size_bytes"), F.col("total_occurrences"))
+    top = (
+        figures.where(F.col("total_occurrences") > 1)
+        .withColumn("space_wasted", waste)
+        .orderBy(F.col("space_wasted").desc_nulls_last(), F.col("hash").asc())
+        .limit(limit)
+    )
+    names = {"unique_paths": "path", "unique_filenames": "filename_only"}
+    return _with_distinct(materialize(top, "top"), manifest, names).select(
+        "hash", "size_bytes", "total_occurrences", "unique_paths", "unique_filenames", "space_wasted"
+    )
+
+
+def most_widespread(manifest: DataFrame, limit: int = 10) -> DataFrame:
+    """``cross_manifest`` straight from the manifest, for the report alone.
+
+    The number of manifests ranks, so it is counted for all hashes, by two plain aggregations;
+    paths are counted for those of the report.
+    """
+    pairs = hashed(manifest).groupBy("hash", "source_filename").agg(F.min("size_bytes").alias("size_bytes"))
+    figures = pairs.groupBy("hash").agg(
+        F.min("size_bytes").alias("size_bytes"), F.count("source_filename").alias("manifest_count")
+    )
+    top = (
+        figures.where(F.col("manifest_count") > 1)
+        .orderBy(F.col("manifest_count").desc(), F.col("size_bytes").desc_nulls_last(), F.col("hash").asc())
+        .limit(limit)
+    )
+    return _with_distinct(materialize(top, "top"), manifest, {"unique_paths": "path"})
+
+
+def _with_distinct(top: DataFrame, manifest: DataFrame, counts: dict[str, str]) -> DataFrame:
+    """Add distinct counts to a stored top-n report, whose size its limit bounds."""
+    rows = with_file_name(manifest).join(F.broadcast(top.select("hash")), "hash", "left_semi")
+    distinct = rows.groupBy("hash").agg(*[F.count_distinct(c).alias(name) for name, c in counts.items()])
+    return top.join(distinct, "hash")
+
+
 def lists_for(top: DataFrame, manifest: DataFrame, item: str, name: str) -> DataFrame:
     """Whole item lists of a handful of hashes chosen by a top-n report.
 

@@ -74,12 +74,22 @@ def face_counts(rows: DataFrame) -> DataFrame:
 
 
 def largest_per_image(faces: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The face with the largest box of every image; ties go to the first in ``order``."""
+    """The face with the largest box of every image; ties go to the first in ``order``.
+
+    The largest area is a number, so it is found by a hashed aggregation over two columns; only
+    boxes of that area are compared further. Areas that cannot be computed come last.
+    """
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    # One number for equal areas of either sign of zero, and none for NaN.
+    area = F.when(~F.isnan(area), area + 0.0)
+    sized = faces.withColumn("_area", F.coalesce(area, F.lit(float("-inf"))))
+    best = sized.groupBy(F.col(key).alias("_key")).agg(F.max("_area").alias("_best"))
     rest = [c for c in faces.columns if c != key]
-    first = F.struct((-area).alias("_area"), *[F.col(c) for c in order])
-    best = faces.groupBy(key).agg(F.min_by(F.struct(*rest), first).alias("best"))
-    return best.select(key, "best.*")
+    first = F.struct(*[F.col(c) for c in order])
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_area") == F.col("_best"))
+    candidates = sized.join(best, same, "left_semi")
+    found = candidates.groupBy(key).agg(F.min_by(F.struct(*rest), first).alias("best"))
+    return found.select(key, "best.*")
 
 
 def object_rows(raw: DataFrame, class_names: Mapping[int, str] | None = None) -> DataFrame:

@@ -46,6 +46,8 @@ def apply_model(image: Column, path: Column, model: Model, item: T.StructType) -
         predict = model()
         for batch in batches:
             present = batch[batch["given"]].drop(columns="given")
+            # Rows without an image made these columns floating-point numbers.
+            present = present.astype({n: "int64" for n in ("height", "width", "nChannels", "mode")})
             out = pd.DataFrame({"found": None, "error": None}, index=batch.index, dtype=object)
             if len(present):
                 results = attempt(predict, present.reset_index(drop=True))

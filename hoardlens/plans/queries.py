@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from hoardlens.functions import boxes, paths, pixels, sizes
 from hoardlens.functions.vectors import cosine_distance, literal_vector
-from hoardlens.operators import checks, cluster_tables, dedup, detections, predict, similarity
-from hoardlens.operators.dbscan import count_neighbours, dbscan
+from hoardlens.operators import (
+    approximate,
+    checks,
+    cluster_tables,
+    dedup,
+    detections,
+    predict,
+    similarity,
+    sketches,
+)
+from hoardlens.operators.dbscan import count_neighbours, dbscan, neighbour_pairs
 from hoardlens.operators.silhouette import silhouette
-from hoardlens.plans import cluster_report, manifest_report, stand_ins, views
-from hoardlens.sources import file_tree, inventory, manifests, tables
+from hoardlens.plans import cluster_report, folder_report, manifest_report, stand_ins, views
+from hoardlens.sources import file_tree, images, inventory, manifests, tables
+from hoardlens.streaming import manifest_counts
 from hoardlens.workspace import fresh_path, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +61,7 @@ def comparable(df: DataFrame, exact: bool = False) -> DataFrame:
 @query
 def top_duplicates_by_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = materialize(dedup.top_waste(dedup.per_hash(manifest)), "top")
+    top = materialize(dedup.largest_waste(manifest), "top")
     return comparable(dedup.with_example_path(top, manifest))
 
 
@@ -115,7 +125,7 @@ def top_paths_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cross_manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = views.manifest(spark, sf_dir)
-    top = materialize(dedup.cross_manifest(dedup.per_hash(manifest)), "top")
+    top = materialize(dedup.most_widespread(manifest), "top")
     return comparable(dedup.with_example_path(top, manifest))
 
 
@@ -328,8 +338,33 @@ def silhouette_no_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embedding_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    faces = views.embeddings(spark, sf_dir)
-    return checks.embedding_integrity(faces, faces.select("id"), 64)
+    faces, labels = views.faulty_embeddings(spark, sf_dir)
+    return checks.embedding_integrity(faces, labels, 64)
+
+
+@query
+def empty_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nobody = views.embeddings(spark, sf_dir).where("label < 0")
+    return cluster_tables.totals(dbscan(nobody))
+
+
+@query
+def neighbour_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, members = neighbour_pairs(views.embeddings(spark, sf_dir), 0.6)
+    copies = members.where(F.col("id") != F.col("representative"))
+    return pairs.select("a", "b").unionByName(copies.select(F.col("representative").alias("a"), F.col("id").alias("b")))
+
+
+@query
+def approximate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, _ = approximate.fold_copies(views.embeddings(spark, sf_dir))
+    pairs = materialize(approximate.approx_neighbours(points, 0.6), "approx-pairs")
+    measured = approximate.measured_recall(points, pairs, 0.6)
+    wrong = pairs.select(F.lit(True).alias("recall_reached"), (F.col("distance") > 0.6 + 1e-9).cast("bigint").alias("wrong"))
+    reached = measured.select((F.col("recall") >= 0.9).alias("recall_reached"), F.lit(0).cast("bigint").alias("wrong"))
+    return reached.unionByName(wrong).agg(
+        F.min("recall_reached").alias("recall_reached"), F.sum("wrong").alias("false_pairs")
+    )
 
 
 # --- detections -------------------------------------------------------------------------
@@ -422,6 +457,12 @@ def flagged_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- images and models ------------------------------------------------------------------
 
 
+@query
+def face_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = detections.face_rows(_raw_faces(spark, sf_dir), 0.5)
+    return rows.select("source_path", "frame_id", "face_id", tables.face_key("source_path").alias("id"))
+
+
 @query
 def image_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, height = F.col("doc_id"), F.col("image.height")
@@ -509,9 +550,163 @@ def model_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def model_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = views.images(spark, sf_dir)
+    model = stand_ins.failing(stand_ins.faces)
+    _, frames = predict.detect_faces_in_frames_and_rejects(pictures, model, 0.5, 3)
+    single = pictures.drop("frame_id")
+    _, objects = predict.detect_objects_and_rejects(single, stand_ins.failing(stand_ins.objects), {0: "cat"})
+    _, crops = predict.embed_detections_and_rejects(_crop_rows(spark, sf_dir), single, model)
+    kinds = {"frame": frames, "object": objects, "crop": crops.withColumnRenamed("cropped_face_path", "path")}
+    parts = [rows.select(F.lit(kind).alias("kind"), "path", "error") for kind, rows in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _crop_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image as the crop of one face; crops of some faces are gone, others have no path."""
+    doc = F.col("doc_id")
+    path = F.when(doc % 19 == 0, F.concat(F.lit("/gone/"), doc.cast("string"))).when(doc % 23 != 0, F.col("path"))
+    blank = ["bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"]
+    return views.images(spark, sf_dir).select(
+        paths.base_name(F.col("path")).alias("source_file"),
+        F.lit(0).alias("frame_id"),
+        doc.cast("int").alias("face_id"),
+        *[F.lit(None).cast("int").alias(c) for c in blank],
+        ((doc % 100).cast("double") / 100).alias("confidence"),
+        F.lit(None).cast("string").alias("landmark_points"),
+        path.alias("cropped_face_path"),
+    )
+
+
+@query
+def embed_store_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = views.images(spark, sf_dir).drop("frame_id")
+    faces = predict.embed_detections(_crop_rows(spark, sf_dir), crops, stand_ins.faces, stand_ins.whole_image)
+    store = tables.ClusterStore(spark, fresh_path(spark, "store"))
+    store.ensure_embeddings(lambda: faces)
+    store.replace_clusters(dbscan(store.embeddings()))
+    return comparable(store.summary().drop("created_at"))
+
+
+# --- folders of images ------------------------------------------------------------------
+
+
+def _below(root: str, path: str = "path"):
+    return F.substring(path, len(root) + 1, 1 << 20)
+
+
+@query
+def image_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    kinds = {
+        "faces": file_tree.list_images(spark, root),
+        "flags": file_tree.list_images(spark, root, file_tree.FLAG_IMAGES),
+        "objects": file_tree.list_images_flat(spark, root),
+    }
+    parts = [rows.select(F.lit(k).alias("kind"), _below(root).alias("path"), "size_bytes") for k, rows in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def image_scan_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    found = images.scan_images(spark, root, stand_ins.ten_pixel_rows, file_tree.FLAG_IMAGES)
+    return found.select(
+        _below(root).alias("path"), "size_bytes", F.col("image.height").alias("height"),
+        F.sha2(F.col("image.data"), 256).alias("hash"), "error",
+    )
+
+
+@query
+def flag_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    report = folder_report.flags_in_folder(spark, root, stand_ins.ten_pixel_rows, stand_ins.classifier, 0.7)
+    target = fresh_path(spark, "flags")
+    tables.write_csv(report["rows"], target, tables.schemas.FLAGGED_IMAGES)
+    rows = tables.read_csv(spark, target, tables.schemas.FLAGGED_IMAGES)
+    return rows.select("hash", _below(root).alias("path"), "filename")
+
+
+@query
+def face_folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    model = stand_ins.failing(stand_ins.faces)
+    return folder_report.faces_in_folder(spark, root, stand_ins.ten_pixel_rows, model)["summary"]
+
+
+@query
+def object_folder_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    model = stand_ins.failing(stand_ins.objects)
+    return folder_report.objects_in_folder(spark, root, stand_ins.ten_pixel_rows, model, {})["summary"]
+
+
+@query
+def crops_on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = stand_ins.documents_as_pictures(spark, sf_dir)
+    doc = F.col("doc_id")
+    faces = views.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(doc % 5 != 0, F.concat(F.lit(f"{root}/pic "), doc.cast("string"), F.lit(".png"))).alias("cropped_face_path"),
+    )
+    present = faces.where(F.col("cropped_face_path").isNotNull())
+    found = file_tree.existing_only(present, file_tree.list_files(spark, root), "cropped_face_path")
+    return found.select("doc_id", _below(root, "cropped_face_path").alias("crop"))
+
+
 # --- files ------------------------------------------------------------------------------
 
 
+@query
+def manifest_csv_odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.read_manifests(spark, stand_ins.documents_as_odd_manifests(spark, sf_dir))
+
+
+@query
+def manifest_replace_device(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "manifests")
+    everything = views.manifest(spark, sf_dir)
+    manifests.write_manifests(everything, folder)
+    device = everything.where(F.col("source_filename").isin("src1.csv", "src2.csv"))
+    manifests.write_manifests(device.withColumn("size_bytes", F.col("size_bytes") + 1), folder, mode="overwrite")
+    return manifests.read_manifests(spark, folder)
+
+
+@query
+def streaming_duplicate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, checkpoint = fresh_path(spark, "manifests"), fresh_path(spark, "stream")
+    manifests.write_manifests(views.manifest(spark, sf_dir), folder)
+    manifest_counts.follow(spark, folder, checkpoint, files_per_batch=8).awaitTermination()
+    return comparable(manifest_counts.current_duplicates(spark, checkpoint))
+
+
+@query
+def approximate_distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "sketches")
+    manifest = views.manifest(spark, sf_dir)
+    sketches.keep_sketches(sketches.manifest_sketches(manifest), folder)
+    guess = sketches.approx_overall_stats(sketches.stored_sketches(spark, folder))
+    whole = sketches.approx_overall_stats(sketches.manifest_sketches(manifest.withColumn("source_filename", F.lit("x"))))
+    exact = dedup.overall_stats(manifest)
+    names = list(sketches.COUNTED.values())
+
+    def tall(rows: DataFrame, value: str) -> DataFrame:
+        return rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("figure"), F.col(n).alias(value)) for n in names])).alias("r")).select("r.*")
+
+    both = tall(exact, "exact").join(tall(guess, "guess"), "figure").join(tall(whole, "whole"), "figure")
+    close = F.abs(F.col("guess") - F.col("exact")) <= sketches.error_bound() * F.col("exact")
+    return both.select("figure", "exact", close.alias("within_bound"), (F.col("guess") == F.col("whole")).alias("merges"))
+
+
+@query
+def object_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = fresh_path(spark, "objects")
+    rows = detections.object_rows(views.detections(spark, sf_dir))
+    tables.write_csv(rows, target, tables.schemas.OBJECT_DETECTIONS)
+    return comparable(tables.read_csv(spark, target, tables.schemas.OBJECT_DETECTIONS), exact=True)
+
+
 @query
 def manifest_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "manifests")

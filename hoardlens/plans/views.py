@@ -29,6 +29,27 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest rows with the ``name`` of their file, some hidden or odd, and the ``kind`` of its header."""
+    part = F.col("size_bytes") % 3
+    start = F.when(part == 0, "_").when(part == 1, ".").otherwise("a+b %41 ")
+    return manifest(spark, sf_dir).select(
+        "path", "hash", "size_bytes", F.concat(start, "source_filename").alias("name"),
+        (part % 2).cast("int").alias("kind"),
+    )
+
+
+def faulty_embeddings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings with repeated ids and broken vectors, and labels of which some have no face."""
+    faces = embeddings(spark, sf_dir).select("id", "embedding")
+    broken = F.when(F.col("id") % 13 == 0, F.slice("embedding", 1, 5)).when(
+        F.col("id") % 17 != 0, F.col("embedding")
+    )
+    again = faces.where(F.col("id") % 10 == 0)
+    labels = faces.select(F.when(F.col("id") % 7 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"))
+    return faces.withColumn("embedding", broken).unionByName(again), labels
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items seen as boxes found in images."""
     left = (F.col("l_suppkey") % 600).cast("double") - 20.6

@@ -1,73 +1,105 @@
-"""Device inventories: nested JSON dumps, one per machine, as flat device rows."""
+"""Device inventories: nested JSON dumps, one per machine, as flat device rows.
 
-from __future__ import annotations
+Dumps are parsed once into variants and unfolded level by level inside the JVM; a level is one
+narrow pass over the devices that have children, and real inventories have three or four.
+"""
 
-import json
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hoardlens import schemas
 from hoardlens.functions import paths
+from hoardlens.workspace import materialize
 
 FIELDS = schemas.DEVICES.fieldNames()
+NOTHING = ["null", "false", "0", '""', "{}"]  # what stands for no devices where a list is expected
 
 
-def _flat(devices: list, parent: str = "") -> Iterator[dict]:
-    """Devices with their children, names qualified by their parents."""
-    for device in devices:
-        if not isinstance(device, dict):
-            raise ValueError(f"not a device: {device!r}")
-        name = _text(device.get("name"))
-        name = f"{parent}/{name}" if parent else name
-        yield {f: _text(device.get(f)) for f in FIELDS} | {"name": name}
-        yield from _flat(device.get("children") or [], name)
-
-
-def _text(value) -> str:
-    if value is None or value is False:
-        return ""
-    return value if isinstance(value, str) else json.dumps(value)
+def _text(device: str, field: str) -> Column:
+    """A field as text: '' where it is missing, null or false, other values as JSON."""
+    value = F.variant_get(F.col(device), f"$.{field}", "variant")
+    json = F.to_json(value)
+    empty = value.isNull() | json.isin("null", "false")
+    plain = F.try_variant_get(F.col(device), f"$.{field}", "string")
+    return F.when(empty, F.lit("")).otherwise(F.coalesce(plain, json)).alias(field)
 
 
-def _unfold(dump: str | None) -> tuple[list[dict], str | None]:
-    """Devices of a dump, or none and what is wrong with it."""
-    try:
-        return (list(_flat(json.loads(dump).get("blockdevices") or [])) if dump else []), None
-    except (ValueError, AttributeError, TypeError, RecursionError) as fault:
-        return [], f"{type(fault).__name__}: {fault}"
+def _list(parent: str, field: str) -> Column:
+    """Devices listed in a field; NULL where it is something else, empty where there are none."""
+    value = F.variant_get(F.col(parent), f"$.{field}", "variant")
+    listed = F.try_variant_get(F.col(parent), f"$.{field}", "array<variant>")
+    nothing = value.isNull() | F.to_json(value).isin(NOTHING)
+    return F.when(nothing, F.expr("cast(array() as array<variant>)")).otherwise(listed)
 
 
-_UNFOLDED = T.StructType().add("devices", T.ArrayType(schemas.DEVICES)).add("error", "string")
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
-@F.pandas_udf(_UNFOLDED)
-def _devices(dumps: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_unfold(d) for d in dumps], columns=["devices", "error"], dtype=object)
+def _unfold(dumps: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Devices of all dumps (``_key``, ``keep`` and their fields), and ``_key``, ``keep``, ``error`` of bad dumps."""
+    parsed = F.try_parse_json(F.col(text))
+    given = F.coalesce(F.col(text) != "", F.lit(False))
+    # Keys must not change from level to level, so they are stored with the parsed dump.
+    whole = materialize(
+        dumps.select(
+            F.monotonically_increasing_id().alias("_key"), *keep,
+            given.alias("_given"), F.when(given, parsed).alias("_dump"),
+        ),
+        "dumps",
+    )
+    top = whole.where("_given").select("_key", *keep, "_dump", _list("_dump", "blockdevices").alias("_devices"))
+    fault = (
+        F.when(F.col("_dump").isNull(), F.lit("not valid JSON"))
+        .when(~_is_object(F.col("_dump")), F.lit("not a JSON object"))
+        .when(F.col("_devices").isNull(), F.lit("blockdevices is not a list"))
+    )
+    faults = [top.select("_key", *keep, fault.alias("error")).where(F.col("error").isNotNull())]
+    names, levels = ["_key", *keep], []
+    open_ = top.where(fault.isNull()).select(*names, F.lit("").alias("_parent"), F.explode("_devices").alias("_device"))
+    while True:
+        own = [_text("_device", f) for f in FIELDS]
+        level = open_.select(
+            *names, "_parent", *own, _list("_device", "children").alias("_children"),
+            _is_object(F.col("_device")).alias("_fits"),
+        )
+        name = F.concat(F.when(F.col("_parent") != "", F.concat("_parent", F.lit("/"))).otherwise(""), F.col("name"))
+        level = materialize(level.withColumn("name", name).drop("_parent"), "devices")
+        wrong = F.when(~F.col("_fits"), F.lit("not a device")).when(
+            F.col("_children").isNull(), F.lit("children is not a list")
+        )
+        faults.append(level.select(*names, wrong.alias("error")).where(F.col("error").isNotNull()))
+        levels.append(level.where(wrong.isNull()).select(*names, *FIELDS))
+        deeper = level.where(F.size("_children") > 0)
+        if deeper.isEmpty():
+            break
+        open_ = deeper.select(*names, F.col("name").alias("_parent"), F.explode("_children").alias("_device"))
+    devices, bad = levels[0], faults[0]
+    for part in levels[1:]:
+        devices = devices.unionByName(part)
+    for part in faults[1:]:
+        bad = bad.unionByName(part)
+    return devices, bad
 
 
 def flatten_inventory(dumps: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per device of every JSON dump in column ``text``; missing fields become ''.
 
-    A dump that cannot be read has no rows here; ``bad_dumps`` lists it with its fault.
-
-    The nesting has no fixed depth, so each dump is unfolded where it lies: one narrow pass,
-    no round per level.
+    A dump that cannot be read, or holds something else where a device is expected, has no rows
+    here; ``bad_dumps`` lists it with its fault.
     """
-    # Marked so that the filter Spark infers for the explode does not unfold each dump twice.
-    unfolded = dumps.withColumn("_devices", _devices.asNondeterministic()(F.col(text)))
-    return unfolded.select(*keep, F.explode("_devices.devices").alias("device")).select(
-        *keep, "device.*"
-    )
+    devices, bad = _unfold(dumps, text, keep)
+    if not bad.isEmpty():
+        devices = devices.join(bad.select("_key").distinct(), "_key", "left_anti")
+    return devices.drop("_key")
 
 
 def bad_dumps(dumps: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The dumps that cannot be read, with ``error``."""
-    faults = dumps.select(*keep, _devices.asNondeterministic()(F.col(text))["error"].alias("error"))
-    return faults.where(F.col("error").isNotNull())
+    """The dumps that cannot be read, with the first ``error`` found in each."""
+    _, bad = _unfold(dumps, text, keep)
+    return bad.groupBy("_key", *keep).agg(F.min("error").alias("error")).drop("_key")
 
 
 def scan_plan(devices: DataFrame) -> DataFrame:

@@ -57,9 +57,11 @@ def test_models_run_once_per_image(spark):
         predict.detect_objects(images, stand_ins.objects, {0: "cat"}),
     ):
         assert plan(df).split("\n\n")[0].count("EvalPython") == 1
+    cropped = plan(predict.crop_faces(images, stand_ins.faces, "/crops")).split("\n\n")[0]
+    assert cropped.count("EvalPython") == 2  # the model, and one cut for all boxes of an image
     dumps = views.inventory(spark, SF_DIR)
     flat = plan(inventory.flatten_inventory(dumps, "dump", ["c_custkey"]))
-    assert flat.split("\n\n")[0].count("EvalPython") == 1
+    assert "Python" not in flat.split("\n\n")[0]
 
 
 def test_duplicate_aggregations_are_hashed(manifest):
@@ -70,3 +72,15 @@ def test_duplicate_aggregations_are_hashed(manifest):
 
 def test_per_hash_reads_the_input_once(manifest):
     assert plan(dedup.per_hash(manifest)).split("\n\n")[0].count("Scan parquet") == 1
+
+
+def test_reports_multiply_no_row_before_their_limit(manifest):
+    for df in (dedup.largest_waste(manifest), dedup.most_widespread(manifest)):
+        tree = plan(df).split("\n\n")[0]
+        assert "NestedLoopJoin" not in tree and "CartesianProduct" not in tree
+
+
+def test_largest_box_sorts_only_candidates(spark):
+    raw = views.detections(spark, SF_DIR).withColumnRenamed("image_path", "path")
+    tree = plan(detections.largest_per_image(raw, "path", ["detection_id"])).split("\n\n")[0]
+    assert tree.count("HashAggregate") >= 2 and "SemiJoin" in tree.replace(" ", "") or "LeftSemi" in tree

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from hoardlens import schemas, workspace
 from hoardlens.functions import boxes
-from hoardlens.operators import predict
+from hoardlens.operators import dedup, predict, sketches
 from hoardlens.operators.dbscan import dbscan
 from hoardlens.plans import folder_report
 from hoardlens.sources import file_tree, images, inventory, manifests, tables
+from hoardlens.streaming import manifest_counts
 
 ROWS = [
     ("/a/x.JPG", "h1", 10), ('/a/q,"z".tar.gz', "h1", 10), ("/b/none", None, 5),
@@ -320,13 +321,78 @@ def test_replacing_one_device_keeps_the_others(spark, tmp_path):
         manifests.write_manifests(got, folder, mode="ignore")
 
 
+def test_running_counts_equal_the_batch_and_survive_a_restart(spark, tmp_path):
+    folder, checkpoint = str(tmp_path / "m"), str(tmp_path / "stream")
+    named = schemas.with_text(schemas.MANIFEST, "source_filename")
+
+    def rows(device, count):
+        return [(f"/{device}/{i},\n", f"h{i % 3}" if i % 4 else None, i, f"{device}.csv") for i in range(count)]
+
+    def run():
+        query = manifest_counts.follow(spark, folder, checkpoint, files_per_batch=1)
+        query.awaitTermination()
+        return query.lastProgress["batchId"]
+
+    def equal():
+        batch = dedup.per_hash(manifests.read_manifests(spark, folder))
+        found = manifest_counts.current_totals(spark, checkpoint)
+        assert as_set(found, "hash", "total_occurrences", "size_bytes") == as_set(batch, "hash", "total_occurrences", "size_bytes")
+        wasted = as_set(dedup.top_waste(batch), "hash", "space_wasted")
+        assert as_set(manifest_counts.current_duplicates(spark, checkpoint), "hash", "space_wasted") == wasted
+
+    manifests.write_manifests(spark.createDataFrame(rows("a", 9) + rows("b", 5), named), folder)
+    assert run() >= 1
+    equal()
+    run()  # nothing new
+    equal()
+    manifests.write_manifests(spark.createDataFrame(rows("c", 30), named), folder)
+    run()
+    equal()
+
+
+def test_sketches_of_new_manifests_join_the_stored_ones(spark, tmp_path):
+    folder = str(tmp_path / "sketches")
+    named = schemas.with_text(schemas.MANIFEST, "source_filename")
+    rows = [(f"/{i % 700}/f{i % 50}", f"h{i % 900}", i, f"{i % 4}.csv") for i in range(3_000)]
+    whole = spark.createDataFrame(rows, named)
+    exact = dedup.overall_stats(whole).first()
+
+    def guess():
+        return sketches.approx_overall_stats(sketches.stored_sketches(spark, folder)).first()
+
+    first = whole.where("source_filename <> '3.csv'")
+    sketches.keep_sketches(sketches.manifest_sketches(first), folder)
+    assert guess()["total_file_entries"] == 2_250
+    last = whole.where("source_filename = '3.csv'")
+    for part in (last.limit(1), last):  # a manifest that is read again replaces its sketch
+        sketches.keep_sketches(sketches.manifest_sketches(part), folder)
+    found = guess()
+    one = sketches.approx_overall_stats(sketches.manifest_sketches(whole.withColumn("source_filename", F.lit("x")))).first()
+    assert found == one and found["total_size_all_files"] == exact["total_size_all_files"]
+    for name in sketches.COUNTED.values():
+        assert abs(found[name] - exact[name]) <= max(1, sketches.error_bound() * exact[name])
+    none = sketches.approx_overall_stats(sketches.manifest_sketches(whole.limit(0))).first()
+    assert none["unique_hashes"] == none["total_file_entries"] == 0
+
+
 def test_bad_dumps_keep_the_others(spark):
     good = '{"blockdevices": [{"name": "sda", "size": 5, "children": [{"name": "sda1"}]}]}'
     rows = [(1, good), (2, "{broken"), (3, "[]"), (4, None), (5, '{"blockdevices": [7]}')]
     dumps = spark.createDataFrame(rows, "host int, dump string")
     flat = inventory.flatten_inventory(dumps, "dump", ["host"]).collect()
-    assert [(r["host"], r["name"], r["size"]) for r in flat] == [(1, "sda", "5"), (1, "sda/sda1", "")]
+    assert sorted((r["host"], r["name"], r["size"]) for r in flat) == [(1, "sda", "5"), (1, "sda/sda1", "")]
     assert {r["host"] for r in inventory.bad_dumps(dumps, "dump", ["host"]).collect()} == {2, 3, 5}
+    odd = [
+        (6, '{"blockdevices": {"name": "x"}}'), (7, '{"blockdevices": [{"name": "a", "children": [{"name": "b", "children": 5}]}]}'),
+        (8, '{"blockdevices": null}'), (9, '{"blockdevices": [{"name": null, "label": true, "uuid": false, "size": [1, "x"], "children": {}}]}'),
+        (10, ""), (11, '{"blockdevices": [{"name": "n", "children": [{"name": "m"}, null]}]}'),
+    ]
+    dumps = spark.createDataFrame(odd, "host int, dump string")
+    flat = inventory.flatten_inventory(dumps, "dump", ["host"]).collect()
+    assert [tuple(r)[:5] for r in flat] == [(9, "", '[1,"x"]', "true", "")] and flat[0]["uuid"] == ""
+    bad = {r["host"]: r["error"] for r in inventory.bad_dumps(dumps, "dump", ["host"]).collect()}
+    assert bad == {6: "blockdevices is not a list", 7: "children is not a list", 11: "not a device"}
+    assert "python" not in inventory.flatten_inventory(dumps, "dump", ["host"])._jdf.queryExecution().toString().lower()
 
 
 def test_released_tables_are_gone(spark):

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hoardlens.operators import blocks, cluster_tables, similarity
+from hoardlens.operators import approximate, blocks, cluster_tables, similarity
+from hoardlens.operators.cells import lay_out, principal_axes
 from hoardlens.operators.components import connected_components
-from hoardlens.operators.dbscan import count_neighbours, dbscan
+from hoardlens.operators.dbscan import Metric, count_neighbours, dbscan, neighbour_pairs
 from hoardlens.operators.silhouette import silhouette
 
 
@@ -120,6 +121,77 @@ def test_neighbour_counts(spark):
     assert {r["id"]: r["near"] for r in got} == expected
 
 
+def close_pairs(ids, rows, eps):
+    """Pairs of distinct vectors under their least ids, by the definition."""
+    least = {}
+    for i, r in sorted(zip(ids.tolist(), map(tuple, rows))):
+        if any(r):
+            least.setdefault(r, i)
+    found = set()
+    for x, i in least.items():
+        for y, j in least.items():
+            gap = 1 - np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+            if i < j and gap <= eps + 1e-12:
+                found.add((i, j))
+    return found, {i: least[tuple(r)] for i, r in zip(ids.tolist(), rows) if any(r)}
+
+
+@pytest.mark.parametrize("eps, cell_rows, least_block", [(0.02, 30, 16), (0.5, 8192, 256)])
+def test_neighbour_pairs(spark, monkeypatch, eps, cell_rows, least_block):
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", least_block)
+    rng = np.random.default_rng(8)
+    rows = np.concatenate([mixed(rng)[100:220], np.repeat(rng.normal(size=(2, 3)), 5, 0), np.zeros((2, 3))])
+    ids = rng.permutation(len(rows))
+    pairs, members = neighbour_pairs(frame(spark, ids, rows), eps, cell_rows=cell_rows)
+    expected, copies = close_pairs(ids, rows, eps)
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert {tuple(r) for r in members.collect()} == set(copies.items())
+    assert neighbour_pairs(frame(spark, [1], [[0, 0, 0]]), eps)[0].count() == 0
+
+
+def test_approximate_neighbours_and_their_recall(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 16))
+    rows = np.concatenate([c + rng.normal(size=(8, 16)) * 0.2 for c in centres] + [np.repeat(centres[:1], 4, 0), np.zeros((1, 16))])
+    ids = rng.permutation(len(rows))
+    points, members = approximate.fold_copies(frame(spark, ids, rows))
+    assert points.count() == 241 and members.count() == 244
+    expected, _ = close_pairs(ids, rows, 0.1)
+    pairs = approximate.approx_neighbours(points, 0.1)
+    found = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert found <= expected and len(found) >= 0.9 * len(expected) > 100
+    recall = approximate.measured_recall(points, pairs, 0.1).first()
+    assert (recall["exact_pairs"], recall["found_pairs"]) == (2 * len(expected), 2 * len(found))
+    assert approximate.measured_recall(points, pairs, 0.1, sample=20).first()["recall"] >= 0.8
+    none = points.limit(0)
+    assert approximate.approx_neighbours(none, 0.1).count() == 0
+    assert approximate.measured_recall(none, pairs, 0.1).first()["recall"] == 1.0
+    with pytest.raises(ValueError, match="eps"):
+        approximate.approx_neighbours(points, 1.0)
+
+
+def test_leading_coordinates_settle_pairs_exactly():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 40)) * np.concatenate([np.ones(6), np.full(34, 0.05)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes, lead = principal_axes(x, 0.9)
+    assert 1 <= lead <= 20 and np.allclose(axes.T @ axes, np.eye(40))
+    for limit in (0.9, 0.999, 0.2):
+        metric = Metric(40, 1.0, limit, axes, lead, 64)
+        assert np.array_equal(metric.near(x @ axes, x @ axes), x @ x.T >= limit)
+    assert principal_axes(rng.normal(size=(200, 8)), 0.5)[1] == 8
+
+
+def test_every_pair_of_blocks_meets_once():
+    rows = np.array([5, 900, 30, 40, 2_000, 1])
+    touching = np.ones((6, 6), bool)
+    touching[0, 5] = touching[5, 0] = False
+    layout = lay_out(rows, np.arange(6), touching, 400)
+    assert layout.blocks == 1 + 3 + 1 + 5 + 1 and layout.parts.tolist() == [1, 3, 1, 1, 5, 1]
+    assert layout.first.tolist() == [0, 1, 4, 4, 5, 10] and layout.ranges[0] == [[0, 10]] and layout.ranges[1] == [[0, 11]]
+
+
 def test_components_of_chains_stars_and_random_edges(spark):
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(999, i) for i in range(200, 300)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048  # vectors per side of a block, 32 MB for the products of two blocks
 TASK_BYTES = 128 * 1024 * 1024
-LEAST_BLOCK = 256  # rows of a block of a small table
+LEAST_BLOCK = 2048  # rows of a block of a small table; fewer are not worth a task
 
 
 def column(table: pa.Table, name: str) -> pa.Array:

@@ -18,7 +18,6 @@ def cluster_summary(labels: DataFrame, embeddings: DataFrame) -> DataFrame:
     """
     rows = labels.where(F.col("cluster_id").isNotNull()).select("id", "cluster_id")
     rows = rows.join(embeddings.select("id", F.col("confidence").cast("double").alias("confidence")), "id")
-    rows = materialize(rows, "cluster-rows")
     figures = rows.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("cluster_size"),
         F.avg("confidence").alias("avg_confidence"),

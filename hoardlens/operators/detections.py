@@ -80,16 +80,16 @@ def largest_per_image(faces: DataFrame, key: str, order: list[str]) -> DataFrame
     boxes of that area are compared further. Areas that cannot be computed come last.
     """
     area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    # One number for equal areas of either sign of zero, and none for NaN.
-    area = F.when(~F.isnan(area), area + 0.0)
-    sized = faces.withColumn("_area", F.coalesce(area, F.lit(float("-inf"))))
-    best = sized.groupBy(F.col(key).alias("_key")).agg(F.max("_area").alias("_best"))
-    rest = [c for c in faces.columns if c != key]
-    first = F.struct(*[F.col(c) for c in order])
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_area") == F.col("_best"))
-    candidates = sized.join(best, same, "left_semi")
-    found = candidates.groupBy(key).agg(F.min_by(F.struct(*rest), first).alias("best"))
-    return found.select(key, "best.*")
+    area = F.coalesce(F.when(~F.isnan(area), area), F.lit(float("-inf")))
+    # Rows without a key are one group, as any other.
+    same = F.when(F.col(key).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    sized = faces.withColumns({"_key": same, "_area": area})
+    best = sized.groupBy("_key").agg(F.max("_area").alias("_best")).withColumnRenamed("_key", "_of")
+    # One row a key is hashed on the right, so the boxes themselves are not sorted.
+    reaches = (F.col("_key") == F.col("_of")) & (F.col("_area") >= F.col("_best"))
+    candidates = sized.join(best.hint("shuffle_hash"), reaches, "left_semi")
+    row, first = F.struct(*faces.columns), F.struct(*order)
+    return candidates.groupBy("_key").agg(F.min_by(row, first).alias("best")).select("best.*")
 
 
 def object_rows(raw: DataFrame, class_names: Mapping[int, str] | None = None) -> DataFrame:

@@ -14,7 +14,12 @@ MASK = "[SECRET]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows scored below TOXIC; the model learns from the labels of this stage's documents."""
+    """Rows scored below TOXIC; the model learns from the labels of this stage's documents.
+
+    Null and empty texts, and rows with a null id, are scored like texts without neighbours and
+    stay where toxic documents are the rarer ones. Repeated rows get equal scores. Without labels
+    all rows stay. Only the columns of documents are read, so others cannot clash.
+    """
     index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_toxicity(docs.select(*COLUMNS), index)
     return scored.where(F.col("toxicity") < TOXIC).select(*COLUMNS)
@@ -39,7 +44,11 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which fewer than one word in 20 lies in a passage of the benchmark."""
+    """Rows of which fewer than one word in 20 lies in a passage of the benchmark.
+
+    Null and empty texts have no words and stay, repeated rows fare alike, an empty benchmark
+    removes nothing and an empty table gives no rows. Only the columns of documents are read.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.find_contamination(docs.select(*COLUMNS), benchmark)
     dirty = (F.col("n_hit") > 0) & (decontaminate.HIT_SHARE * F.col("n_hit") >= F.col("n_words"))
@@ -47,7 +56,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, each span of a secret replaced by MASK; ``n_chars`` follows the text."""
+    """All rows, each span of a secret replaced by MASK; ``n_chars`` follows the text.
+
+    Spans that overlap share one MASK. Null and empty texts, and their ``n_chars``, stay as they
+    are; repeated rows stay repeated. Only the columns of documents are read.
+    """
     found, _ = secrets.find_secrets(docs.select(*COLUMNS))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -72,7 +85,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: token ids of each text, and whether decoding gives the text back."""
+    """The last stage: token ids of each text, and whether decoding gives the text back.
+
+    A null text counts as an empty one, which has no ids. Repeated rows stay repeated, an empty
+    table gives no rows. Only the columns of documents are read.
+    """
     tokens = bpe.encode(docs.select("doc_id", "text", "lang", "source"))
     decoded = bpe.decode(tokens)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hoardlens.llm import bpe, token_counts
@@ -85,6 +86,23 @@ def test_edits_count_as_a_fresh_encoding(text, data):
         assert tree.total == len(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_long_special_strings_are_kept_whole(ours, tmp_path):
+    import json
+
+    spec = json.load(open(bpe.default_path(), encoding="utf-8"))
+    spec["added_tokens"].append({"id": 50_300, "content": "<|" + "very" * 12 + "|>", "special": True})
+    path = tmp_path / "long.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    long = bpe.Bpe(str(path))
+    text = "before " * 40 + "<|" + "very" * 12 + "| after" * 30
+    tree = token_counts.Tree.of(long, text)
+    place = text.index("| after") + 1
+    tree, text, _ = token_counts.apply_edit(long, tree, text, place, 0, ">")
+    assert tree.total == len(long.encode(text)) // 4
+    tree, text, _ = token_counts.apply_edit(long, tree, text, place, 1, "")
+    assert tree.total == len(long.encode(text)) // 4
+
+
 def test_an_edit_encodes_a_small_part(ours):
     text = "some words here and there. " * 5_000
     tree = token_counts.Tree.of(ours, text)
@@ -94,8 +112,20 @@ def test_an_edit_encodes_a_small_part(ours):
 
 def test_edited_query(spark, library):
     docs = spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string")
-    counted = token_counts.edited_digest(docs).collect()
-    assert len(counted) == len(rows())
+    counted = sorted(tuple(r) for r in token_counts.edited_digest(docs.where("doc_id IS NOT NULL")).collect())
+    edited = docs.where("doc_id IS NOT NULL").select("doc_id", "text", token_counts.two_edits().alias("edits"))
+    fresh = lambda text: len(library.encode(text, add_special_tokens=False).ids)
+    expected = []
+    for r in edited.collect():
+        before = after = r["text"] or ""
+        for e in r["edits"]:
+            after = after[: e["start"]] + e["inserted"] + after[e["start"] + e["removed"] :]
+        expected.append((r["doc_id"], fresh(before), fresh(after), len(after)))
+    assert [c[:4] for c in counted] == sorted(expected) and token_counts.edited_digest(docs).count() == len(rows())
+    twice = token_counts.edit_counts(token_counts.count_tokens(edited), "text", "tree", "edits")
+    assert sorted((r["doc_id"], r["n_tokens"], r["edited_tokens"], len(r["edited_text"])) for r in twice.collect()) == sorted(expected)
+    again = token_counts.edit_counts(edited.withColumn("tree", F.lit(None).cast(token_counts.TREE)))
+    assert sorted((r["doc_id"], r["edited_tokens"]) for r in again.collect()) == sorted((e[0], e[2]) for e in expected)
     edits = spark.createDataFrame(
         [(1, "hello world, this is it", [(5, 0, "<|endof"), (12, 0, "text|> x")])],
         f"doc_id bigint, text string, edits {token_counts.EDITS}",

@@ -3,42 +3,133 @@
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from hoardlens.llm.decontaminate import words_of
 from hoardlens.llm.folds import held_out, sample_per_class
 from hoardlens.llm.frames import append_columns, blobs
+from hoardlens.workspace import materialize
 
 EXAMPLES = 2_500  # labelled examples of each class, at most about so many
+EXAMPLE_TERMS = 8_000_000  # different terms of each example, summed over all, at most about so many
 TELLING = 300  # terms of the second vote, those that say most about the label
 LEAST_SIGNAL = 3.84  # chi-square of such a term with the label, five percent
 LEAST_DOCS = 4  # examples it must occur in,
 LEAST_SHARE = 0.002  # and this share of them
-COMMON = 2_048  # most frequent terms, kept as dense blocks
+COMMON = 1_024  # most frequent terms, kept as dense blocks
 SKETCH = 32
 NEIGHBOURS = 15
 BLOCK = 256  # examples of a block
 BATCH = 128  # texts scored at once
+SLICE = 8 * BATCH  # texts taken out of a batch of rows at once
+PART_BYTES = 16 << 20  # of an index on its way from the task that made it
 SLACK = 1e-11  # cosines this near are told apart only after rounding
+ROUNDING = 1e-5  # cosines of single precision this near to the kth are computed again
 SHARPNESS = 2  # votes count by the cosine to this power
 PREFIXES = (4, 5, 6)  # a word also stands for its first bytes
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 120_000
 
 
 def terms_of(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in PREFIXES if len(word) > n]]
 
 
-def distinct(texts: list[bytes | None]) -> list[int]:
+class Known(dict):
+    """Numbers of the terms of each word, remembered for at most KNOWN_WORDS words."""
+
+    def __init__(self, vocabulary: pa.Array):
+        super().__init__()
+        words, prefixes = {}, {}
+        for i, term in enumerate(vocabulary.to_pylist()):
+            if term.endswith(b"*"):
+                prefixes[term[:-1]] = i
+            else:
+                words[term] = i
+        self.word, self.prefix = words.get, prefixes.get
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        found = [self.word(word), *[self.prefix(word[:n]) for n in PREFIXES if len(word) > n]]
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = tuple([i for i in found if i is not None])
+        return found
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64)
+
+
+def described(text: bytes | None) -> tuple[list[bytes], list[int], list[int]]:
+    """Terms of an example with their counts, and the least hashes of its words."""
+    words = Counter(words_of(text))
+    counts: Counter = Counter()
+    for word, n in words.items():
+        for t in terms_of(word):
+            counts[t] += n
+    return list(counts.keys()), list(counts.values()), sorted({zlib.crc32(w) for w in words})[:SKETCH]
+
+
+_EXAMPLE = "terms array<binary>, counts array<int>, sketch array<bigint>"
+
+
+def _described(batches):
+    """Examples (id, label, text) without their texts."""
+    for batch in batches:
+        columns = list(zip(*[described(b) for b in blobs(batch.column(2))])) or [()] * 3
+        kinds = [pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *made], ["doc_id", "toxic", "terms", "counts", "sketch"]
+        )
+
+
+@dataclass
+class Examples:
+    """Labelled examples as terms and counts; their texts stay in the tasks that described them."""
+
+    ids: list
+    labels: np.ndarray
+    terms: list  # of each example, an Arrow array
+    counts: list
+    kind: str = "bigint"  # type of the ids
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], labels, ids) -> Examples:
+        rows = [described(t) for t in texts]
+        terms, counts = [pa.array(r[0], pa.binary()) for r in rows], [np.array(r[1], np.int32) for r in rows]
+        return cls._distinct(list(ids), list(labels), terms, counts, [r[2] for r in rows], "bigint")
+
+    @classmethod
+    def read(cls, table: pa.Table, kind: str) -> Examples:
+        ids, labels, sketches = (table[n].to_pylist() for n in ("doc_id", "toxic", "sketch"))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], sketches[i]))
+        terms, counts = ([c for part in table[n].chunks for c in part] for n in ("terms", "counts"))
+        pick = lambda values: [values[i] for i in order]
+        return cls._distinct(
+            pick(ids), pick(labels), [terms[i].values for i in order],
+            [counts[i].values.to_numpy() for i in order], pick(sketches), kind,
+        )
+
+    @classmethod
+    def _distinct(cls, ids, labels, terms, counts, sketches, kind) -> Examples:
+        kept = distinct(sketches)
+        pick = lambda values: [values[i] for i in kept]
+        return cls(pick(ids), np.array(pick(labels), np.int64), pick(terms), pick(counts), kind)
+
+
+def distinct(sketches: list[list[int]]) -> list[int]:
     """Places of the examples that are no near copies of earlier ones.
 
     Copies would make the words of one text look like signs of its label. Two examples count as
@@ -46,8 +137,7 @@ def distinct(texts: list[bytes | None]) -> list[int]:
     """
     holders: dict[int, list[int]] = {}
     kept = []
-    for i, text in enumerate(texts):
-        sketch = sorted({zlib.crc32(word) for word in set(words_of(text))})[:SKETCH]
+    for i, sketch in enumerate(sketches):
         shared = Counter(j for h in sketch for j in holders.get(h, ()))
         if sketch and max(shared.values(), default=0) * 2 >= len(sketch):
             continue
@@ -57,25 +147,6 @@ def distinct(texts: list[bytes | None]) -> list[int]:
     return kept
 
 
-class Known(dict):
-    """Numbers of the terms of each word, remembered for at most KNOWN_WORDS words."""
-
-    def __init__(self, number: dict[bytes, int]):
-        super().__init__()
-        self.terms = number
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        number = self.terms
-        found = tuple([number[t] for t in terms_of(word) if t in number])
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found
-        return found
-
-    def of(self, words) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64)
-
-
 class Lists:
     """Inverted lists with unit weights; common terms also as dense blocks with their greatest weights.
 
@@ -86,7 +157,8 @@ class Lists:
     def __init__(self, term: np.ndarray, doc: np.ndarray, counts: np.ndarray, idf: np.ndarray, docs: int):
         self.idf, self.doc = idf, doc
         weight = (1 + np.log(counts)) * idf[term]
-        self.weight = weight / np.sqrt(np.bincount(doc, weight**2, docs))[doc]
+        # Weights are numbers of single precision, so that blocks of them hold them exactly.
+        self.weight = (weight / np.sqrt(np.bincount(doc, weight**2, docs))[doc]).astype(np.float32)
         self.blocks = 1  # pieces of each list in ``start``: lists are whole
         self.start = np.searchsorted(term, np.arange(len(idf) + 1))
         self.common = min(COMMON, len(idf))
@@ -97,13 +169,13 @@ class Lists:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_known")}
 
-    def _blocks_of_common(self) -> np.ndarray:
-        """Weights of the common terms, one dense block after the other; made once per process."""
+    def _common_weights(self) -> np.ndarray:
+        """Weights of the common terms, one column an example; made once per process."""
         if "_dense" not in self.__dict__:
-            dense = np.zeros((self.most.shape[1], self.common, BLOCK))
+            dense = np.zeros((self.common, self.most.shape[1] * BLOCK), np.float32)
             end = self.start[self.common]
             term = np.repeat(np.arange(self.common), np.diff(self.start[: self.common + 1]))
-            dense[self.doc[:end] // BLOCK, term, self.doc[:end] % BLOCK] = self.weight[:end]
+            dense[term, self.doc[:end]] = self.weight[:end]
             self._dense = dense
         return self._dense
 
@@ -128,7 +200,8 @@ class Lists:
         """``nearest`` of several queries at once; with ``skip`` the i-th may not find example skip + i.
 
         Rare terms are summed over their lists first. A block of examples is left out for a query if
-        these sums and the most its common terms could add there stay below the kth cosine.
+        these sums and the most its common terms could add there stay below the kth cosine. Blocks
+        are scored in single precision; what comes near the kth cosine is computed again in double.
         """
         rows, size = len(queries), self.most.shape[1] * BLOCK
         row = np.repeat(np.arange(rows), [len(t) for t, _ in queries])
@@ -141,26 +214,31 @@ class Lists:
         lengths = self.start[term + 1] - self.start[term]
         at = np.repeat(self.start[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         cells = np.repeat(row * size, lengths) + self.doc[at]
-        scores = np.bincount(cells, self.weight[at] * np.repeat(weight, lengths), rows * size).astype(float)
-        scores = scores.reshape(rows, size)
+        rare = np.bincount(cells, self.weight[at] * np.repeat(weight, lengths), rows * size).astype(float)
+        rare = rare.reshape(rows, size)
         if skip is not None:
-            scores[np.arange(rows), skip + np.arange(rows)] = -np.inf
+            rare[np.arange(rows), skip + np.arange(rows)] = -np.inf
+        scores = rare.astype(np.float32)
         blocks = scores.reshape(rows, -1, BLOCK)
-        bounds = blocks.max(axis=2) + dense @ self.most
-        # The kth greatest of the sums so far is never above the kth cosine.
-        kth = np.partition(scores, size - k, axis=1)[:, size - k]
-        for n, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable").tolist()):
-            wanted = np.flatnonzero((bounds[:, b] >= kth - SLACK) & (bounds[:, b] > 0))
-            if len(wanted):
-                blocks[wanted, b] += dense[wanted] @ self._blocks_of_common()[b]
-            if n in (0, 3):
-                kth = np.partition(scores, size - k, axis=1)[:, size - k]
+        bounds = blocks.max(axis=2) + dense @ self.most + ROUNDING
+        single, common = dense.astype(np.float32), self._common_weights()
+        # The kth greatest of the sums of any block is never above the kth cosine.
+        kth = np.full(rows, -np.inf, np.float32)
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
+            wanted = np.flatnonzero((bounds[:, b] >= kth - ROUNDING) & (bounds[:, b] > ROUNDING))
+            if not len(wanted):
+                continue
+            asked = single if len(wanted) == rows else single[wanted]
+            blocks[wanted, b] += asked @ common[:, b * BLOCK : (b + 1) * BLOCK]
+            kth = np.maximum(kth, np.partition(blocks[:, b], BLOCK - k, axis=1)[:, BLOCK - k])
         kth = np.partition(scores, size - k, axis=1)[:, size - k]
         out = []
         for i in range(rows):
-            found = np.flatnonzero(scores[i] >= max(kth[i] - SLACK, SLACK))
+            found = np.flatnonzero(scores[i] >= max(kth[i], ROUNDING) - ROUNDING)
+            own = np.flatnonzero(dense[i])
+            exact = rare[i, found] + dense[i, own] @ common[np.ix_(own, found)].astype(np.float64)
             # Rounded, so that a cosine does not depend on what else is in the batch.
-            near = sorted((-c, j) for c, j in zip(np.round(scores[i, found], 12).tolist(), found.tolist()))
+            near = sorted((-c, j) for c, j in zip(np.round(exact, 12).tolist(), found.tolist()) if c > SLACK)
             out.append([(-c, j) for c, j in near[:k]])
         return out
 
@@ -174,49 +252,51 @@ class Index(Lists):
 
     def __init__(
         self,
-        texts: list[bytes | None],
-        labels: list[int],
-        ids: list,
+        examples: Examples,
         base_rate: float,
-        frequencies: Callable[[dict[bytes, int]], tuple[int, np.ndarray]] | None = None,
+        frequencies: Callable[[pa.Array], tuple[int, np.ndarray]] | None = None,
     ):
         """``frequencies`` gives the number of documents and how many have each term; by default the examples count."""
-        kept = distinct(texts)
-        texts, labels, ids = [texts[i] for i in kept], [labels[i] for i in kept], [ids[i] for i in kept]
-        self.labels, self.ids = np.array(labels, np.int64), ids
-        term, doc, counts = self._postings(texts)
-        docs, holders = len(texts), np.bincount(term, minlength=len(self.number))
+        self.labels, self.ids, self.kind = examples.labels, examples.ids, examples.kind
+        term, doc, counts = self._postings(examples)
+        docs, holders = len(self.ids), np.bincount(term, minlength=len(self.vocabulary))
         chosen = self._choose(term, doc, holders)
-        if frequencies is not None and self.number:
-            docs, holders = frequencies(self.number)
-        super().__init__(term, doc, counts, np.log((1 + docs) / (1 + holders)) + 1, len(texts))
-        self.telling = np.full(len(self.number), -1)
+        if frequencies is not None and len(self.vocabulary):
+            docs, holders = frequencies(self.vocabulary)
+        super().__init__(term, doc, counts, np.log((1 + docs) / (1 + holders)) + 1, len(self.ids))
+        self.telling = np.full(len(self.vocabulary), -1)
         self.telling[chosen] = np.arange(len(chosen))
         told = self.telling[term] >= 0
         term, doc, counts = self.telling[term[told]], doc[told], counts[told]
-        self.signal = Lists(term, doc, counts, self.idf[chosen], len(texts))
-        self._calibrate(np.bincount(doc, counts, len(texts)), base_rate)
-
-    def _postings(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        number: dict[bytes, int] = {}
-        term, counts, sizes = array("i"), array("i"), []
-        for text in texts:
-            found: Counter = Counter()
-            for word, n in Counter(words_of(text)).items():
-                for t in terms_of(word):
-                    found[number.setdefault(t, len(number))] += n
-            term.extend(found.keys())
-            counts.extend(found.values())
-            sizes.append(len(found))
-        old = np.array(term, np.int64)
-        frequent = np.argsort(-np.bincount(old, minlength=len(number)), kind="stable")
-        place = np.empty(len(number), np.int64)
-        place[frequent] = np.arange(len(number))
-        terms = list(number)
-        self.number = {terms[i]: at for at, i in enumerate(frequent.tolist())}
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-        order = np.lexsort((doc, place[old]))
-        return place[old][order], doc[order], np.array(counts, np.int32)[order]
+        self.signal = Lists(term, doc, counts, self.idf[chosen], len(self.ids))
+        self._calibrate(np.bincount(doc, counts, len(self.ids)), base_rate)
+
+    def dumped(self) -> bytes:
+        """Both sets of lists as plain arrays."""
+        own = self.__getstate__()
+        signal = own.pop("signal")
+        return pickle.dumps((own, signal.__getstate__()), 5)
+
+    @property
+    def number(self) -> dict[bytes, int]:
+        return dict(zip(self.vocabulary.to_pylist(), range(len(self.vocabulary))))
+
+    def _postings(self, examples: Examples) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term, example and count, in order of term and example; the vocabulary begins with the most frequent."""
+        flat = pa.concat_arrays([pa.array([], pa.binary()), *examples.terms])
+        coded = flat.dictionary_encode()
+        old, terms = coded.indices.to_numpy(), coded.dictionary
+        spelling = np.empty(len(terms), np.int64)
+        spelling[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+        order = np.lexsort((spelling, -np.bincount(old, minlength=len(terms))))
+        place = np.empty(len(terms), np.int32)
+        place[order] = np.arange(len(terms), dtype=np.int32)
+        self.vocabulary = terms.take(pa.array(order))
+        doc = np.repeat(np.arange(len(examples.ids), dtype=np.int32), [len(t) for t in examples.terms])
+        counts = np.concatenate([np.zeros(0, np.int32), *examples.counts])
+        term = place[old]
+        by_term = np.argsort(term, kind="stable")
+        return term[by_term], doc[by_term], counts[by_term]
 
     def _choose(self, term, doc, holders) -> np.ndarray:
         """The terms whose presence says most about the label, by a chi-square of one degree."""
@@ -226,14 +306,15 @@ class Index(Lists):
         spread = holders * np.maximum(n - holders, 1.0) * max(toxic, 1) * max(n - toxic, 1)
         value = n * excess * excess / np.maximum(spread, 1.0)
         known = (holders >= max(LEAST_DOCS, LEAST_SHARE * n)) & (value > LEAST_SIGNAL)
-        terms = list(self.number)
-        scored = sorted((-value[i], terms[i], i) for i in np.flatnonzero(known).tolist())
+        some = np.flatnonzero(known)
+        terms = self.vocabulary.take(pa.array(some)).to_pylist()
+        scored = sorted((-value[i], t, i) for t, i in zip(terms, some.tolist()))
         return np.array(sorted(i for *_, i in scored[:TELLING]), np.int64)
 
     def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Terms and weights of a text, and its telling terms with their counts."""
         if "_known" not in self.__dict__:
-            self._known = Known(self.number)
+            self._known = Known(self.vocabulary)
         terms, counts = np.unique(self._known.of(words_of(text)), return_counts=True)
         told = self.telling[terms]
         return *self.weigh(terms, counts), (told[told >= 0], counts[told >= 0])
@@ -263,6 +344,8 @@ class Index(Lists):
             j = min(i + BATCH, len(self.ids))
             near = zip(self.nearest_of(every[i:j], skip=i), self.signal.nearest_of(telling[i:j], skip=i))
             rows += [self._features(n, t, m) for (n, t), m in zip(near, matched[i:j])]
+        del every, telling
+        self.__dict__.pop("_dense", None)
         x, y = np.array(rows).reshape(-1, 6), self.labels.astype(float)
         share = y.mean() if len(y) else 0.0
         rate = min(max(base_rate, 1e-3), 1 - 1e-3)
@@ -302,16 +385,18 @@ class Index(Lists):
         return out
 
 
-def document_frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many of them have each of the numbered terms."""
-    shared = docs.sparkSession.sparkContext.broadcast(number)
+def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each term of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
         known, total = Known(shared.value), 0
         holders = np.zeros(len(shared.value), np.int64)
         for batch in batches:
             for blob in blobs(batch.column(0)):
-                holders[np.unique(known.of(set(words_of(blob))))] += 1
+                # A set of numbers, so each term counts once a document.
+                found = set().union(*map(known.__getitem__, set(words_of(blob))))
+                holders[np.fromiter(found, np.int64, len(found))] += 1
             total += batch.num_rows
         found = np.flatnonzero(holders)
         term, n = np.append(found, -1), np.append(holders[found], total)
@@ -323,42 +408,88 @@ def document_frequencies(docs: DataFrame, number: dict[bytes, int]) -> tuple[int
     partial = docs.select("text").mapInArrow(count, "term int, n bigint")
     table = partial.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table["term"].to_numpy(), table["n"].to_numpy()
-    holders = np.zeros(len(number) + 1, np.int64)
+    holders = np.zeros(len(vocabulary) + 1, np.int64)
     holders[term] = n
     return int(holders[-1]), holders[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+def _within_bound(examples: DataFrame) -> DataFrame:
+    """All examples, or the first in order of a hash where they hold more than EXAMPLE_TERMS terms."""
+    order = F.xxhash64("doc_id", "sketch")
+    sizes = sorted(tuple(r) for r in examples.select(order, F.size("terms")).collect())
+    held = np.cumsum([n for _, n in sizes])
+    if not len(held) or held[-1] <= EXAMPLE_TERMS:
+        return examples
+    return examples.where(order < sizes[int(np.searchsorted(held, EXAMPLE_TERMS, "right"))][0])
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     """An index of about ``examples`` rows of each class, none of them held out.
 
     Which rows is settled on the small table of labels; their texts come by a join with at most
-    a few thousand broadcast ids. Contradicting or null labels are left out.
+    a few thousand broadcast ids. Tasks turn them into terms and counts, bounded by EXAMPLE_TERMS,
+    and one task makes the index of this bounded sample. Only the different terms and the bytes
+    of the index pass through the driver. Contradicting or null labels are left out.
     """
     marked = (
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
         .where("toxic = most")
-        .select("doc_id", "toxic")
+        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     )
     rate = marked.agg(F.avg("toxic")).first()[0]
     chosen = sample_per_class(marked, "toxic", F.col("doc_id"), examples)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("binary"), "toxic").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return Index(
-        [bytes(r[1]) for r in rows],
-        [r[2] for r in rows],
-        [r[0] for r in rows],
-        rate if rate is not None else 0.1,
-        lambda number: document_frequencies(texts, number),
-    )
-
-
-EVIDENCE = "array<struct<doc_id:bigint,cosine:double,toxic:int>>"
-
-
-def score_toxicity(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    described_rows = rows.mapInArrow(_described, f"doc_id {kind}, toxic int, {_EXAMPLE}")
+    stored = _within_bound(materialize(described_rows, "examples"))
+    terms = stored.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].combine_chunks()
+    terms = pa.concat_arrays([pa.array([], pa.binary()), *getattr(terms, "chunks", [terms])])
+    count, holders = document_frequencies(texts, terms) if len(terms) else (0, np.zeros(0, np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, count, holders))
+    base_rate, schema = rate if rate is not None else 0.1, to_arrow_schema(stored.schema)
+
+    def build(batches):
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        every, count, holders = shared.value
+        frequencies = lambda own: (count, holders[pc.index_in(own, every).to_numpy()])
+        data = Index(Examples.read(table, kind), base_rate, frequencies).dumped()
+        for i, at in enumerate(range(0, len(data), PART_BYTES)):
+            part = pa.array([data[at : at + PART_BYTES]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), part], ["place", "data"])
+
+    parts = stored.repartition(1).mapInArrow(build, "place int, data binary").collect()
+    return Fitted(b"".join(bytes(r[1]) for r in sorted(parts)), kind)
+
+
+@dataclass
+class Fitted:
+    """An index as the bytes that tasks make it from; the driver need not hold it."""
+
+    data: bytes
+    kind: str
+
+    def __reduce__(self):
+        return loaded, (self.data,)
+
+    @property
+    def index(self) -> Index:
+        return loaded(self.data)
+
+
+def loaded(data: bytes) -> Index:
+    """The index that ``Index.dumped`` wrote."""
+    own, signal = pickle.loads(data)
+    index, index_signal = Index.__new__(Index), Lists.__new__(Lists)
+    index.__dict__.update(own)
+    index_signal.__dict__.update(signal)
+    index.signal = index_signal
+    return index
+
+
+def score_toxicity(docs: DataFrame, index: Fitted, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``evidence``, the nearest examples with their labels.
 
     One narrow pass. A null or empty text, or one without any term of the examples, has no
@@ -366,23 +497,28 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text") -> DataFra
     scores, an empty table gives no rows; other columns pass through under any name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    id_type = to_arrow_type(T._parse_datatype_string(index.kind))
 
     def make():
         model = shared.value
 
         def step(columns):
             scores, evidence = [], []
-            for score, near in model.scores(blobs(columns[0])):
+            found = chain.from_iterable(
+                model.scores(blobs(columns[0].slice(at, SLICE))) for at in range(0, len(columns[0]), SLICE)
+            )
+            for score, near in found:
                 scores.append(score)
                 evidence.append(
                     [{"doc_id": model.ids[i], "cosine": c, "toxic": int(model.labels[i])} for c, i in near]
                 )
-            kind = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
+            kind = pa.struct([("doc_id", id_type), ("cosine", pa.float64()), ("toxic", pa.int32())])
             return [pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(kind))]
 
         return step
 
-    return append_columns(docs, [text], make, f"toxicity double, evidence {EVIDENCE}")
+    evidence = f"array<struct<doc_id:{index.kind},cosine:double,toxic:int>>"
+    return append_columns(docs, [text], make, f"toxicity double, evidence {evidence}")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def index():
         text = [rng.choice(words) for _ in range(rng.randint(5, 40))] + [rng.choice(bad) for _ in range(2 * toxic)]
         texts.append(" ".join(text).encode())
         labels.append(int(toxic))
-    return toxicity.Index(texts, labels, list(range(500)), 0.1)
+    return toxicity.Index(toxicity.Examples.of(texts, labels, range(500)), 0.1)
 
 
 def test_nearest_is_exact(index):

@@ -26,8 +26,9 @@ def test_stages_follow_brute_force(spark, monkeypatch):
 
     # The smallest table has too few toxic labels to learn from.
     larger = SF.replace("0.001", "0.01")
-    index = toxicity.fit(*(spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels")))
-    monkeypatch.setattr(toxicity, "fit", lambda *_: index)
+    fitted = toxicity.fit(*(spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels")))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: fitted)
+    index = fitted.index
     first = steps["toxicity"](spark, docs, SF)
     kept = [r for r in source if index.score((r[1] or "").encode())[0] < corpus_pipeline.TOXIC]
     assert first.columns == docs.columns and rows_of(first) == sorted(kept)

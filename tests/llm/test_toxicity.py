@@ -32,7 +32,7 @@ def test_every_term_counts(monkeypatch):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
     texts = [" ".join(words[int(900 * rng.random() ** 2)] for _ in range(30)).encode() for _ in range(700)]
-    index = toxicity.Index(texts, [i % 2 for i in range(700)], list(range(700)), 0.5)
+    index = toxicity.Index(toxicity.Examples.of(texts, [i % 2 for i in range(700)], range(700)), 0.5)
     kept = [texts[i] for i in index.ids]
     frequency = frequencies(kept)
     assert set(index.number) == set(frequency) and len(index.number) > 1000
@@ -48,8 +48,20 @@ def test_frequencies_are_those_of_all_documents(spark):
     rows = [(i, f"shared word{i} insult" if i % 3 == 0 else f"shared word{i} plain{i}") for i in range(90)]
     docs = spark.createDataFrame([*rows, (500, None)], "doc_id bigint, text string").repartition(4)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id bigint, toxic int")
-    index = toxicity.fit(docs, labels)
+    index = toxicity.fit(docs, labels).index
     frequency = frequencies([t.encode() for _, t in rows])
     assert index.number
     for term, i in index.number.items():
         assert math.isclose(index.idf[i], math.log(91 / (1 + frequency[term])) + 1)
+
+
+def test_ids_of_any_type_and_the_bound_of_the_examples(spark, monkeypatch):
+    rows = [(f"d{i}", f"word{i} insult here" if i % 3 == 0 else f"word{i} plain{i} text") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "insult"), ("x", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
+    assert dict(scored.dtypes)["evidence"] == "array<struct<doc_id:string,cosine:double,toxic:int>>"
+    found = scored.where("doc_id IS NULL").first()
+    assert found["evidence"][0]["doc_id"].startswith("d") and scored.count() == 62
+    monkeypatch.setattr(toxicity, "EXAMPLE_TERMS", 120)
+    assert 5 <= len(toxicity.fit(docs, labels).index.ids) <= 25

@@ -19,7 +19,7 @@ from hoardlens.workspace import materialize
 
 PIECES = "piece_bpe_32k.model"
 SEGMENT = 1 << 20  # characters of a long text that are aligned at a time
-SLICE_BYTES = 1 << 20  # texts whose ends are intersected together
+SLICE_BYTES = 1 << 18  # texts whose ends are intersected together
 BLANK = "▁"  # stands for a space in a piece
 LONG_RUN = 50_000  # white space in a row that only the slower encoder takes
 _LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")

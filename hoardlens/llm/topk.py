@@ -150,12 +150,17 @@ def top_k(
 
     Rows with a null id, a null vector, or null or non-finite components take no part; vectors
     are compared within their length only. Rows that share an id are rows of their own: a query
-    leaves out only itself. Ties go to the smaller id. Empty tables give no rows.
+    leaves out only itself. Ties go to the smaller id. Empty tables give no rows. Vectors whose
+    scores need not fit in 64 bits raise a ValueError.
     """
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("v"))
     rows = rows.where(F.col("id").isNotNull() & _valid("v")).select(
         "id", quantise("v").alias("v"), F.size("v").alias("dim")
     )
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    bound = rows.agg(F.max(F.col("dim") * largest * largest)).first()[0]
+    if bound is not None and bound >= 2.0**63:
+        raise ValueError("scores of these vectors do not fit in 64 bits")
     ranged = rows.repartitionByRange("dim", "id").sortWithinPartitions("dim", "id", "v").select("id", "v")
     chunks = materialize(ranged.mapInArrow(_pack, _CHUNKS), "chunks")
     queries = chunks.mapInArrow(

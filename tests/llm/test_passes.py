@@ -159,11 +159,26 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(docs.limit(0)).count() == 0
 
 
+def test_top_k_refuses_scores_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(50, [1e30, 1.0]), (51, [1e30, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(docs)
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op3_ngram_jaccard", "op7_secret_scan", "op10_topk_search"])
+def test_registered_queries_match_their_sql(spark, name):
+    from hoardlens.llm.queries import ORACLES, QUERIES
+    from tests.oracle import compare, connect
+
+    folder = "/root/testdata/sf0.01"
+    assert compare(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) == []
+
+
 def test_query_columns(spark):
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in found}
+    assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in found}
     assert set(entry.oracle_sql()) <= set(found)
     table = found["op4_sharding"](spark, "/root/testdata/sf0.001")
     assert [t for _, t in table.dtypes] == ["bigint", "bigint", "bigint", "string", "int", "bigint", "int"]

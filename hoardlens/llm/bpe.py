@@ -17,7 +17,7 @@ from hoardlens.llm.frames import append_columns, blobs
 TOKENIZER = "byte_bpe_50k.json"
 CACHED_CHUNKS = 300_000  # per generation; the last two generations of chunks are remembered
 CACHED_LENGTH = 48  # longer chunks are encoded afresh each time
-CACHED_PAIRS = 1_000_000
+CACHED_PAIRS = 250_000
 # White space is written out, since the meaning of \s differs between engines.
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 PIECE = (

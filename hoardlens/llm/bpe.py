@@ -17,7 +17,7 @@ from hoardlens.llm.frames import append_columns, blobs
 TOKENIZER = "byte_bpe_50k.json"
 CACHED_CHUNKS = 300_000  # per generation; the last two generations of chunks are remembered
 CACHED_LENGTH = 48  # longer chunks are encoded afresh each time
-CACHED_PAIRS = 250_000
+CACHED_PAIRS = 1_000_000
 # White space is written out, since the meaning of \s differs between engines.
 _WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 PIECE = (
@@ -295,6 +295,32 @@ def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> Data
     return append_columns(tokens, [ids], make, "decoded string")
 
 
+def encode_checked(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """``docs`` with ``ids array<int>`` and ``round_trip``, whether decoding them gives the text back.
+
+    As ``encode`` and ``decode``, but in one pass, so a task needs one process and one set of
+    tables. A null text counts as an empty one, which has no ids and comes back.
+    """
+    path = path or default_path()
+
+    def make():
+        bpe = load(path)
+
+        def step(columns):
+            data, same = [], []
+            for blob in blobs(columns[0]):
+                whole = text_of(blob)
+                data.append(bpe.encode(whole))
+                same.append(bpe.decode(np.frombuffer(data[-1], "<u4")) == whole)
+            offsets = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data])])
+            flat = np.frombuffer(b"".join(data), dtype="<i4")
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(same, pa.bool_())]
+
+        return step
+
+    return append_columns(docs, [text], make, "ids array<int>, round_trip boolean")
+
+
 def round_trip_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text.
 

@@ -67,7 +67,11 @@ def test_queries_over_rows(spark, library):
         assert found[doc_id]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
     both = bpe.decode(bpe.encode(docs.withColumnRenamed("lang", "ids_before"))).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in both)
+    checked = {r["doc_id"]: r for r in bpe.encode_checked(docs).collect()}
+    for doc_id, text, *_ in rows():
+        assert checked[doc_id]["round_trip"] and list(checked[doc_id]["ids"]) == library.encode(text or "", add_special_tokens=False).ids
     empty = docs.limit(0)
+    assert bpe.encode_checked(empty).count() == 0
     assert bpe.round_trip_digest(empty).count() == 0 == token_counts.edited_digest(empty).count()
 
 

@@ -24,7 +24,7 @@ ANCHOR = 16
 ANCHOR_BITS = 1 << 27  # 16 MB sieve
 COMMON = 5_000  # documents of an anchor from which its strings are dealt out one by one
 SEEN = 200_000  # texts a task remembers, so that copies are sent once
-SHARD_BYTES = 4_000_000  # text of one suffix array; an anchor is never cut
+SHARD_BYTES = 500_000  # text of one suffix array, some 100 bytes of memory each; an anchor is never cut
 
 _U = np.uint64
 

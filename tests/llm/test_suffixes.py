@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,3 +99,17 @@ def test_removal_matches_brute_force(spark, monkeypatch, common):
 
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_memory_of_a_shard_is_bounded():
+    words = np.random.default_rng(2).integers(97, 123, (40_000, 100)).astype(np.uint8)
+    rows = [(i, i, i, 0, w.tobytes()) for i, w in enumerate(words)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["anchor", "doc_id", "text_key", "start", "context"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    tracemalloc.start()
+    for _ in suffixes._shards(batch.slice(i, 2_000) for i in range(0, len(rows), 2_000)):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20

@@ -6,7 +6,7 @@ import math
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -40,35 +40,56 @@ SLACK = 1e-11  # cosines this near are told apart only after rounding
 ROUNDING = 1e-5  # cosines of single precision this near to the kth are computed again
 SHARPNESS = 2  # votes count by the cosine to this power
 PREFIXES = (4, 5, 6)  # a word also stands for its first bytes
-KNOWN_WORDS = 120_000
+RUN_BYTES = 4 << 20  # of texts whose words are looked up at once
 
 
 def terms_of(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in PREFIXES if len(word) > n]]
 
 
-class Known(dict):
-    """Numbers of the terms of each word, remembered for at most KNOWN_WORDS words."""
+class Known:
+    """Numbers of the terms of words, looked up for all different words of several texts at once."""
 
     def __init__(self, vocabulary: pa.Array):
-        super().__init__()
-        words, prefixes = {}, {}
-        for i, term in enumerate(vocabulary.to_pylist()):
-            if term.endswith(b"*"):
-                prefixes[term[:-1]] = i
-            else:
-                words[term] = i
-        self.word, self.prefix = words.get, prefixes.get
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        found = [self.word(word), *[self.prefix(word[:n]) for n in PREFIXES if len(word) > n]]
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = found = tuple([i for i in found if i is not None])
-        return found
-
-    def of(self, words) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.int64)
+        self.vocabulary = vocabulary
+
+    def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Of each text, the numbers of the terms of its words, each as often as it occurs."""
+        words = [words_of(t) for t in texts]
+        ends = np.cumsum([len(w) for w in words]).tolist()
+        coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+        numbers = self._numbers(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        found = (numbers[codes[i:j]].ravel() for i, j in zip([0, *ends], ends))
+        return [f[f >= 0] for f in found]
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """For each word the numbers of its terms, -1 for those that are not known."""
+        sizes = pc.binary_length(words).to_numpy()
+        longer = [np.flatnonzero(sizes > n) for n in PREFIXES]
+        heads = [pc.binary_slice(words.take(pa.array(at)), 0, n) for n, at in zip(PREFIXES, longer)]
+        heads = [pc.binary_join_element_wise(h, pa.scalar(b"*"), pa.scalar(b"")) for h in heads]
+        place = pc.index_in(pa.concat_arrays([words, *heads]), self.vocabulary)
+        place = np.split(place.fill_null(-1).to_numpy(), np.cumsum([len(words), *[len(h) for h in heads]])[:-1])
+        out = np.full((len(words), 1 + len(PREFIXES)), -1, np.int32)
+        out[:, 0] = place[0]
+        for i, (at, found) in enumerate(zip(longer, place[1:]), 1):
+            out[at, i] = found
+        return out
+
+
+def runs(texts: list[bytes | None]) -> Iterator[list[bytes | None]]:
+    """Texts in runs of at most RUN_BYTES and SLICE of them; a longer text is a run of its own."""
+    run, size = [], 0
+    for text in texts:
+        own = len(text or b"")
+        if run and (size + own > RUN_BYTES or len(run) >= SLICE):
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += own
+    if run:
+        yield run
 
 
 def described(text: bytes | None) -> tuple[list[bytes], list[int], list[int]]:
@@ -167,7 +188,7 @@ class Lists:
         np.maximum.at(self.most, (term[:end], doc[:end] // BLOCK), self.weight[:end])
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_dense", "_known")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_dense",)}
 
     def _common_weights(self) -> np.ndarray:
         """Weights of the common terms, one column an example; made once per process."""
@@ -204,18 +225,15 @@ class Lists:
         are scored in single precision; what comes near the kth cosine is computed again in double.
         """
         rows, size = len(queries), self.most.shape[1] * BLOCK
-        row = np.repeat(np.arange(rows), [len(t) for t, _ in queries])
-        term = np.concatenate([t for t, _ in queries]).astype(np.int64)
-        weight = np.concatenate([w for _, w in queries])
-        dense = np.zeros((rows, self.common))
-        low = term < self.common
-        dense[row[low], term[low]] = weight[low]
-        row, term, weight = row[~low], term[~low], weight[~low]
-        lengths = self.start[term + 1] - self.start[term]
-        at = np.repeat(self.start[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        cells = np.repeat(row * size, lengths) + self.doc[at]
-        rare = np.bincount(cells, self.weight[at] * np.repeat(weight, lengths), rows * size).astype(float)
-        rare = rare.reshape(rows, size)
+        dense, rare = np.zeros((rows, self.common)), np.zeros((rows, size))
+        for i, (term, weight) in enumerate(queries):
+            low = term < self.common
+            dense[i, term[low]] = weight[low]
+            term, weight = term[~low], weight[~low]
+            lengths = self.start[term + 1] - self.start[term]
+            # One query at a time, so that the postings and their sums stay in the cache.
+            at = np.repeat(self.start[term] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            rare[i] = np.bincount(self.doc[at], self.weight[at] * np.repeat(weight, lengths), size)
         if skip is not None:
             rare[np.arange(rows), skip + np.arange(rows)] = -np.inf
         scores = rare.astype(np.float32)
@@ -311,13 +329,17 @@ class Index(Lists):
         scored = sorted((-value[i], t, i) for t, i in zip(terms, some.tolist()))
         return np.array(sorted(i for *_, i in scored[:TELLING]), np.int64)
 
-    def query(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Terms and weights of a text, and its telling terms with their counts."""
-        if "_known" not in self.__dict__:
-            self._known = Known(self.vocabulary)
-        terms, counts = np.unique(self._known.of(words_of(text)), return_counts=True)
-        told = self.telling[terms]
-        return *self.weigh(terms, counts), (told[told >= 0], counts[told >= 0])
+    def query(self, text: bytes | None) -> tuple:
+        return self.queries([text])[0]
+
+    def queries(self, texts: list[bytes | None]) -> list[tuple]:
+        """Terms and weights of each text, and its telling terms with their counts."""
+        out = []
+        for found in Known(self.vocabulary).of(texts):
+            terms, counts = np.unique(found, return_counts=True)
+            told = self.telling[terms]
+            out.append((*self.weigh(terms, counts), (told[told >= 0], counts[told >= 0])))
+        return out
 
     def _vote(self, near) -> float:
         """Share of toxic votes, less one half; 0 without neighbours."""
@@ -375,13 +397,15 @@ class Index(Lists):
     def scores(self, texts: list[bytes | None]) -> list[tuple[float, list[tuple[float, int]]]]:
         """Probability and neighbours of each text."""
         out = []
-        for i in range(0, len(texts), BATCH):
-            queries = [self.query(t) for t in texts[i : i + BATCH]]
-            near = self.nearest_of([q[:2] for q in queries])
-            telling = self.signal.nearest_of([self.signal.weigh(*q[2]) for q in queries])
-            for n, t, q in zip(near, telling, queries):
-                z = self.curve @ self._features(n, t, q[2][1].sum())
-                out.append((float(1 / (1 + math.exp(-min(max(z, -30), 30)))), n))
+        for run in runs(texts):
+            asked = self.queries(run)
+            for i in range(0, len(run), BATCH):
+                queries = asked[i : i + BATCH]
+                near = self.nearest_of([q[:2] for q in queries])
+                telling = self.signal.nearest_of([self.signal.weigh(*q[2]) for q in queries])
+                for n, t, q in zip(near, telling, queries):
+                    z = self.curve @ self._features(n, t, q[2][1].sum())
+                    out.append((float(1 / (1 + math.exp(-min(max(z, -30), 30)))), n))
         return out
 
 
@@ -393,10 +417,10 @@ def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[int, np
         known, total = Known(shared.value), 0
         holders = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            for blob in blobs(batch.column(0)):
-                # A set of numbers, so each term counts once a document.
-                found = set().union(*map(known.__getitem__, set(words_of(blob))))
-                holders[np.fromiter(found, np.int64, len(found))] += 1
+            for at in range(0, batch.num_rows, SLICE):
+                for run in runs(blobs(batch.column(0).slice(at, SLICE))):
+                    for found in known.of(run):
+                        holders[np.unique(found)] += 1  # each term once a document
             total += batch.num_rows
         found = np.flatnonzero(holders)
         term, n = np.append(found, -1), np.append(holders[found], total)

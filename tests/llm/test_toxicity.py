@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from hoardlens.llm import toxicity
 
@@ -65,3 +67,23 @@ def test_ids_of_any_type_and_the_bound_of_the_examples(spark, monkeypatch):
     assert found["evidence"][0]["doc_id"].startswith("d") and scored.count() == 62
     monkeypatch.setattr(toxicity, "EXAMPLE_TERMS", 120)
     assert 5 <= len(toxicity.fit(docs, labels).index.ids) <= 25
+
+
+def test_words_of_many_texts_are_looked_up_at_once_without_a_table_of_objects(monkeypatch):
+    vocabulary = pa.array([b"insult", b"insu*", b"insul*", b"\xc3\xa9t\xc3\xa9", b"ab"], pa.binary())
+    known = toxicity.Known(vocabulary)
+    texts = [b"Insult ab insults", None, b"", "été abc insu".encode(), b"ab " * 500]
+    expected = [
+        sorted(i for w in toxicity.words_of(t) for i, v in enumerate(vocabulary.to_pylist()) if v in toxicity.terms_of(w))
+        for t in texts
+    ]
+    assert [sorted(f.tolist()) for f in known.of(texts)] == expected
+    monkeypatch.setattr(toxicity, "RUN_BYTES", 20)
+    assert [len(r) for r in toxicity.runs(texts)] == [3, 1, 1]
+
+    vocabulary = pa.array([b"word%d" % i for i in range(300_000)], pa.binary())
+    tracemalloc.start()
+    toxicity.Known(vocabulary).of([b"word7 nothing"] * 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 << 20

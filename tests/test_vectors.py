@@ -1,5 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from hoardlens.operators import approximate, blocks, cluster_tables, similarity
@@ -322,3 +325,24 @@ def test_cluster_tables(spark):
     assert [tuple(r) for r in top] == [(0, 2, 0.5, "/c/1")]
     folder = labels_df.select("id", cluster_tables.cluster_folder(F.col("cluster_id")).alias("f"))
     assert {r["f"] for r in folder.collect()} == {"cluster_000", "cluster_001", "noise"}
+
+
+@pytest.mark.parametrize(("eps", "buckets"), [(0.6, 2.0), (0.05, 0.4)])
+def test_approximate_neighbours_are_the_pairs_that_share_a_bucket_and_are_compared_as_matrices(spark, monkeypatch, eps, buckets):
+    monkeypatch.setattr(approximate, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    rows = np.concatenate([c + rng.normal(size=(4, 8)) * 0.25 for c in centres])
+    points, _ = approximate.fold_copies(frame(spark, rng.permutation(len(rows)), rows))
+    pairs = approximate.approx_neighbours(points, eps, tables=5, buckets=buckets)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "UDF(struct(id" not in plan
+
+    radius = float(np.sqrt(2.0 * eps))
+    units = points.withColumn("unit", array_to_vector("vec")).collect()
+    units = spark.createDataFrame([(r["id"], Vectors.dense(r["unit"].toArray() / np.linalg.norm(r["unit"]))) for r in units], ["id", "unit"])
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=buckets * radius, numHashTables=5, seed=7)
+    joined = lsh.fit(units).approxSimilarityJoin(units, units, radius * (1 + 1e-9), "chord")
+    expected = {(r[0], r[1]) for r in joined.selectExpr("datasetA.id", "datasetB.id").collect() if r[0] < r[1]}
+    found = [(r["a"], r["b"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and len(found) > 20

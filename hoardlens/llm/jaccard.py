@@ -29,6 +29,7 @@ SHARED_TOKEN = 0.02  # assumed chance that another set holds a given token: weig
 KEY_COLLISION = 2000.0  # assumed sets of a band to collide with
 TILE = 1500  # members of one key compared in one task
 HUB_ROWS = 200  # pairs of one hub that share a copy of its set
+TILE_TOKENS = 1 << 20  # of whole sets compared in one task, per side
 SIZES_PER_BAND = 1.25
 
 _U = np.uint64
@@ -284,34 +285,86 @@ def _set_rows(words: int, wanted: Sieve):
     return run
 
 
-def _verified(texts: DataFrame, facts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The pairs ``x, y`` of set fingerprints that link, by the size of the intersection of whole sets.
+def _verified(texts: DataFrame, facts: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """Links ``x, y`` among the members of each tile, by the sizes of intersections of whole sets.
 
-    Only sets of these pairs are built again, each from one text that has it. The set of a hub with many pairs is
-    copied once per HUB_ROWS pairs, so no key holds all of them.
+    ``members`` has the tile (``name, i, j``), the ``block`` of the member, its set ``fp`` and the ``root`` of the
+    component it is in. Only sets of members are built again, each from one text that has it, and a tile returns
+    links that join components, fewer than it has members.
     """
-    ends = pairs.select(F.col("x").alias("fp")).union(pairs.select(F.col("y").alias("fp"))).distinct()
+    ends = members.select("fp").distinct()
     sources = facts.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_key").alias("text_key"))
     kept = texts.mapInArrow(_set_rows(words, Sieve(sources, "text_key")), "fp bigint, items array<bigint>")
     sets = kept.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items"))
-    sets = materialize(sets, "sets")
-    hubs = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    hubs = hubs.withColumn("salts", F.ceil(F.col("n") / HUB_ROWS).cast("bigint"))
-    salted = join_keyed(pairs, hubs, "y", "n", "x").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
-    hub_sets = (
-        sets.join(hubs, sets["fp"] == hubs["y"])
-        .select("y", F.col("items").alias("items_y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    )
-    both = salted.join(sets.select(F.col("fp").alias("x"), F.col("items").alias("items_x")), "x").join(
-        hub_sets, ["y", "salt"]
-    )
-    shared = F.size(F.array_intersect("items_x", "items_y"))
-    union = F.size("items_x") + F.size("items_y") - shared
-    return both.where(100 * shared >= 80 * union).select("x", "y")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(sets, "fp").select("name", "i", "j", "block", "fp", "root", "items")
+    dealt = dealt.repartition(parts, "name", "i", "j").sortWithinPartitions("name", "i", "j")
+    return dealt.mapInArrow(_cross_links, "x bigint, y bigint").distinct()
+
+
+def _cross_links(batches):
+    """Links of whole sets between members of the two blocks of a tile, as far as they join components."""
+    key, members = None, []
+
+    def links():
+        names = np.array([m[1] for m in members])
+        label = np.unique(np.array([m[2] for m in members]), return_inverse=True)[1]
+        sizes = np.array([len(m[3]) for m in members])
+        codes = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)[1]
+        begins = np.cumsum(sizes) - sizes
+        blocks = np.array([m[0] for m in members])
+        left, right = np.flatnonzero(blocks == key[1]), np.flatnonzero(blocks == key[2])
+        # The sets of the right side in one row, so that all intersections with a set are one sum.
+        flat = np.concatenate([codes[begins[r] : begins[r] + sizes[r]] for r in right]) if len(right) else codes[:0]
+        cuts, mark = np.cumsum(sizes[right]) - sizes[right], np.zeros(int(codes.max()) + 1, bool)
+        out = []
+        for m in left:
+            n, other = sizes[m], label[right] != label[m]
+            if not (other & (10 * np.minimum(sizes[right], n) >= 8 * np.maximum(sizes[right], n))).any():
+                continue
+            own = codes[begins[m] : begins[m] + n]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], cuts, dtype=np.int64)
+            mark[own] = False
+            for r in right[other & (100 * shared >= 80 * (sizes[right] + n - shared))]:
+                if label[r] != label[m]:
+                    out.append((min(names[m], names[r]), max(names[m], names[r])))
+                    label[label == label[r]] = label[m]
+        return _pairs(out)
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("name", "i", "j", "block", "fp", "root")]
+        items = batch.column("items")
+        flat, edges = items.values.to_numpy(), items.offsets.to_numpy()
+        for (name, i, j, *member), a, b in zip(zip(*columns), edges, edges[1:]):
+            if (name, i, j) != key:
+                if len(members) > 1:
+                    yield links()
+                key, members = (name, i, j), []
+            members.append((*member, flat[a:b]))
+    if len(members) > 1:
+        yield links()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["x", "y"])
+
+
+def _around_hubs(pairs: DataFrame) -> DataFrame:
+    """Tiles of pairs ``x, y, n_x`` around their hubs ``y``: the hub is copied once per HUB_ROWS pairs or TILE_TOKENS tokens."""
+    hubs = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum("n_x").alias("tokens"))
+    salts = F.greatest(F.ceil(F.col("n") / HUB_ROWS), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
+    hubs = hubs.withColumn("salts", salts).drop("tokens")
+    near = join_keyed(pairs.select("x", "y"), hubs, "y", "n", "x")
+    near = near.withColumn("block", 1 + F.pmod(F.xxhash64("x"), F.col("salts")).cast("int"))
+    near = near.select(F.col("y").alias("name"), F.col("block").alias("j"), "block", F.col("x").alias("fp"))
+    hub = hubs.select(F.col("y").alias("name"), F.explode(F.sequence(F.lit(1), F.col("salts"))).alias("j"), F.lit(0).alias("block"), F.col("y").alias("fp"))
+    return near.unionByName(hub).select("name", F.lit(0).alias("i"), "j", "block", "fp", F.col("fp").alias("root"))
 
 
 def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sketches leave a link possible."""
+    """Pairs whose sketches leave a link possible, with the size of ``x``."""
     side = lambda end: nodes.select(
         F.col("fp").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")
     )
@@ -325,21 +378,28 @@ def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 _sketches_pass(a, b, i, j)
                 for a, b, i, j in zip(columns["s_x"], columns["s_y"], columns["n_x"], columns["n_y"])
             ]
-            yield batch.select(["x", "y"]).filter(pa.array(passed, pa.bool_()))
+            yield batch.select(["x", "y", "n_x"]).filter(pa.array(passed, pa.bool_()))
 
-    return both.select("x", "y", "n_x", "n_y", "s_x", "s_y").mapInArrow(run, "x bigint, y bigint")
+    return both.select("x", "y", "n_x", "n_y", "s_x", "s_y").mapInArrow(run, "x bigint, y bigint, n_x bigint")
 
 
 def _cross_pairs(batches):
-    """Pairs of members of one key that lie in different components and may link.
+    """Members of one key that lie in different components and may link, as the edges of a forest.
 
     Rows come sorted by key and tile. Members of the tile's first block meet those of its second;
-    sketches are compared as matrix rows, level by level of their length.
+    sketches are compared as matrix rows, level by level of their length. Sets that may link, or
+    hang together by such, are in one tree, so a tile returns fewer edges than it has members.
     """
     key, members = None, []
 
     def pairs():
-        out = []
+        out, tree = [], {}
+
+        def top(name):
+            while tree.setdefault(name, name) != name:
+                tree[name] = name = tree[tree[name]]
+            return name
+
         left = [m for m in members if m[0] == key[1]]
         right = left if key[1] == key[2] else [m for m in members if m[0] == key[2]]
         for size in sorted({len(m[4]) for m in right}):
@@ -361,10 +421,12 @@ def _cross_pairs(batches):
                 places = np.flatnonzero(fits)
                 if len(places):
                     bits = np.bitwise_count(other[places] ^ own).sum(axis=1, dtype=np.int64)
-                    for p in places[_few_enough(bits, sizes[places], n)]:
-                        out.append((min(name, names[p]), max(name, names[p])))
-        found = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "y"])
+                    for other_name in names[places[_few_enough(bits, sizes[places], n)]].tolist():
+                        x, y = top(name), top(other_name)
+                        if x != y:
+                            tree[max(x, y)] = min(x, y)
+                            out.append((min(name, other_name), max(name, other_name)))
+        return _pairs(out)
 
     for batch in batches:
         columns = [batch.column(n).to_pylist() for n in ("sig", "i", "j", "block", "fp", "root", "n_shingles", "sketch")]
@@ -379,7 +441,11 @@ def _cross_pairs(batches):
 
 
 def _rest(groups: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Candidate pairs, not yet in one component, of keys whose members lie in several components."""
+    """Tiles of the sets that may still link to another component, over keys whose members lie in several.
+
+    Sets that hang together by possible links are compared with each other, whatever keys they
+    share, so each set is sent once and not once for each key or pair.
+    """
     roots = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     placed = groups.select("sig", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     placed = placed.withColumn("root", F.coalesce("root", "fp"))
@@ -401,7 +467,19 @@ def _rest(groups: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(_cross_pairs, "x bigint, y bigint").distinct()
+    forest = materialize(dealt.mapInArrow(_cross_pairs, "x bigint, y bigint").distinct(), "forest")
+    trees = connected_components(forest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    sized = trees.withColumnRenamed("root", "name").join(nodes.select(F.col("fp").alias("node"), "n_shingles"), "node")
+    sizes = sized.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int")
+    sizes = sizes.withColumn("blocks", blocks).drop("tokens")
+    dealt = join_keyed(sized.select(F.col("node").alias("fp"), "name"), sizes, "name", "n", "fp")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(
+        "name", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "root"
+    )
 
 
 def jaccard_components(
@@ -450,7 +528,8 @@ def jaccard_components(
     stars = groups.where("fp != hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = stars.groupBy("fp").agg(F.max(F.struct("n", "hub"))["hub"].alias("hub"))
     first = _sketched(best.select(F.col("fp").alias("x"), F.col("hub").alias("y")), nodes)
-    links = materialize(_verified(texts, meta, materialize(first, "pairs"), words), "links")
+    hubs = materialize(_around_hubs(materialize(first, "pairs")), "stars")
+    links = materialize(_verified(texts, meta, hubs, words), "links")
     rest = materialize(_rest(groups, nodes, links), "rest")
     if not rest.isEmpty():
         links = materialize(links.union(_verified(texts, meta, rest, words)), "links")

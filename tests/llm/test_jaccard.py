@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -108,3 +109,20 @@ def test_empty_table_and_null_ids(spark):
     assert jaccard.jaccard_components(empty)[0].count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (None, None)], "doc_id bigint, text string")
     assert set(classes(docs)) == {(None, 2, 4), (4, 2, 4), (None, 0, None)}
+
+
+def test_rows_of_a_group_grow_with_its_members_and_not_with_its_pairs():
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 9).astype(np.uint64)])) for _ in range(150)]
+    rows = [(7, 0, 0, 0, i, i, len(s), jaccard.sketch(s)) for i, s in enumerate(sets)]
+    names = ["sig", "i", "j", "block", "fp", "root", "n_shingles", "sketch"]
+    batch = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
+    assert sum(b.num_rows for b in jaccard._cross_pairs(iter([batch]))) == len(sets) - 1
+    items = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([v] * len(sets), k) for v, k in ((7, pa.int64()), (0, pa.int32()), (0, pa.int32()), (0, pa.int32()))]
+        + [pa.array(range(len(sets)), pa.int64())] * 2 + [items],
+        ["name", "i", "j", "block", "fp", "root", "items"],
+    )
+    assert sum(b.num_rows for b in jaccard._cross_links(iter([whole]))) == len(sets) - 1

@@ -21,6 +21,7 @@ from hoardlens.operators.blocks import (
 )
 
 CHUNK_ROWS = 32_768  # rows shuffled to a chunk of queries at once, compared in tiles of BLOCK_ROWS
+NEAR = 1e-11  # products this near to the kth best may round to it
 DIGITS = 12  # similarities that agree to this many digits are ties, ordered by id
 
 
@@ -73,6 +74,36 @@ def _scored(query_ids, queries, ids, rows, top_k, id_types) -> pa.Table:
     )
 
 
+def _close(query_ids, queries, ids, rows, top_k, id_types, floor) -> pa.Table:
+    """``_scored`` without the rows below ``floor``, the kth best of earlier tiles per query, which it raises.
+
+    Only what comes near the floor is rounded and ordered. A tile with vectors without a length
+    goes the plain way.
+    """
+    own, other = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
+    if not (np.isfinite(own).all() and np.isfinite(other).all() and (own > 0).all() and (other > 0).all()):
+        return _scored(query_ids, queries, ids, rows, top_k, id_types)
+    scores = (queries / own[:, None]) @ (rows / other[:, None]).T
+    if len(ids) > top_k and np.isinf(floor).any():
+        np.maximum(floor, np.partition(scores, -top_k, axis=1)[:, -top_k], out=floor)
+    which, at = np.nonzero(scores >= (floor - NEAR)[:, None])
+    score = scores[which, at].round(DIGITS)
+    order = np.lexsort((ids[at], -score, which))
+    which, at, score = which[order], at[order], score[order]
+    begins = np.searchsorted(which, np.arange(len(queries)))
+    place = np.arange(len(which)) - begins[which]
+    full = which[place == top_k - 1]
+    np.maximum.at(floor, full, score[place == top_k - 1])
+    kept = place < top_k
+    return pa.table(
+        {
+            "query_id": pa.array(query_ids[which[kept]], id_types[0]),
+            "id": pa.array(ids[at[kept]], id_types[1]),
+            "similarity": pa.array(score[kept]),
+        }
+    )
+
+
 def similar_batch(
     df: DataFrame,
     queries: DataFrame,
@@ -123,8 +154,9 @@ def _blockwise(
         query_ids, ids = values(table, "query_id")[is_query], values(table, "id")[~is_query]
         data = both[~is_query]
         # Tiles bound the matrix of products; the best of all tiles leave the task.
+        floor = np.full(int(is_query.sum()), -np.inf)
         tiles = [
-            _scored(query_ids, both[is_query], ids[at : at + BLOCK_ROWS], data[at : at + BLOCK_ROWS], top_k, types)
+            _close(query_ids, both[is_query], ids[at : at + BLOCK_ROWS], data[at : at + BLOCK_ROWS], top_k, types, floor)
             for at in range(0, len(ids), BLOCK_ROWS)
         ]
         if not tiles:

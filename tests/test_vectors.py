@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -346,3 +347,17 @@ def test_approximate_neighbours_are_the_pairs_that_share_a_bucket_and_are_compar
     expected = {(r[0], r[1]) for r in joined.selectExpr("datasetA.id", "datasetB.id").collect() if r[0] < r[1]}
     found = [(r["a"], r["b"]) for r in pairs.collect()]
     assert len(found) == len(set(found)) and set(found) == expected and len(found) > 20
+
+
+def test_tiles_of_a_search_keep_only_what_reaches_the_floor():
+    rng = np.random.default_rng(8)
+    queries, rows = rng.normal(size=(30, 8)), np.repeat(rng.normal(size=(150, 8)), 2, axis=0)
+    ids, types, floor = rng.permutation(300), (pa.int64(), pa.int64()), np.full(30, -np.inf)
+    ask = lambda at, size, floor: similarity._close(
+        np.arange(30), queries, ids[at : at + size], rows[at : at + size], 5, types, floor
+    )
+    tiles = [ask(at, 100, floor) for at in (0, 100, 200)]
+    assert tiles[0].num_rows == 150 and sum(t.num_rows for t in tiles) < 450
+    best = pa.concat_tables(tiles).to_pandas().sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+    plain = similarity._scored(np.arange(30), queries, ids, rows, 5, types).to_pandas()
+    assert best.groupby("query_id").head(5).reset_index(drop=True).equals(plain)

@@ -153,23 +153,27 @@ def _induce(text, smaller, lms_sorted, starts, ends):
 def _sort_reduced(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of the string of names, as far as ``depth`` names decide.
 
-    Each round halves what is left to compare: the rank of a suffix and that of the one behind
-    its sorted part make the next rank.
+    Each round doubles the names that are compared: the rank of a suffix and that of the one behind
+    its sorted part make the next rank. Only suffixes that share their rank are sorted again.
     """
-    rank, span = names.astype(np.int64), 1
+    order = np.argsort(names, kind="stable")
+    rank, span = np.empty(len(names), np.int64), 1
+    tied, key = np.arange(len(names)), names[order]
     while True:
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        if span >= depth or np.all(ordered[1:] != ordered[:-1]):
+        # The rank of a suffix is the place of the first one that is equal so far.
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[tied]] = np.maximum.accumulate(np.where(first, tied, 0))
+        tied = tied[~(first & np.append(first[1:], True))]
+        if span >= depth or len(tied) == 0:
             return order
-        behind = np.zeros(len(rank), np.int64)
-        behind[: max(len(rank) - span, 0)] = rank[span:] + 1
-        pair = rank * (len(rank) + 2) + behind
-        order = np.argsort(pair, kind="stable")
-        ordered = pair[order]
-        fresh = np.empty(len(rank), np.int64)
-        fresh[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-        rank, span = fresh, 2 * span
+        found = order[tied]
+        behind = np.zeros(len(found), np.int64)
+        inside = found + span < len(names)
+        behind[inside] = rank[found[inside] + span] + 1
+        key = rank[found] * (len(names) + 2) + behind
+        sub = np.argsort(key, kind="stable")
+        key, order[tied] = key[sub], found[sub]
+        span *= 2
 
 
 def suffix_array(text: np.ndarray, length: int = LENGTH) -> np.ndarray:

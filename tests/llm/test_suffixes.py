@@ -113,3 +113,16 @@ def test_memory_of_a_shard_is_bounded():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_only_tied_suffixes_are_sorted_again(monkeypatch):
+    """A round of doubling sorts what is still equal, not the whole string of names."""
+    names = np.random.default_rng(6).permutation(4000)
+    names[1000:1020] = names[2000:2020]
+    sort, sizes = np.argsort, []
+    monkeypatch.setattr(np, "argsort", lambda a, **k: sizes.append(len(a)) or sort(a, **k))
+    order = suffixes._sort_reduced(names, 26)
+    monkeypatch.undo()
+    assert sizes[0] == 4000 and 0 < sum(sizes[1:]) <= 200
+    text = names.tolist()
+    assert order.tolist() == sorted(range(4000), key=lambda i: text[i : i + 64])

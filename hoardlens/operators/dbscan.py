@@ -33,6 +33,7 @@ from hoardlens.workspace import materialize
 CELL_ROWS = 1024
 OPEN_SHARE = 32  # a full product is cheaper when more than one pair in so many is left open
 OPEN_ROWS = 1 << 14  # open pairs that are multiplied at once
+VISIT_ROWS = 1 << 13  # rows of a visiting block that are held at once
 ROUNDING = 1e-12  # distances that differ from eps by less than this count as within
 
 
@@ -123,9 +124,12 @@ class Block:
     """Rows of one block as unit vectors, cut into tiles of one kind and of bounded size."""
 
     def __init__(self, table: pa.Table, metric: Metric):
-        self.table = table
-        units = unit(vectors(table, "vec", metric.dim))
-        self.units = units if metric.axes is None else units @ metric.axes
+        self.table = table.drop_columns(["vec"])
+        # Piece by piece, so that no second copy of the vectors is made.
+        self.units = np.empty((table.num_rows, metric.dim))
+        for start in range(0, table.num_rows, blocks.BLOCK_ROWS):
+            rows = unit(vectors(table.slice(start, blocks.BLOCK_ROWS), "vec", metric.dim))
+            self.units[start : start + len(rows)] = rows if metric.axes is None else rows @ metric.axes
         kind = values(table, "tile")
         edges = np.flatnonzero(np.diff(kind)) + 1
         starts = [
@@ -137,8 +141,8 @@ class Block:
         sizes = np.diff([*starts, len(kind)])
         self.kind = kind[starts]
         self.centre = np.add.reduceat(self.units, starts) / sizes[:, None]
-        gaps = np.linalg.norm(self.units - np.repeat(self.centre, sizes, axis=0), axis=1)
-        self.reach = np.maximum.reduceat(gaps, starts)
+        tiles = (self.units[self.rows(t)] - self.centre[t] for t in range(len(starts)))
+        self.reach = np.array([np.linalg.norm(t, axis=1).max() for t in tiles])
 
     def rows(self, tile: int) -> slice:
         return slice(self.starts[tile], self.ends[tile])
@@ -154,7 +158,7 @@ def _tile_pairs(own: Block, other: Block, metric: Metric) -> Iterator[tuple[int,
 
 
 def _blocks(batches, metric: Metric) -> Iterator[tuple[bool, Block]]:
-    """Blocks of a sorted stream, each with whether it visits; only one is held back."""
+    """Blocks of a sorted stream, each with whether it visits; visitors come in pieces of bounded size."""
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
@@ -167,7 +171,14 @@ def _blocks(batches, metric: Metric) -> Iterator[tuple[bool, Block]]:
                 yield bool(key[1]), Block(pa.Table.from_batches(held), metric)
                 held = []
             key = tuple(keys[start])
-            held.append(batch.slice(start, end - start))
+            while start < end:
+                room = VISIT_ROWS - sum(len(b) for b in held)
+                stop = min(end, start + room) if key[1] else end
+                held.append(batch.slice(start, stop - start))
+                if key[1] and stop - start == room:
+                    yield True, Block(pa.Table.from_batches(held), metric)
+                    held = []
+                start = stop
     if held:
         yield bool(key[1]), Block(pa.Table.from_batches(held), metric)
 

@@ -361,3 +361,27 @@ def test_tiles_of_a_search_keep_only_what_reaches_the_floor():
     best = pa.concat_tables(tiles).to_pandas().sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
     plain = similarity._scored(np.arange(30), queries, ids, rows, 5, types).to_pandas()
     assert best.groupby("query_id").head(5).reset_index(drop=True).equals(plain)
+
+
+def test_visiting_blocks_come_in_pieces(spark, monkeypatch):
+    """A task holds its own block whole, and of a visiting one a bounded number of rows."""
+    from hoardlens.operators import dbscan as module
+
+    monkeypatch.setattr(module, "VISIT_ROWS", 10)
+    rows = np.random.default_rng(4).normal(size=(70, 3))
+    table = pa.table({
+        "target": pa.array([0] * 70, pa.int32()), "visiting": [False] * 20 + [True] * 50,
+        "block": pa.array([0] * 20 + [1] * 23 + [2] * 27, pa.int32()), "tile": [0] * 70,
+        "id": list(range(70)), "vec": list(rows),
+    })
+    metric = Metric(3, 0.5, 0.9, None, 3, 8)
+    found = list(module._blocks(table.to_batches(max_chunksize=9), metric))
+    assert [(v, len(b.units)) for v, b in found] == [(False, 20)] + [(True, n) for n in (10, 10, 3, 10, 10, 7)]
+    assert all("vec" not in b.table.column_names for _, b in found)
+    assert np.concatenate([b.units for _, b in found]) == pytest.approx(module.unit(rows))
+
+    monkeypatch.setattr(blocks, "LEAST_BLOCK", 8)
+    ids, points = np.arange(120), np.random.default_rng(5).normal(size=(120, 4))
+    got = {r["id"]: r["cluster_id"] for r in dbscan(frame(spark, ids, points), 0.1, 3, cell_rows=4).collect()}
+    monkeypatch.setattr(module, "VISIT_ROWS", 1 << 13)
+    assert got == {r["id"]: r["cluster_id"] for r in dbscan(frame(spark, ids, points), 0.1, 3, cell_rows=4).collect()}

@@ -27,6 +27,7 @@ from hoardlens.operators.cells import BLOCK_BYTES
 from hoardlens.operators.skew import join_keyed
 from hoardlens.workspace import materialize
 
+TILE_ROWS = 128  # points compared with a piece of members at once: their products stay in the cache
 SLACK = 1e-6  # rounding allowance of the bounds, on the safe side
 METRICS = ("euclidean", "cosine")
 
@@ -36,6 +37,15 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _left(rows: np.ndarray) -> np.ndarray:
+    """Rows whose products with those of ``_right`` are squared distances."""
+    return np.column_stack([-2.0 * rows, (rows * rows).sum(1), np.ones(len(rows))])
+
+
+def _right(rows: np.ndarray) -> np.ndarray:
+    return np.column_stack([rows, np.ones(len(rows)), (rows * rows).sum(1)])
+
+
 def _units(rows: np.ndarray) -> np.ndarray:
     """Unit vectors; a vector without a length stays zero, at distance 1 from all others."""
     length = np.linalg.norm(rows, axis=1, keepdims=True)
@@ -231,6 +241,7 @@ def _euclidean_scores(dim: int):
     def run(batches):
         points = wanted = None
         label, total, count = 0, None, 0
+        room = np.empty(TILE_ROWS * blocks.BLOCK_ROWS)  # for the distances of a tile
 
         def settle():
             if wanted is None or not count:
@@ -259,15 +270,18 @@ def _euclidean_scores(dim: int):
                     wanted[tile] |= _distances(points.rows[tile], centre)[:, 0] <= points.bound[tile] + SLACK
                 total, count = np.zeros(len(wanted)), int(values(table, "n")[0])
             else:
-                members, at_home = vectors(table, "vec", dim), values(table, "block") == target
-                picked = np.flatnonzero(wanted)
-                for start in range(0, len(picked), blocks.BLOCK_ROWS):
-                    at = picked[start : start + blocks.BLOCK_ROWS]
-                    gaps = _distances(points.rows[at], members)
-                    if at_home.any():
-                        mine = points.ids.take(pa.array(at)).to_numpy(zero_copy_only=False)
-                        _, x, y = np.intersect1d(mine, values(table, "id"), return_indices=True)
-                        gaps[x, y] = 0.0
+                members, picked = _right(vectors(table, "vec", dim)).T, np.flatnonzero(wanted)
+                x = y = picked[:0]
+                if (values(table, "block") == target).any():
+                    mine = points.ids.take(pa.array(picked)).to_numpy(zero_copy_only=False)
+                    _, x, y = np.intersect1d(mine, values(table, "id"), return_indices=True)
+                for start in range(0, len(picked), TILE_ROWS):
+                    at = picked[start : start + TILE_ROWS]
+                    gaps = room[: len(at) * members.shape[1]].reshape(len(at), -1)
+                    np.matmul(_left(points.rows[at]), members, out=gaps)
+                    np.sqrt(np.maximum(gaps, 0.0, out=gaps), out=gaps)
+                    here = (x >= start) & (x < start + TILE_ROWS)
+                    gaps[x[here] - start, y[here]] = 0.0
                     total[at] += gaps.sum(axis=1)
         if points is not None:
             settle()

@@ -363,6 +363,19 @@ def test_tiles_of_a_search_keep_only_what_reaches_the_floor():
     assert best.groupby("query_id").head(5).reset_index(drop=True).equals(plain)
 
 
+def test_silhouette_compares_small_tiles_in_one_product(spark, monkeypatch):
+    """Squared distances come from one product a tile, small enough to stay in the cache."""
+    from hoardlens.operators import silhouette as module
+
+    x, y = np.random.default_rng(3).normal(size=(2, 40, 5))
+    squares = ((x[:, None] - y[None]) ** 2).sum(2)
+    assert module._left(x) @ module._right(y).T == pytest.approx(squares, abs=1e-12)
+    monkeypatch.setattr(module, "TILE_ROWS", 7)
+    rows, label = np.concatenate([x, y, y[:3]]), np.arange(83) % 4
+    whole = silhouette(labelled(spark, rows, label)).first()[0]
+    assert whole == pytest.approx(brute_silhouette(rows, label), abs=1e-9)
+
+
 def test_visiting_blocks_come_in_pieces(spark, monkeypatch):
     """A task holds its own block whole, and of a visiting one a bounded number of rows."""
     from hoardlens.operators import dbscan as module

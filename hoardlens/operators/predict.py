@@ -24,6 +24,21 @@ from hoardlens.workspace import materialize
 Predict = Callable[[pd.DataFrame], Sequence[list[dict]]]
 Model = Callable[[], Predict]
 
+MODEL_BYTES = 8 << 20  # pixels given to a model at once; a larger image goes alone
+
+
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in runs of about MODEL_BYTES."""
+    start = size = 0
+    for at, data in enumerate(batch["data"]):
+        own = len(data) if isinstance(data, (bytes, bytearray)) else 0
+        if at > start and size + own > MODEL_BYTES:
+            yield batch.iloc[start:at]
+            start, size = at, 0
+        size += own
+    yield batch.iloc[start:]
+
+
 def apply_model(image: Column, path: Column, model: Model, item: T.StructType) -> Column:
     """``struct<found: array<item>, error: string>`` for every image; NULLs for a NULL image."""
     fields = item.fieldNames()
@@ -44,7 +59,7 @@ def apply_model(image: Column, path: Column, model: Model, item: T.StructType) -
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             present = batch[batch["given"]].drop(columns="given")
             # Rows without an image made these columns floating-point numbers.
             present = present.astype({n: "int64" for n in ("height", "width", "nChannels", "mode")})

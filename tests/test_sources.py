@@ -4,6 +4,7 @@ import os
 import struct
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -589,3 +590,12 @@ def test_results_are_replaced_together_or_not_at_all(spark, tmp_path, monkeypatc
     for n in (3, 4):
         store.replace_clusters(label(n))
     assert store.summary().count() == 4 and len(store._versions()) == 2
+
+
+def test_models_get_bounded_pieces(monkeypatch):
+    """A model is given runs of images of bounded size, whatever the size of Spark's batches."""
+    monkeypatch.setattr(predict, "MODEL_BYTES", 30)
+    data = [b"x" * 10, None, b"x" * 20, b"x" * 99, b"x" * 15, b"x" * 15, b"x"]
+    batch = pd.DataFrame({"data": data})
+    assert [p.index.tolist() for p in predict._pieces(batch)] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [len(p) for p in predict._pieces(batch.iloc[:0])] == [0]

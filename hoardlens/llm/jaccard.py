@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hoardlens.llm.frames import Sieve, append_columns, blobs
+from hoardlens.llm.frames import Sieve, blobs
 from hoardlens.operators.components import connected_components
 from hoardlens.operators.skew import join_keyed
 from hoardlens.workspace import materialize
@@ -25,6 +25,7 @@ from hoardlens.workspace import materialize
 WORDS = 5
 SEEN = 500_000  # set fingerprints a task remembers, so that copies are sent once
 KNOWN_WORDS = 500_000
+SLICE_ROWS = 1_000  # texts whose keys or sets a task holds at once
 SHARED_TOKEN = 0.02  # assumed chance that another set holds a given token: weighs short keys
 KEY_COLLISION = 2000.0  # assumed sets of a band to collide with
 TILE = 1500  # members of one key compared in one task
@@ -220,30 +221,43 @@ def _sketches_pass(a: bytes, b: bytes, size_a: int, size_b: int) -> bool:
 
 
 def _facts(words: int):
-    """Size, name, sketch and keys of each set; keys once per set and task."""
+    """Rows ``id, text_key`` with size, name, sketch and keys of each set; keys once per set and task.
 
-    def make():
-        known, seen, none = _Words(), _Seen(), np.empty(0, _U)
+    A batch is taken in slices, and the text does not come back, so a task holds the keys of
+    SLICE_ROWS texts.
+    """
+    fields = ["doc_id", "text_key", "n_shingles", "fp", "sketch", "items"]
 
-        def step(columns):
+    def run(batches):
+        known, seen, none = _Words(), _Seen(), np.empty(0, _U)
+        for part in _slices(batches):
             sizes, names, sketches, keys = [], [], [], []
-            for text in blobs(columns[0]):
+            for text in blobs(part.column("text")):
                 tokens = shingle_hashes(text, known, words)
                 name = fingerprint(tokens) if len(tokens) else None
                 sizes.append(len(tokens))
                 names.append(name)
                 sketches.append(sketch(tokens) if len(tokens) else None)
                 keys.append(none if name is None or seen.again(name) else set_keys(tokens))
-            return [
-                pa.array(sizes, pa.int64()),
-                pa.array(names, pa.int64()),
-                pa.array(sketches, pa.binary()),
-                _lists(keys, pa.int64()),
-            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    part.column("text_key"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(names, pa.int64()),
+                    pa.array(sketches, pa.binary()),
+                    _lists(keys, pa.int64()),
+                ],
+                fields,
+            )
+
+    return run
 
-        return step
 
-    return make
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
 
 
 class _Seen(set):
@@ -269,7 +283,7 @@ def _set_rows(words: int, wanted: Sieve):
 
     def run(batches):
         known, seen = _Words(), _Seen()
-        for batch in batches:
+        for batch in _slices(batches):
             names, rows = [], []
             passed = batch.filter(pa.array(wanted.passes(batch.column(1).to_numpy()), pa.bool_()))
             for text in blobs(passed.column(0)):
@@ -482,6 +496,29 @@ def _rest(groups: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _shared_groups(keys: DataFrame, parts: int) -> DataFrame:
+    """``sig, fp, n, keys``: the members of every group of two sets or more that share a key ``sig``.
+
+    Alike sets share many keys, so keys with the same members become one group, named by a hash of
+    these; ``n`` counts its members and ``keys`` its keys. Groups that took one name would be one
+    larger group, which loses no candidate.
+    """
+    by_key = Window.partitionBy("sig")
+    several = (
+        keys.repartition(parts, "sig")
+        .withColumn("first", F.min("fp").over(by_key))
+        .withColumn("last", F.max("fp").over(by_key))
+        .where("first < last")
+        .select("sig", "fp")
+        .distinct()  # a set is sent by each task that met it
+    )
+    named = several.withColumn("n", F.count(F.lit(1)).over(by_key)).withColumn(
+        "members", F.bit_xor(F.xxhash64("fp")).over(by_key)
+    )
+    groups = named.select(F.xxhash64("n", "members").alias("sig"), "fp", "n")
+    return groups.groupBy("sig", "fp").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("keys"))
+
+
 def jaccard_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS
 ) -> tuple[DataFrame, DataFrame]:
@@ -503,29 +540,21 @@ def jaccard_components(
     texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key"))
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     named = named.withColumn("text_key", F.xxhash64("text"))
-    fields = "n_shingles bigint, fp bigint, sketch binary, items array<bigint>"
-    meta = materialize(append_columns(named, ["text"], _facts(words), fields).drop("text"), "facts")
+    fields = "text_key bigint, n_shingles bigint, fp bigint, sketch binary, items array<bigint>"
+    kind = named.schema["doc_id"].dataType.simpleString()
+    meta = materialize(named.mapInArrow(_facts(words), f"doc_id {kind}, {fields}"), "facts")
     nodes = meta.where("fp IS NOT NULL").select("fp", "n_shingles", "sketch").distinct()
 
-    by_key = Window.partitionBy("sig")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = (
-        meta.select(F.explode("items").alias("sig"), "fp")
-        .repartition(parts, "sig")
-        .withColumn("first", F.min("fp").over(by_key))
-        .withColumn("last", F.max("fp").over(by_key))
-        .withColumn("n", F.count(F.lit(1)).over(by_key))
-        .where("first < last")
-        .select("sig", "fp", "n")
-    )
-    shared = materialize(shared, "keys")
+    shared = materialize(_shared_groups(meta.select(F.explode("items").alias("sig"), "fp"), parts), "keys")
     # The set that meets most others is the likeliest to be near them all, as an original is to
     # its copies.
-    met = shared.groupBy("fp").agg(F.sum("n").alias("met"))
+    met = shared.groupBy("fp").agg(F.sum(F.col("n") * F.col("keys")).alias("met"))
+    by_key = Window.partitionBy("sig")
     hub = F.max(F.struct("met", "fp")).over(by_key)["fp"]
-    groups = shared.join(met, "fp").repartition(parts, "sig").withColumn("hub", hub).select("sig", "fp", "hub")
+    groups = shared.join(met, "fp").repartition(parts, "sig").withColumn("hub", hub).select("sig", "fp", "hub", "keys")
     groups = materialize(groups, "hubs")
-    stars = groups.where("fp != hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("n"))
+    stars = groups.where("fp != hub").groupBy("fp", "hub").agg(F.sum("keys").alias("n"))
     best = stars.groupBy("fp").agg(F.max(F.struct("n", "hub"))["hub"].alias("hub"))
     first = _sketched(best.select(F.col("fp").alias("x"), F.col("hub").alias("y")), nodes)
     hubs = materialize(_around_hubs(materialize(first, "pairs")), "stars")

@@ -126,3 +126,20 @@ def test_rows_of_a_group_grow_with_its_members_and_not_with_its_pairs():
         ["name", "i", "j", "block", "fp", "root", "items"],
     )
     assert sum(b.num_rows for b in jaccard._cross_links(iter([whole]))) == len(sets) - 1
+
+
+def test_keys_with_equal_members_make_one_group(spark):
+    rows = [(sig, fp) for sig in range(50) for fp in (3, 4, 4)] + [(60, fp) for fp in (3, 4, 5)] + [(70, 9), (70, 9)]
+    found = jaccard._shared_groups(spark.createDataFrame(rows, "sig bigint, fp bigint"), 8).collect()
+    assert sorted((r.fp, r.n, r["keys"]) for r in found) == [(3, 2, 50), (3, 3, 1), (4, 2, 50), (4, 3, 1), (5, 3, 1)]
+    assert len({r.sig for r in found}) == 2
+
+
+def test_facts_come_in_slices_and_without_the_text(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLICE_ROWS", 4)
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": list(range(10)), "text": [f"a b c d e {i}" for i in range(10)], "text_key": list(range(10))}
+    )
+    found = list(jaccard._facts(5)(iter([batch])))
+    assert [b.num_rows for b in found] == [4, 4, 2] and "text" not in found[0].schema.names
+    assert [v for b in found for v in b.column("n_shingles").to_pylist()] == [2] * 10

@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document holds, by suffix arrays over shards of text.
 
-Every 50-byte string holds a 16-byte anchor that its bytes alone decide. Strings around one
+Every 50-byte string holds a 24-byte anchor that its bytes alone decide. Strings around one
 anchor, of whatever document, meet in one shard; its suffix array, built by induced sorting, and
 the permuted common prefixes show which strings are equal.
 """
@@ -20,10 +20,11 @@ from hoardlens.operators.skew import join_keyed
 from hoardlens.workspace import materialize
 
 LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24  # bytes, a multiple of 8; shorter ones meet by chance, longer ones are more
 ANCHOR_BITS = 1 << 27  # 16 MB sieve
 COMMON = 5_000  # documents of an anchor from which its strings are dealt out one by one
 SEEN = 200_000  # texts a task remembers, so that copies are sent once
+RUN_BYTES = 1 << 16  # of texts whose anchors are sought at once
 SHARD_BYTES = 500_000  # text of one suffix array, some 100 bytes of memory each; an anchor is never cut
 
 _U = np.uint64
@@ -47,29 +48,44 @@ def words8(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor of every string of ``length`` bytes: the least hash of its 16-byte pieces, leftmost first.
+    """The anchors of one text, see ``anchors_of_texts``."""
+    return anchors_of_texts(data, np.zeros(1, np.int64), np.array([len(data)]), length)[1:]
 
-    Strings that start side by side mostly share it. Returns, per run of starts with one anchor,
-    the anchor's place, its hash, the first and the last start.
+
+def anchors_of_texts(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int = LENGTH):
+    """Anchor of every string of ``length`` bytes: the least hash of its 24-byte pieces, leftmost first.
+
+    The texts stand one behind the other in ``data``; no string reaches over two of them. Strings
+    that start side by side mostly share their anchor. Returns, per run of starts with one anchor,
+    the text's number, the anchor's place in ``data``, its hash, the first and the last start.
     """
-    starts = len(data) - length + 1
-    if starts <= 0:
+    long = np.flatnonzero(sizes >= length)
+    if len(long) == 0:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty, empty
-    w = words8(data)
-    hashes = _mix(_mix(w[:-8]) + w[8:] * _U(0x9E3779B97F4A7C15))
+        return empty, empty, empty, empty, empty
+    mixes = _mix(words8(data))
+    count = len(data) - ANCHOR + 1
+    hashes = mixes[:count].copy()
+    for at in range(8, ANCHOR, 8):
+        hashes += mixes[at : at + count] * _U(0x9E3779B97F4A7C15 + 2 * at)
+    hashes = _mix(hashes)
     # Least of 2, 4, ... neighbours by half a hash and the place, so the left one of equals.
-    least = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=_U)
+    least = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(count, dtype=_U)
     span, pieces = 1, length - ANCHOR + 1
     while span < pieces:
         step = min(span, pieces - span)
         least = np.minimum(least[step:], least[: len(least) - step])
         span += step
-    cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [starts]]) - 1
+    heads, tails = begins[long], begins[long] + sizes[long] - length
+    edge = np.zeros(len(least) + 1, np.int8)
+    edge[heads], edge[tails + 1] = 1, -1
+    fresh = np.concatenate([[True], least[1:] != least[:-1]])
+    fresh[heads] = True
+    first = np.flatnonzero(fresh & (np.cumsum(edge[:-1], dtype=np.int8) == 1))
+    owner = np.searchsorted(heads, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(least)) - 1, tails[owner])
     place = (least[first] & _U(0xFFFFFFFF)).astype(np.int64)
-    return place, hashes[place].view(np.int64), first, last
+    return long[owner], place, hashes[place].view(np.int64), first, last
 
 
 # Induced sorting.
@@ -297,32 +313,38 @@ def _rows(batches, copied: Sieve):
                 yield doc_id, key, np.frombuffer(texts[i].as_buffer(), np.uint8)
 
 
-class _Out:
-    """Collects rows of arrays and gives them out in batches."""
+def _runs(batches, copied: Sieve):
+    """Documents to look at in runs of about RUN_BYTES: ids, text keys, joined texts and their anchors."""
 
-    def __init__(self, names, kinds):
-        self.names, self.kinds, self.parts, self.size = names, kinds, [], 0
+    def run(rows):
+        ids, keys = (np.array(c, np.int64) for c in list(zip(*rows))[:2])
+        raw = b"".join([r[2] for r in rows])
+        sizes = np.array([len(r[2]) for r in rows])
+        begins = np.cumsum(sizes) - sizes
+        return ids, keys, raw, begins, anchors_of_texts(np.frombuffer(raw, np.uint8), begins, sizes)
+
+    rows, size = [], 0
+    for row in _rows(batches, copied):
+        if rows and size + len(row[2]) > RUN_BYTES:
+            yield run(rows)
+            rows, size = [], 0
+        rows.append(row)
+        size += len(row[2])
+    if rows:
+        yield run(rows)
 
-    def add(self, count, *columns):
-        self.parts.append(columns)
-        self.size += count
-        return self.size >= 50_000
 
-    def take(self):
-        columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*self.parts), self.kinds)]
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays(columns, self.names)
+def _batch(names, kinds, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _anchor_rows(copied: Sieve):
     def run(batches):
-        out = _Out(["anchor", "doc_id"], [pa.int64(), pa.int64()])
-        for doc_id, _, data in _rows(batches, copied):
-            names = np.unique(anchors(data)[1])
-            if len(names) and out.add(len(names), names, np.full(len(names), doc_id, np.int64)):
-                yield out.take()
-        if out.parts:
-            yield out.take()
+        for ids, _, _, _, (text, _, hashes, _, _) in _runs(batches, copied):
+            order = np.lexsort((hashes, text))
+            text, hashes = text[order], hashes[order]
+            fresh = np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))[: len(text)]
+            yield _batch(["anchor", "doc_id"], [pa.int64(), pa.int64()], [hashes[fresh], ids[text[fresh]]])
 
     return run
 
@@ -331,6 +353,12 @@ def _form(string: bytes) -> int:
     return xxhash.xxh3_64_intdigest(string) - (1 << 63)
 
 
+def _forms(raw: bytes, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of all strings that start in each range."""
+    spans = zip(first.tolist(), (last + LENGTH).tolist())
+    return np.array([_form(raw[a:b]) for a, b in spans], np.int64)
+
+
 def _occurrences(copied: Sieve, shared: Sieve, common: Sieve):
     """Places of shared anchors with a hash, the form, of all strings around them.
 
@@ -339,31 +367,22 @@ def _occurrences(copied: Sieve, shared: Sieve, common: Sieve):
     names = ["anchor", "doc_id", "text_key", "start", "size", "form", "alone"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
     def run(batches):
-        rows = []
-        for doc_id, key, data in _rows(batches, copied):
-            _, hashes, first, last = anchors(data)
-            wanted = np.flatnonzero(shared.passes(hashes)) if len(hashes) else hashes
-            if len(wanted) == 0:
-                continue
+        for ids, keys, raw, begins, (text, _, hashes, first, last) in _runs(batches, copied):
+            wanted = np.flatnonzero(shared.passes(hashes))
             single = common.passes(hashes[wanted])
-            raw = data.tobytes()
-            for name, a, b, alone in zip(
-                hashes[wanted].tolist(), first[wanted].tolist(), last[wanted].tolist(), single.tolist()
-            ):
-                if alone:
-                    strings = ((_form(raw[at : at + LENGTH]), at) for at in range(a, b + 1))
-                    rows += [(own, doc_id, key, at, 1, 0, True) for own, at in strings]
-                else:
-                    rows.append((name, doc_id, key, a, b - a + 1, _form(raw[a : b + LENGTH]), False))
-            if len(rows) >= 50_000:
-                yield batch_of(rows)
-                rows = []
-        if rows:
-            yield batch_of(rows)
+            at = wanted[~single]
+            own, start, size = text[at], first[at] - begins[text[at]], last[at] - first[at] + 1
+            forms = _forms(raw, first[at], last[at])
+            yield _batch(names, kinds, [hashes[at], ids[own], keys[own], start, size, forms, np.zeros(len(at), bool)])
+            if single.any():
+                at = wanted[single]
+                size = last[at] - first[at] + 1
+                own, ends = np.repeat(text[at], size), np.cumsum(size)
+                place = np.arange(ends[-1]) + np.repeat(first[at] - ends + size, size)
+                one, none = np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+                strings = _forms(raw, place, place)
+                yield _batch(names, kinds, [strings, ids[own], keys[own], place - begins[own], one, none, one == 1])
 
     return run
 
@@ -374,21 +393,12 @@ def _contexts(copied: Sieve, contested: Sieve, first_of_form: Sieve):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches):
-        for doc_id, key, data in _rows(batches, copied):
-            _, hashes, first, last = anchors(data)
-            wanted = np.flatnonzero(contested.passes(hashes)) if len(hashes) else hashes
-            if len(wanted) == 0:
-                continue
-            raw = data.tobytes()
-            pieces = [raw[a : b + LENGTH] for a, b in zip(first[wanted].tolist(), last[wanted].tolist())]
-            forms = np.array([_form(p) for p in pieces], np.int64)
-            kept = np.flatnonzero(first_of_form.passes(hashes[wanted] ^ forms ^ np.int64(doc_id)))
-            if len(kept):
-                columns = (
-                    hashes[wanted][kept], np.full(len(kept), doc_id), np.full(len(kept), key),
-                    first[wanted][kept], [pieces[i] for i in kept],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for ids, keys, raw, begins, (text, _, hashes, first, last) in _runs(batches, copied):
+            at = np.flatnonzero(contested.passes(hashes))
+            at = at[first_of_form.passes(hashes[at] ^ _forms(raw, first[at], last[at]) ^ ids[text[at]])]
+            own = text[at]
+            pieces = [raw[a:b] for a, b in zip(first[at].tolist(), (last[at] + LENGTH).tolist())]
+            yield _batch(names, kinds, [hashes[at], ids[own], keys[own], first[at] - begins[own], pieces])
 
     return run
 

@@ -126,3 +126,21 @@ def test_only_tied_suffixes_are_sorted_again(monkeypatch):
     assert sizes[0] == 4000 and 0 < sum(sizes[1:]) <= 200
     text = names.tolist()
     assert order.tolist() == sorted(range(4000), key=lambda i: text[i : i + 64])
+
+
+def test_anchors_of_joined_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 100, n, dtype=np.uint8) for n in (80, 0, 50, 49, 700, 3, 51)]
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    text, place, name, first, last = suffixes.anchors_of_texts(np.concatenate(texts), begins, sizes)
+    for i, own in enumerate(texts):
+        at = text == i
+        joined = (place[at] - begins[i], name[at], first[at] - begins[i], last[at] - begins[i])
+        assert [c.tolist() for c in joined] == [c.tolist() for c in suffixes.anchors(own)]
+
+
+def test_texts_that_share_two_words_share_no_anchor():
+    left = np.frombuffer(b"x" * 40 + b"sixteen bytes in" + b"y" * 40, np.uint8)
+    right = np.frombuffer(b"u" * 40 + b"sixteen bytes in" + b"v" * 40, np.uint8)
+    assert not set(suffixes.anchors(left)[1]) & set(suffixes.anchors(right)[1])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import mmap
 import pickle
+import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -13,6 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from hoardlens.llm.decontaminate import words_of
 from hoardlens.llm.folds import held_out, sample_per_class
 from hoardlens.llm.frames import append_columns, blobs
-from hoardlens.workspace import materialize
+from hoardlens.workspace import fresh_path, materialize
 
 EXAMPLES = 2_500  # labelled examples of each class, at most about so many
 EXAMPLE_TERMS = 8_000_000  # different terms of each example, summed over all, at most about so many
@@ -35,7 +38,7 @@ NEIGHBOURS = 15
 BLOCK = 256  # examples of a block
 BATCH = 128  # texts scored at once
 SLICE = 8 * BATCH  # texts taken out of a batch of rows at once
-PART_BYTES = 16 << 20  # of an index on its way from the task that made it
+PART_BYTES = 2 << 20  # of an index that the driver holds at once on its way from the task that made it
 SLACK = 1e-11  # cosines this near are told apart only after rounding
 ROUNDING = 1e-5  # cosines of single precision this near to the kth are computed again
 SHARPNESS = 2  # votes count by the cosine to this power
@@ -409,9 +412,8 @@ class Index(Lists):
         return out
 
 
-def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[int, np.ndarray]:
-    """How many documents there are, and how many of them have each term of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def document_frequencies(docs: DataFrame, shared: Broadcast, size: int) -> tuple[int, np.ndarray]:
+    """How many documents there are, and how many of them have each of the ``size`` terms of the vocabulary sent."""
 
     def count(batches):
         known, total = Known(shared.value), 0
@@ -432,7 +434,7 @@ def document_frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[int, np
     partial = docs.select("text").mapInArrow(count, "term int, n bigint")
     table = partial.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     term, n = table["term"].to_numpy(), table["n"].to_numpy()
-    holders = np.zeros(len(vocabulary) + 1, np.int64)
+    holders = np.zeros(size + 1, np.int64)
     holders[term] = n
     return int(holders[-1]), holders[:-1]
 
@@ -453,7 +455,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     Which rows is settled on the small table of labels; their texts come by a join with at most
     a few thousand broadcast ids. Tasks turn them into terms and counts, bounded by EXAMPLE_TERMS,
     and one task makes the index of this bounded sample. Only the different terms and the bytes
-    of the index pass through the driver. Contradicting or null labels are left out.
+    of the index pass through the driver, the latter part by part. Contradicting or null labels
+    are left out.
     """
     marked = (
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
@@ -469,41 +472,63 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Fitted:
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     described_rows = rows.mapInArrow(_described, f"doc_id {kind}, toxic int, {_EXAMPLE}")
     stored = _within_bound(materialize(described_rows, "examples"))
-    terms = stored.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].combine_chunks()
-    terms = pa.concat_arrays([pa.array([], pa.binary()), *getattr(terms, "chunks", [terms])])
-    count, holders = document_frequencies(texts, terms) if len(terms) else (0, np.zeros(0, np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast((terms, count, holders))
+    every = _vocabulary(stored)
+    size = len(every)
+    known = docs.sparkSession.sparkContext.broadcast(every)
+    del every
+    frequencies = document_frequencies(texts, known, size) if size else (0, np.zeros(0, np.int64))
+    counted = docs.sparkSession.sparkContext.broadcast(frequencies)
     base_rate, schema = rate if rate is not None else 0.1, to_arrow_schema(stored.schema)
 
     def build(batches):
         table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
-        every, count, holders = shared.value
-        frequencies = lambda own: (count, holders[pc.index_in(own, every).to_numpy()])
+        count, holders = counted.value
+        frequencies = lambda own: (count, holders[pc.index_in(own, known.value).to_numpy()])
         data = Index(Examples.read(table, kind), base_rate, frequencies).dumped()
         for i, at in enumerate(range(0, len(data), PART_BYTES)):
             part = pa.array([data[at : at + PART_BYTES]], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), part], ["place", "data"])
 
-    parts = stored.repartition(1).mapInArrow(build, "place int, data binary").collect()
-    return Fitted(b"".join(bytes(r[1]) for r in sorted(parts)), kind)
+    built = stored.repartition(1).mapInArrow(build, "place int, data binary")
+    path = fresh_path(docs.sparkSession, "index")
+    built.write.option("maxRecordsPerFile", 1).parquet(path)  # a part is a file, read by itself
+    known.destroy()
+    counted.destroy()
+    return Fitted(_mapped(docs.sparkSession.read.schema(built.schema).parquet(path)), kind)
+
+
+def _vocabulary(examples: DataFrame) -> pa.Array:
+    """The different terms of all examples."""
+    terms = examples.select(F.explode("terms").alias("term")).distinct().toArrow()["term"]
+    return pa.concat_arrays([pa.array([], pa.binary()), *terms.chunks])
+
+
+def _mapped(parts: DataFrame) -> mmap.mmap:
+    """The parts in order, in a file without a name mapped into memory; the driver holds one part at a time."""
+    with tempfile.TemporaryFile() as file:
+        for (place,) in sorted(parts.select("place").collect()):
+            for part in parts.where(F.col("place") == place).select("data").toArrow()["data"]:
+                file.write(part.as_buffer())
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 @dataclass
 class Fitted:
-    """An index as the bytes that tasks make it from; the driver need not hold it."""
+    """An index as the bytes that tasks make it from; they lie in a file, so the driver's memory need not hold them."""
 
-    data: bytes
+    data: mmap.mmap
     kind: str
 
     def __reduce__(self):
-        return loaded, (self.data,)
+        return loaded, (pickle.PickleBuffer(self.data),)
 
     @property
     def index(self) -> Index:
         return loaded(self.data)
 
 
-def loaded(data: bytes) -> Index:
+def loaded(data: bytes | mmap.mmap) -> Index:
     """The index that ``Index.dumped`` wrote."""
     own, signal = pickle.loads(data)
     index, index_signal = Index.__new__(Index), Lists.__new__(Lists)

@@ -87,3 +87,33 @@ def test_words_of_many_texts_are_looked_up_at_once_without_a_table_of_objects(mo
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 << 20
+
+
+def test_the_index_passes_the_driver_in_parts(spark, monkeypatch):
+    own = [" ".join(f"{i}w{j}" for j in range(12)) for i in range(60)]
+    rows = [(i, f"{own[i]} insult" if i % 3 == 0 else f"{own[i]} plain") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, "insult"), (500, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    taken = []
+
+    def spied(name, rows_of):
+        real = getattr(type(docs), name)
+
+        def call(self):
+            found = real(self)
+            taken.append(sum(len(v) for r in rows_of(found) for v in r if isinstance(v, (bytes, bytearray)) and len(v) > 100))
+            return found
+
+        monkeypatch.setattr(type(docs), name, call)
+
+    spied("collect", list)
+    spied("toArrow", lambda table: [r.values() for r in table.to_pylist()])
+    monkeypatch.setattr(toxicity, "PART_BYTES", 1_500)
+    fitted = toxicity.fit(docs, labels)
+    assert len(fitted.data) > 10 * 1_500 and max(taken) <= 1_500
+    assert sum(taken) == len(fitted.data)
+    monkeypatch.undo()
+    assert len(fitted.index.number) > 200 and fitted.index.score(b"insult")[1]
+    scored = toxicity.score_toxicity(docs, fitted).collect()
+    asked = fitted.index.scores([(r["text"] or "").encode() for r in scored])
+    assert [r["toxicity"] for r in scored] == [score for score, _ in asked]
